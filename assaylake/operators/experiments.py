@@ -92,7 +92,8 @@ def orphans(relations: dict[str, tuple[DataFrame, str, DataFrame, str]]) -> Data
     """Keys of child rows without a parent, with the number of such rows.
 
     relations: name -> (child, child key, parent, parent key). Child rows are counted
-    per key before the join, so a hot key crosses the network as one row per task.
+    and parent rows reduced per key before the join, so a hot key on either side
+    crosses the network as one row per task.
     """
 
     def report(name: str, child: DataFrame, child_key: str, parent: DataFrame, parent_key: str):
@@ -101,7 +102,7 @@ def orphans(relations: dict[str, tuple[DataFrame, str, DataFrame, str]]) -> Data
             .groupBy(F.col(child_key).cast("string").alias("missing_key"))
             .agg(F.count("*").alias("n_rows"))
         )
-        present = parent.select(F.col(parent_key).cast("string").alias("missing_key"))
+        present = parent.select(F.col(parent_key).cast("string").alias("missing_key")).distinct()
         return keys.join(present, "missing_key", "left_anti").select(
             F.lit(name).alias("relation"), "missing_key", "n_rows"
         )

@@ -126,18 +126,21 @@ def find_entities(documents: DataFrame, dictionary: DataFrame, longest: int = 2)
     )
 
 
-def drop_copies(documents: DataFrame) -> DataFrame:
-    """One document, the one of lowest id, per text up to letter case and blanks.
+def copy_groups(documents: DataFrame) -> DataFrame:
+    """Per text, up to letter case and blanks: its key, lowest doc_id and `copies`.
 
-    Only hashes and ids are grouped, reduced on the map side; texts are picked by id
-    afterwards. `copies` is the size of the group.
+    Only hashes and ids are grouped, and they are reduced on the map side.
     """
-    kept = (
+    return (
         documents.select("doc_id", copy_key(F.col("text")).alias("key"))
         .groupBy("key")
         .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     )
-    return documents.join(kept, "doc_id")
+
+
+def drop_copies(documents: DataFrame) -> DataFrame:
+    """The document of lowest id of every group of equal texts."""
+    return documents.join(copy_groups(documents), "doc_id")
 
 
 def classify(

@@ -37,11 +37,18 @@ def decide_logins(attempts: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
-def audit_rows(decisions: DataFrame, last_id: int = 0) -> DataFrame:
-    """One audit row per attempt, numbered behind `last_id` in arrival order."""
-    return number_rows(decisions, "seq", "id", last_id).select(
-        "id", "user_id", "username", "ip", "ok", "created_at"
-    )
+def number_attempts(attempts: DataFrame, last_id: int = 0) -> DataFrame:
+    """Attempts with the `id` of their audit row, behind `last_id` in arrival order.
+
+    Every attempt gets an audit row, so rows are numbered before they are decided:
+    counting them reads `seq` alone and no join.
+    """
+    return number_rows(attempts, "seq", "id", last_id)
+
+
+def audit_rows(decisions: DataFrame) -> DataFrame:
+    """Audit rows of numbered and decided attempts."""
+    return decisions.select("id", "user_id", "username", "ip", "ok", "created_at")
 
 
 def last_logins(decisions: DataFrame) -> DataFrame:

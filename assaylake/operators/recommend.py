@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranges import bound, range_max, range_min, within
 from ..functions.scoring import mean, spread, wilson_low
-from ..session import small_side
+from ..session import cut, small_side
 
 PARAMS = ("temperature", "pressure")
 
@@ -64,8 +64,10 @@ def match(queries: DataFrame, summed: DataFrame, width: float = 5.0) -> DataFram
     A range join: settings fall in temperature buckets of `width`, a query is copied
     to the buckets its range covers, clipped to the range its type was ever observed
     in, and both meet by equality on type and bucket. Exact bounds are tested on the
-    rows that met.
+    rows that met. The settings are stored once: the observations behind them are read
+    for their extent and for the join together.
     """
+    summed = cut(summed)
     low = F.col("temperature").cast("double")
     extent = summed.groupBy("experiment_type").agg(
         F.min(low).alias("_low"), F.max(low).alias("_high")
@@ -155,11 +157,13 @@ def histogram(long: DataFrame, bins: int = 10) -> DataFrame:
     """Rows per type, parameter and one of `bins` equal parts of the observed range.
 
     long: experiment_type, name, value. One pass over the data: rows are counted per
-    distinct value, everything else works on those counts.
+    distinct value and everything else works on the stored counts.
     """
     keys = ["experiment_type", "name"]
-    values = long.groupBy(*keys, F.col("value").cast("double").alias("value")).agg(
-        F.count("*").alias("n")
+    values = cut(
+        long.groupBy(*keys, F.col("value").cast("double").alias("value")).agg(
+            F.count("*").alias("n")
+        )
     )
     edges = values.groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high"))
     width = F.col("high") - F.col("low")

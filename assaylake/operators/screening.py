@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import correlation, mean, spread
-from ..session import small_side
+from ..session import cut, small_side
 
 KEYS = ["experiment_type", "name"]
 
@@ -19,7 +19,7 @@ def main_effects(long: DataFrame, keep: int = 2) -> DataFrame:
     half. `selected` marks the `keep` parameters worth varying.
 
     The rows are read once and summed per distinct value; ranges, halves and the
-    correlation come from those sums.
+    correlation come from the stored sums.
     """
     x, y = F.col("value"), F.col("outcome")
     sums = long.groupBy(*KEYS, "value").agg(
@@ -30,6 +30,7 @@ def main_effects(long: DataFrame, keep: int = 2) -> DataFrame:
         F.sum(y * y).alias("syy"),
         F.sum(x * y).alias("sxy"),
     )
+    sums = cut(sums)
     edges = sums.groupBy(*KEYS).agg(
         ((F.min("value") + F.max("value")).cast("double") / 2.0).alias("middle")
     )

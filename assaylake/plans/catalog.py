@@ -77,9 +77,14 @@ def login_decision(spark, folder):
     return _decided(spark, folder).select("seq", "username", "user_id", "ok", "status")
 
 
+def _audit(spark, folder):
+    numbered = logins.number_attempts(roles.attempts(spark, folder))
+    return logins.audit_rows(logins.decide_logins(numbered, roles.users(spark, folder)))
+
+
 @query
 def login_audit(spark, folder):
-    return logins.audit_rows(_decided(spark, folder))
+    return _audit(spark, folder)
 
 
 @query
@@ -161,8 +166,7 @@ def user_delete(spark, folder):
 
 @query
 def audit_after_delete(spark, folder):
-    audit = logins.audit_rows(_decided(spark, folder))
-    return accounts.release_audit(audit, roles.deletions(spark, folder))
+    return accounts.release_audit(_audit(spark, folder), roles.deletions(spark, folder))
 
 
 @query
@@ -405,8 +409,9 @@ def lit_entities(spark, folder):
 
 @query
 def lit_dedup(spark, folder):
-    kept = literature.drop_copies(roles.documents(spark, folder))
-    return kept.select("doc_id", "key", "copies", F.length("text").alias("n_chars"))
+    return literature.drop_copies(roles.documents(spark, folder)).withColumn(
+        "text", F.sha2("text", 256)
+    )
 
 
 @query

@@ -243,7 +243,7 @@ CTES = {
                                              lambda i: t[i] || ' ' || t[i + 1]))
         FROM tokens""",
     "copies": """
-        SELECT doc_id, length(text) AS n_chars,
+        SELECT doc_id, sha256(text) AS text,
                sha256(lower(trim(regexp_replace(text, '[ \\t\\r\\n\\f]+', ' ', 'g')))) AS key
         FROM documents""",
     # --- feedback
@@ -640,7 +640,7 @@ SQL = {
     ),
     "lit_dedup": _with(
         "copies",
-        """SELECT doc_id, key, copies, n_chars
+        """SELECT doc_id, key, copies, text
            FROM (SELECT *, count(*) OVER (PARTITION BY key) AS copies,
                         row_number() OVER (PARTITION BY key ORDER BY doc_id) AS nth
                  FROM copies) k

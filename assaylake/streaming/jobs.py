@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.feedback import read_feedback
-from ..operators.logins import audit_rows, decide_logins, login_answers, usage
+from ..operators.logins import (
+    audit_rows,
+    decide_logins,
+    login_answers,
+    number_attempts,
+    usage,
+)
 
 
 def usage_stream(audit: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
@@ -78,9 +84,10 @@ def login_stream(attempts: DataFrame, users: DataFrame, folder: str) -> Streamin
 
     def write(batch_rows: DataFrame, batch: int) -> None:
         spark = batch_rows.sparkSession
-        decided = decide_logins(batch_rows, users).persist()
+        last_id = _last_id(f"{folder}/audit", batch, spark)
+        decided = decide_logins(number_attempts(batch_rows, last_id), users).persist()
         try:
-            audit = audit_rows(decided, _last_id(f"{folder}/audit", batch, spark))
+            audit = audit_rows(decided)
             audit.write.mode("overwrite").parquet(f"{folder}/audit/batch={batch}")
             answers = login_answers(decided)
             answers.write.mode("overwrite").parquet(f"{folder}/answers/batch={batch}")
