@@ -20,7 +20,8 @@ def parse_json(text: Column, schema: T.StructType) -> Column:
     wide = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
     parsed = F.from_json(text, wide, {"columnNameOfCorruptRecord": _BAD})
     fields = F.struct(*[parsed[name].alias(name) for name in schema.names])
-    return F.when(text.isNotNull() & parsed[_BAD].isNull(), fields)
+    # Blank text gives a NULL struct, other unreadable text a struct with `_bad` filled.
+    return F.when(parsed.isNotNull() & parsed[_BAD].isNull(), fields)
 
 
 def accepted_name(name: Column) -> Column:

@@ -10,11 +10,12 @@ from pyspark.ml.feature import (
     PolynomialExpansion,
     StandardScaler,
     StringIndexer,
+    UnivariateFeatureSelector,
     VectorAssembler,
 )
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEED = 17
@@ -171,10 +172,21 @@ def tune_forest(
     ).fit(train.withColumn("fold_of", F.col("fold") - 1))
 
 
-def importances(model: PipelineModel, params: list[str]) -> list[tuple[str, float]]:
-    """Feature importance of each numeric parameter in a fitted forest."""
-    weights = model.stages[-1].featureImportances.toArray()
-    return list(zip(params, [float(w) for w in weights[-len(params):]]))
+def importances(model: PipelineModel, params: list[str], spark: SparkSession) -> DataFrame:
+    """Importance of each numeric parameter in a fitted forest; one row per parameter."""
+    weights = model.stages[-1].featureImportances.toArray()[-len(params) :]
+    rows = [(name, float(weight)) for name, weight in zip(params, weights)]
+    return spark.createDataFrame(rows, "name string, importance double")
+
+
+def select_parameters(rows: DataFrame, params: list[str], keep: int) -> list[str]:
+    """The `keep` parameters that depend most on the outcome by an F test."""
+    assembled = VectorAssembler(inputCols=params, outputCol="numbers").transform(rows)
+    selector = UnivariateFeatureSelector(
+        featuresCol="numbers", labelCol="label", outputCol="chosen", selectionMode="numTopFeatures"
+    )
+    selector.setFeatureType("continuous").setLabelType("continuous").setSelectionThreshold(keep)
+    return [params[i] for i in sorted(selector.fit(assembled).selectedFeatures)]
 
 
 def candidate_grid(observations: DataFrame, params: list[str], steps: int) -> DataFrame:

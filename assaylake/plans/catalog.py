@@ -453,6 +453,12 @@ def rf_predict(spark, folder):
     return modelling.add_prediction(model, rows, "rf")
 
 
+@query
+def param_importance(spark, folder):
+    model = modelling.forest(roles.PARAMS).fit(modelling.training(_rows(spark, folder)))
+    return modelling.importances(model, roles.PARAMS, spark)
+
+
 @query
 def gbt_predict(spark, folder):
     rows = _rows(spark, folder)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 
@@ -47,7 +48,13 @@ def read_experiments(spark: SparkSession, path: str) -> DataFrame:
 
 def read_experiment_json(spark: SparkSession, path: str) -> DataFrame:
     """Experiments from JSON lines; unreadable lines end up in `_bad`."""
-    schema = schemas.EXPERIMENT.add("params", "map<string,double>").add("_bad", "string")
+    schema = T.StructType(
+        [
+            *schemas.EXPERIMENT.fields,
+            T.StructField("params", T.MapType(T.StringType(), T.DoubleType())),
+            T.StructField("_bad", T.StringType()),
+        ]
+    )
     return (
         spark.read.schema(schema)
         .option("mode", "PERMISSIVE")

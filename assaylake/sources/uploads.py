@@ -11,16 +11,18 @@ from ..functions.checks import failed
 from ..functions.requests import accepted_name
 
 BAD = "_bad"
+REQUIRED = ("experiment_id", "experiment_type")
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of all CSV files below `path`, each with the name of its file.
+    """Lines of all CSV files below `path` as text fields, with the name of their file.
 
-    Lines with missing, surplus or unreadable fields keep their text in `_bad`.
+    Lines with missing or surplus fields keep their text in `_bad`. Fields are read as
+    text because the reader converts, and so checks, only the columns a query selects.
     """
-    schema = T.StructType([*schemas.UPLOAD.fields, T.StructField(BAD, T.StringType())])
+    fields = [T.StructField(name, T.StringType()) for name in [*schemas.UPLOAD.names, BAD]]
     lines = (
-        spark.read.schema(schema)
+        spark.read.schema(T.StructType(fields))
         .option("header", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", BAD)
@@ -32,16 +34,21 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def process_uploads(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(experiment rows, rejected lines with their error codes)."""
-    errors = failed(
-        {
-            "line_unreadable": F.col(BAD).isNotNull(),
-            "id_missing": F.col(BAD).isNull() & F.col("experiment_id").isNull(),
-            "type_missing": F.col(BAD).isNull() & F.col("experiment_type").isNull(),
-        }
-    )
-    checked = lines.withColumn("errors", errors)
-    good = checked.filter(F.size("errors") == 0).drop("errors", BAD)
+    """(typed experiment rows, rejected lines as text with their error codes)."""
+    whole = F.col(BAD).isNull()
+    rules = {"line_incomplete": ~whole}
+    for name in REQUIRED:
+        rules[f"{name}_missing"] = whole & F.coalesce(F.trim(name) == "", F.lit(True))
+    typed = {}
+    for field in schemas.UPLOAD:
+        text = F.col(field.name)
+        if not isinstance(field.dataType, T.StringType):
+            typed[field.name] = F.trim(text).try_cast(field.dataType)
+            rules[f"{field.name}_unreadable"] = (
+                whole & (F.trim(text) != "") & typed[field.name].isNull()
+            )
+    checked = lines.withColumn("errors", failed(rules))
+    good = checked.filter(F.size("errors") == 0).withColumns(typed).drop("errors", BAD)
     return good, checked.filter(F.size("errors") > 0)
 
 

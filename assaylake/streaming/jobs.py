@@ -21,7 +21,7 @@ from ..operators.logins import (
 def usage_stream(audit: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Usage per window; a window appears once, when `delay` has passed its end.
 
-    Rows that arrive later than that are not counted.
+    Rows of windows that an earlier micro-batch closed are not counted.
     """
     return usage(audit.withWatermark("created_at", delay), width)
 
