@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Column widths of the account tables.
@@ -23,8 +23,19 @@ def name_key(c: str | Column) -> Column:
     return F.collate(_col(c), "UNICODE_CI_AI")
 
 
-def plain(c: str | Column) -> Column:
-    return F.collate(_col(c), "UTF8_BINARY")
+def join_by_name(
+    left: DataFrame, right: DataFrame, left_name: str, right_name: str, how: str
+) -> DataFrame:
+    """Join on equal names.
+
+    The keys are columns of their own: joined on columns, names are hashed by their
+    collation key, and the smaller side can be the hash table of the join. Compared
+    inside the condition they would have to be sorted.
+    """
+    keyed = left.withColumn("_left_key", name_key(left_name))
+    other = right.withColumn("_right_key", name_key(right_name))
+    joined = keyed.join(other, F.col("_left_key") == F.col("_right_key"), how)
+    return joined.drop("_left_key", "_right_key")
 
 
 def email_valid(c: str | Column) -> Column:

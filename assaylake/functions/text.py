@@ -43,9 +43,14 @@ def page_text(html: Column) -> Column:
     return squeeze(decode(c))
 
 
+def split_words(text: Column) -> Column:
+    """Lower-case words in text order; the first or last one may be blank."""
+    return F.split(F.lower(text), _WORD_BREAK)
+
+
 def words(text: Column) -> Column:
     """Lower-case words in text order."""
-    return F.filter(F.split(F.lower(text), _WORD_BREAK), lambda w: w != "")
+    return F.array_remove(split_words(text), "")
 
 
 def ngrams(tokens: Column, n: int) -> Column:

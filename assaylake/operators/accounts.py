@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.checks import failed
-from ..functions.names import MAX_LENGTH, email_valid, fits, name_key
+from ..functions.names import MAX_LENGTH, email_valid, fits, join_by_name, name_key
+from ..session import cut
 from .numbering import number_rows
 
 # Answers to account requests, and the role of a new user.
@@ -43,7 +44,7 @@ def find_by_id(requests: DataFrame, users: DataFrame) -> DataFrame:
 def find_by_name(requests: DataFrame, users: DataFrame) -> DataFrame:
     """requests(..., username) with the id of the user of that name or NULL."""
     known = users.select("id", F.col("username").alias("_known"))
-    return requests.join(known, name_key("username") == name_key("_known"), "left").drop("_known")
+    return join_by_name(requests, known, "username", "_known", "left").drop("_known")
 
 
 # --- registration ------------------------------------------------------------
@@ -75,13 +76,14 @@ def _first_claims(requests: DataFrame, *columns: str) -> DataFrame:
 def _free(claims: DataFrame, users: DataFrame) -> DataFrame:
     """Claims (one per name) on names that no user has."""
     taken = users.select(F.col("username").alias("_taken"))
-    return claims.join(taken, name_key("username") == name_key("_taken"), "left_anti")
+    return join_by_name(claims, taken, "username", "_taken", "left_anti")
 
 
 def register(requests: DataFrame, users: DataFrame) -> DataFrame:
     """Rows to append to the users table, with the `seq` of their request."""
     valid = requests.withColumn("errors", registration_errors()).filter(F.size("errors") == 0)
-    granted = _free(_first_claims(valid, "email", "password_hash", "created_at"), users)
+    # Stored, because numbering reads it twice.
+    granted = cut(_free(_first_claims(valid, "email", "password_hash", "created_at"), users))
     last_id = F.coalesce(users.agg(F.max("id")).scalar(), F.lit(0))
     return number_rows(granted, "seq", "id", last_id).select(
         "seq",

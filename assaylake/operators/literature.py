@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checks import failed
-from ..functions.text import copy_key, ngrams, page_text, page_title, words
+from ..functions.text import copy_key, ngrams, page_text, page_title, split_words, words
 
 # Units of the measured quantities. A value becomes
 # value * factor + offset in the unit of the quantity: unit, name, factor, offset.
@@ -34,19 +34,18 @@ _VALUE = r"-?[0-9]+(?:[.][0-9]+)?"
 def search(documents: DataFrame, keywords: list[str], k: int) -> DataFrame:
     """The k documents with most keyword hits; ties go to more keywords, lower id.
 
-    Hits are counted inside each row, so nothing but k rows per task leaves it.
+    Words that are no keyword are dropped as they are split off, and hits are counted
+    per document and keyword before they leave their task.
     """
-    hits = F.filter(words(F.col("text")), lambda w: w.isin(*[key.lower() for key in keywords]))
-    scored = documents.select("doc_id", hits.alias("hits")).select(
-        "doc_id",
-        F.size("hits").cast("long").alias("hits"),
-        F.size(F.array_distinct("hits")).cast("long").alias("keywords"),
+    wanted = [key.lower() for key in keywords]
+    hits = documents.select("doc_id", F.explode(split_words(F.col("text"))).alias("word")).filter(
+        F.col("word").isin(*wanted)
     )
-    return (
-        scored.filter(F.col("hits") > 0)
-        .orderBy(F.desc("hits"), F.desc("keywords"), "doc_id")
-        .limit(k)
+    counted = hits.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    scored = counted.groupBy("doc_id").agg(
+        F.sum("n").alias("hits"), F.count("*").alias("keywords")
     )
+    return scored.orderBy(F.desc("hits"), F.desc("keywords"), "doc_id").limit(k)
 
 
 def read_pages(pages: DataFrame) -> DataFrame:

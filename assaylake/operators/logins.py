@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import name_key
+from ..functions.names import join_by_name
 from ..functions.requests import TOKEN_MINUTES, token_expiry, token_subject
 from .numbering import number_rows
 
@@ -29,7 +29,7 @@ def decide_logins(attempts: DataFrame, users: DataFrame) -> DataFrame:
     ok = F.coalesce(
         F.col("user_id").isNotNull() & F.col("is_active") & F.col("password_ok"), F.lit(False)
     )
-    return attempts.join(known, name_key("username") == name_key("_known"), "left").select(
+    return join_by_name(attempts, known, "username", "_known", "left").select(
         *attempts.columns,
         "user_id",
         ok.alias("ok"),

@@ -386,7 +386,7 @@ def lit_search(spark, folder):
 
 @query
 def page_text(spark, folder):
-    return literature.read_pages(roles.table(spark, folder, "pages"))
+    return literature.read_pages(roles.spread_table(spark, folder, "pages", "page_id", "url", "html"))
 
 
 @query
@@ -428,14 +428,18 @@ def _rows(spark, folder):
     return modelling.model_rows(filled, roles.PARAMS)
 
 
-def _fit_regressors(spark, folder):
-    rows = _rows(spark, folder)
+def _fit(rows, *pipelines):
+    """Fit pipelines on the training rows, which are read once and kept meanwhile."""
     train = modelling.training(rows).persist()
     try:
-        rf = modelling.forest(roles.PARAMS).fit(train)
-        gbt = modelling.boosted(roles.PARAMS).fit(train)
+        return [pipeline.fit(train) for pipeline in pipelines]
     finally:
         train.unpersist()
+
+
+def _fit_regressors(spark, folder):
+    rows = _rows(spark, folder)
+    rf, gbt = _fit(rows, modelling.forest(roles.PARAMS), modelling.boosted(roles.PARAMS))
     return rows, rf, gbt
 
 
@@ -449,27 +453,27 @@ def _with_ensemble(rows, rf, gbt):
 @query
 def rf_predict(spark, folder):
     rows = _rows(spark, folder)
-    model = modelling.forest(roles.PARAMS).fit(modelling.training(rows))
+    (model,) = _fit(rows, modelling.forest(roles.PARAMS))
     return modelling.add_prediction(model, rows, "rf")
 
 
 @query
 def param_importance(spark, folder):
-    model = modelling.forest(roles.PARAMS).fit(modelling.training(_rows(spark, folder)))
+    (model,) = _fit(_rows(spark, folder), modelling.forest(roles.PARAMS))
     return modelling.importances(model, roles.PARAMS, spark)
 
 
 @query
 def gbt_predict(spark, folder):
     rows = _rows(spark, folder)
-    model = modelling.boosted(roles.PARAMS).fit(modelling.training(rows))
+    (model,) = _fit(rows, modelling.boosted(roles.PARAMS))
     return modelling.add_prediction(model, rows, "gbt")
 
 
 def _fit_success(rows):
-    train = modelling.training(rows)
-    indexer = modelling.feature_stages(roles.PARAMS)[0].fit(train)
-    return modelling.perceptron(roles.PARAMS, len(indexer.labels)).fit(train)
+    types = modelling.training(rows).select("experiment_type").distinct().count()
+    (model,) = _fit(rows, modelling.perceptron(roles.PARAMS, types))
+    return model
 
 
 @query

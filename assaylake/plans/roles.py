@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.requests import parse_json
 from ..functions.text import ngrams, words
 from ..schemas import MEASURE
+from ..session import spread
 
 c = F.col
 
@@ -20,6 +21,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str, key: str, *columns: str) -> DataFrame:
+    """Columns of a table for work that is costly per row."""
+    return spread(table(spark, folder, name).select(key, *columns), key)
+
+
 def _text(value: Column) -> Column:
     return value.cast("string")
 
@@ -70,7 +76,8 @@ def attempts_of(events: DataFrame) -> DataFrame:
 
 
 def attempts(spark: SparkSession, folder: str) -> DataFrame:
-    return attempts_of(table(spark, folder, "events"))
+    columns = ("ts", "user_id", "event_type", "value")
+    return attempts_of(spread_table(spark, folder, "events", "event_id", *columns))
 
 
 def registrations(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,7 +93,8 @@ def registrations(spark: SparkSession, folder: str) -> DataFrame:
     )
     broken = (status == "P") & (price > 400000)
     no_password = (status == "O") & (price < 40000)
-    return table(spark, folder, "orders").select(
+    columns = ("o_custkey", "o_orderpriority", "o_totalprice", "o_orderstatus", "o_orderdate")
+    return spread_table(spark, folder, "orders", "o_orderkey", *columns).select(
         c("o_orderkey").alias("seq"),
         name.alias("username"),
         F.when(broken, "no-address")
@@ -174,11 +182,16 @@ def _measures() -> dict[str, Column]:
 PARAMS = ["temperature", "pressure", "duration"]
 
 
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    rest = [n for n in table(spark, folder, "lineitem").columns if n != "l_orderkey"]
+    return spread_table(spark, folder, "lineitem", "l_orderkey", *rest)
+
+
 def _typed_lines(spark: SparkSession, folder: str) -> DataFrame:
     types = table(spark, folder, "part").select(
         c("p_partkey").alias("l_partkey"), c("p_type").alias("experiment_type")
     )
-    return table(spark, folder, "lineitem").join(types, "l_partkey")
+    return _lines(spark, folder).join(types, "l_partkey")
 
 
 def experiments(spark: SparkSession, folder: str) -> DataFrame:
@@ -273,7 +286,7 @@ def raw_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
     heat = _whole(c("l_quantity"))
     pressure = _whole(F.round(c("l_discount") * 100))
-    return table(spark, folder, "lineitem").select(
+    return _lines(spark, folder).select(
         experiment_id().alias("experiment_id"),
         kind.alias("experiment_type"),
         F.when(line == 7, "n/a")
@@ -300,7 +313,7 @@ def range_texts(spark: SparkSession, folder: str) -> DataFrame:
         .when(c("l_linenumber") > 4, F.lit(""))
         .otherwise("warm-hot")
     )
-    return table(spark, folder, "lineitem").select(
+    return _lines(spark, folder).select(
         experiment_id().alias("experiment_id"), text.alias("range_text")
     )
 
@@ -400,7 +413,7 @@ def user_changes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", "text")
+    return spread_table(spark, folder, "documents", "doc_id", "text")
 
 
 def dictionary(spark: SparkSession, folder: str) -> DataFrame:

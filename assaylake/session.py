@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Joins that turn out to have small partitions on one side need no sort.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "128MB",
     # Hot login names, users and parts sit on the left of the joins; a skewed
     # partition is split even where that costs one more exchange afterwards.
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -33,15 +36,29 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = tempfile.mkdtemp(prefix="assaylake-")
         spark.conf.set("assaylake.folder", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Distribute a scan by `key` if it comes in fewer partitions than there are cores.
+
+    Few large files keep most cores idle in costly row-wise work. A table of many files
+    stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared folder; survives the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` to the shared folder and read it back.
+
+    The stored table survives the loss of executors, is read column by column, and its
+    size is known to the planner.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
