@@ -29,8 +29,8 @@ def join_by_name(
     """Join on equal names.
 
     The keys are columns of their own: joined on columns, names are hashed by their
-    collation key, and the smaller side can be the hash table of the join. Compared
-    inside the condition they would have to be sorted.
+    collation key, and a small side can be broadcast. Compared inside the condition they
+    would always be sorted on both sides.
     """
     keyed = left.withColumn("_left_key", name_key(left_name))
     other = right.withColumn("_right_key", name_key(right_name))

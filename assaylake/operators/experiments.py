@@ -9,11 +9,20 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import failed
 from ..functions.scoring import whole_percent
+from .numbering import number_rows
 
 # The experiment types a query form offers.
 EXPERIMENT_TYPES = ("solubility", "crystallization", "reaction", "extraction")
 
 
+def create_experiments(requests: DataFrame, last_number: int = 0) -> DataFrame:
+    """Requests (seq, ...) with an `experiment_id` like exp_001, in arrival order."""
+    numbered = number_rows(requests, "seq", "_number", last_number)
+    return numbered.withColumn(
+        "experiment_id", F.format_string("exp_%03d", F.col("_number"))
+    ).drop("_number")
+
+
 def list_experiments(experiments: DataFrame, users: DataFrame) -> DataFrame:
     """Experiments with the name of their user; experiments without one stay out."""
     owners = users.select(F.col("id").alias("user_id"), "username")

@@ -225,6 +225,11 @@ def json_roundtrip(spark, folder):
 # --- experiments -------------------------------------------------------------
 
 
+@query
+def experiment_create(spark, folder):
+    return experiments.create_experiments(roles.experiment_requests(spark, folder))
+
+
 @query
 def experiment_list(spark, folder):
     return experiments.list_experiments(

@@ -423,6 +423,11 @@ SQL = {
                     THEN '{"k":' || json_extract(body, '$.k')::BIGINT || '}' END AS printed
         FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN replace(props, '}', '')
                                     ELSE props END AS body FROM events) b""",
+    "experiment_create": """
+        SELECT o_orderkey AS seq, o_custkey AS user_id, o_orderpriority AS experiment_type,
+               'exp_' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END
+                   AS experiment_id
+        FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders) o""",
     "experiment_list": _with(
         "users lines",
         """SELECT experiment_id, o_custkey AS user_id, p_type AS experiment_type,

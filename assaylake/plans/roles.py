@@ -210,6 +210,14 @@ def experiments(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def experiment_requests(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "orders").select(
+        c("o_orderkey").alias("seq"),
+        c("o_custkey").alias("user_id"),
+        c("o_orderpriority").alias("experiment_type"),
+    )
+
+
 def typed_experiments(spark: SparkSession, folder: str) -> DataFrame:
     """Experiments without their user, for jobs that do not need one."""
     return _typed_lines(spark, folder).select(

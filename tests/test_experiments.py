@@ -38,6 +38,12 @@ def test_check_rows(spark):
     assert "errors" not in good.columns
 
 
+def test_create(spark, rows):
+    asked = spark.createDataFrame([(30, "reaction"), (10, "solubility")], "seq long, experiment_type string")
+    assert rows(experiments.create_experiments(asked), "seq", "experiment_id") == [(10, "exp_001"), (30, "exp_002")]
+    assert rows(experiments.create_experiments(asked, 999), "experiment_id") == [("exp_1000",), ("exp_1001",)]
+
+
 def test_long_wide_map(spark, rows):
     wide = spark.createDataFrame(
         [("e1", Decimal("20"), None), ("e2", Decimal("30"), Decimal("2"))],
