@@ -38,6 +38,19 @@ def join_by_name(
     return joined.drop("_left_key", "_right_key")
 
 
+def look_up_names(requests: DataFrame, known: DataFrame, name: str, known_name: str) -> DataFrame:
+    """All requests, each with the columns of the one row of `known` of equal name.
+
+    Collation keys are costly, and one name may make up much of a batch. So every
+    spelling is looked up once, and requests meet the result by plain equality. A stream
+    would have to remember the spellings; it is joined directly.
+    """
+    if requests.isStreaming:
+        return join_by_name(requests, known, name, known_name, "left")
+    spellings = requests.select(name).distinct()
+    return requests.join(join_by_name(spellings, known, name, known_name, "inner"), name, "left")
+
+
 def email_valid(c: str | Column) -> Column:
     return F.coalesce(_col(c).rlike(EMAIL_SHAPE), F.lit(False))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.checks import failed
-from ..functions.names import MAX_LENGTH, email_valid, fits, join_by_name, name_key
+from ..functions.names import MAX_LENGTH, email_valid, fits, join_by_name, look_up_names, name_key
 from ..session import cut
 from .numbering import number_rows
 
@@ -44,7 +44,8 @@ def find_by_id(requests: DataFrame, users: DataFrame) -> DataFrame:
 def find_by_name(requests: DataFrame, users: DataFrame) -> DataFrame:
     """requests(..., username) with the id of the user of that name or NULL."""
     known = users.select("id", F.col("username").alias("_known"))
-    return join_by_name(requests, known, "username", "_known", "left").drop("_known")
+    found = look_up_names(requests, known, "username", "_known")
+    return found.select(*requests.columns, "id")
 
 
 # --- registration ------------------------------------------------------------

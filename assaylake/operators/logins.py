@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import join_by_name
+from ..functions.names import look_up_names
 from ..functions.requests import TOKEN_MINUTES, token_expiry, token_subject
 from .numbering import number_rows
 
@@ -20,8 +20,6 @@ def decide_logins(attempts: DataFrame, users: DataFrame) -> DataFrame:
     failures get the same status. Every attempt is kept: a name nobody has keeps a
     NULL `user_id`.
 
-    One name may make up much of a batch. It stands on the left of the join, where a
-    skewed partition is split at run time against the one matching user row.
     """
     known = users.select(
         F.col("id").alias("user_id"), F.col("username").alias("_known"), "is_active"
@@ -29,7 +27,7 @@ def decide_logins(attempts: DataFrame, users: DataFrame) -> DataFrame:
     ok = F.coalesce(
         F.col("user_id").isNotNull() & F.col("is_active") & F.col("password_ok"), F.lit(False)
     )
-    return join_by_name(attempts, known, "username", "_known", "left").select(
+    return look_up_names(attempts, known, "username", "_known").select(
         *attempts.columns,
         "user_id",
         ok.alias("ok"),

@@ -44,7 +44,7 @@ def test_large_users_are_hashed_not_sorted(spark, data, shuffling):
     decided.collect()
     final = plan_of(decided).split("+- == Initial Plan ==")[0]
     assert "ShuffledHashJoin [collationkey" in final
-    assert "SortMergeJoin" not in final
+    assert "SortMergeJoin [collationkey" not in final
 
 
 def test_only_needed_columns_are_read(spark, data):
