@@ -546,3 +546,19 @@ def stream_usage(spark, folder):
     decided = logins.decide_logins(attempts, roles.users(spark, folder))
     jobs.append_to_table(jobs.usage_stream(decided), work).awaitTermination()
     return spark.read.parquet(f"{work}/table")
+
+
+@query
+def stream_dashboard(spark, folder):
+    work = _work(spark)
+    results = roles.results_of(_stream_of(spark, folder, "events"))
+    jobs.append_to_table(jobs.dashboard_stream(results), work).awaitTermination()
+    return spark.read.parquet(f"{work}/table")
+
+
+@query
+def stream_feedback(spark, folder):
+    work = _work(spark)
+    messages = roles.feedback_messages_of(_stream_of(spark, folder, "events"))
+    jobs.feedback_stream(messages, work).awaitTermination()
+    return spark.read.parquet(f"{work}/feedback").drop("batch", "created_at")

@@ -661,6 +661,18 @@ SQL = {
         + " ELSE 'other' END AS data_type FROM tokens",
     ),
     "stream_login": _with(f"{_LOGIN} audit", "SELECT * FROM audit"),
+    "stream_dashboard": """
+        SELECT * FROM (
+            SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, user_id,
+                   count(*) AS experiments,
+                   count(*) FILTER (WHERE event_type = 'purchase') AS successes
+            FROM events GROUP BY ALL) w
+        WHERE window_start + INTERVAL 1 HOUR
+              <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+    "stream_feedback": """
+        SELECT json_extract(props, '$.k')::BIGINT AS prediction_id, user_id,
+               value::DECIMAL(18, 4)::DOUBLE AS rating, event_type = 'purchase' AS success
+        FROM events WHERE event_type <> 'error'""",
     "stream_usage": _with(
         _LOGIN,
         """SELECT * FROM (

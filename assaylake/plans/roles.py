@@ -408,6 +408,31 @@ def feedback(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def feedback_messages_of(events: DataFrame) -> DataFrame:
+    """Feedback as JSON texts, those of errors without their closing brace."""
+    body = F.to_json(
+        F.struct(
+            F.get_json_object("props", "$.k").cast("long").alias("prediction_id"),
+            "user_id",
+            c("value").alias("rating"),
+            (c("event_type") == "purchase").alias("success"),
+        )
+    )
+    broken = F.replace(body, F.lit("}"), F.lit(""))
+    return events.select(
+        F.when(c("event_type") == "error", broken).otherwise(body).alias("body")
+    )
+
+
+def results_of(events: DataFrame) -> DataFrame:
+    """Experiments as they finish; also for a stream of events."""
+    return events.select(
+        "user_id",
+        (c("event_type") == "purchase").alias("success"),
+        c("ts").cast("timestamp").alias("created_at"),
+    )
+
+
 def user_changes(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(
         "user_id",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -67,11 +67,11 @@ def _each_batch(
     )
 
 
-def _last_id(audit_folder: str, batch: int, spark) -> int:
+def _last_id(spark: SparkSession, folder: str, batch: int) -> int:
+    """Last id given out by the batch before; every batch leaves one row."""
     if batch == 0:
         return 0
-    earlier = spark.read.parquet(audit_folder).filter(F.col("batch") < batch)
-    return earlier.agg(F.max("id")).first()[0] or 0
+    return spark.read.parquet(f"{folder}/last_id/batch={batch - 1}").first()["last_id"]
 
 
 def login_stream(attempts: DataFrame, users: DataFrame, folder: str) -> StreamingQuery:
@@ -84,13 +84,15 @@ def login_stream(attempts: DataFrame, users: DataFrame, folder: str) -> Streamin
 
     def write(batch_rows: DataFrame, batch: int) -> None:
         spark = batch_rows.sparkSession
-        last_id = _last_id(f"{folder}/audit", batch, spark)
+        last_id = _last_id(spark, folder, batch)
         decided = decide_logins(number_attempts(batch_rows, last_id), users).persist()
         try:
             audit = audit_rows(decided)
             audit.write.mode("overwrite").parquet(f"{folder}/audit/batch={batch}")
             answers = login_answers(decided)
             answers.write.mode("overwrite").parquet(f"{folder}/answers/batch={batch}")
+            given = spark.createDataFrame([(last_id + decided.count(),)], "last_id long")
+            given.coalesce(1).write.mode("overwrite").parquet(f"{folder}/last_id/batch={batch}")
         finally:
             decided.unpersist()
 

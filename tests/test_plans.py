@@ -9,7 +9,7 @@ from assaylake.operators import logins, recommend
 from assaylake.plans import roles
 from test_contract import MODELS
 
-STREAMS = {"stream_login", "stream_usage"}
+STREAMS = {name for name in contract.queries() if name.startswith("stream_")}
 
 
 def plan_of(df):

@@ -105,3 +105,43 @@ def test_one_setting_and_one_bucket(spark):
     assert got == {
         q: sum(per_degree[20 : (q + 21 if q < 100 else 21)]) for q in range(300)
     }
+
+
+def test_hot_join_partitions_are_split(spark):
+    """With thresholds scaled down to the test, the hot side is read by several tasks."""
+    low = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    i = F.col("id")
+    users = spark.range(2000).select(
+        i, F.concat(F.lit("u"), i.cast("string")).alias("username"), F.lit("e").alias("email"),
+        F.lit("r").alias("role"), F.lit(True).alias("is_active"),
+        F.lit(T0).alias("created_at"), F.lit(None).cast("timestamp").alias("last_login_at"),
+    )
+    # Several map tasks, as a hot partition is split between their outputs.
+    many = spark.range(0, 200_000, 1, 16)
+    owned = many.select(
+        F.when(i < 70_000, 5).otherwise(i % 2000).cast("long").alias("user_id"),
+        F.sha2(i.cast("string"), 256).alias("experiment_id"),
+    )
+    asked = owned.select(F.col("user_id").alias("id"), F.col("experiment_id").alias("seq"))
+    for key, value in low.items():
+        spark.conf.set(key, value)
+    try:
+        for joined in (
+            experiments.list_experiments(owned, users),
+            accounts.find_by_id(asked, users),
+        ):
+            assert joined.count() == 200_000
+            joined.write.format("noop").mode("overwrite").save()
+            joined.collect()
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "skew=true" in plan or "isSkewJoin=true" in plan or "AQEShuffleRead coalesced and skewed" in plan
+    finally:
+        for key in low:
+            spark.conf.unset(key)
