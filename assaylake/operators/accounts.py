@@ -80,13 +80,18 @@ def _free(claims: DataFrame, users: DataFrame) -> DataFrame:
     return join_by_name(claims, taken, "username", "_taken", "left_anti")
 
 
+def _granted(checked: DataFrame, users: DataFrame) -> DataFrame:
+    """`seq` of the valid requests that get their name."""
+    return _free(_first_claims(checked.filter(F.size("errors") == 0)), users).select("seq")
+
+
 def register(requests: DataFrame, users: DataFrame) -> DataFrame:
     """Rows to append to the users table, with the `seq` of their request."""
-    valid = requests.withColumn("errors", registration_errors()).filter(F.size("errors") == 0)
-    # Stored, because numbering reads it twice.
-    granted = cut(_free(_first_claims(valid, "email", "password_hash", "created_at"), users))
+    # Numbering reads the granted requests twice, so their `seq` is stored; e-mail and
+    # password hash stay in the requests.
+    granted = cut(_granted(requests.withColumn("errors", registration_errors()), users))
     last_id = F.coalesce(users.agg(F.max("id")).scalar(), F.lit(0))
-    return number_rows(granted, "seq", "id", last_id).select(
+    return requests.join(number_rows(granted, "seq", "id", last_id), "seq").select(
         "seq",
         "id",
         "username",
@@ -102,8 +107,7 @@ def register(requests: DataFrame, users: DataFrame) -> DataFrame:
 def registration_answers(requests: DataFrame, users: DataFrame) -> DataFrame:
     """Status and error codes of every registration request."""
     checked = requests.withColumn("errors", registration_errors())
-    granted = _free(_first_claims(checked.filter(F.size("errors") == 0)), users)
-    granted = granted.select("seq", F.lit(True).alias("_granted"))
+    granted = _granted(checked, users).withColumn("_granted", F.lit(True))
     return checked.join(granted, "seq", "left").select(
         *requests.columns,
         "errors",
