@@ -10,7 +10,7 @@ from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, tune
@@ -104,3 +104,28 @@ def n_words(text: Column) -> Column:
     return F.when(F.coalesce(trimmed, F.lit("")) == "", F.lit(0)).otherwise(
         F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))
     )
+
+
+def running_sums(df: DataFrame, groups: list[str], order: str, value: str, fan: int = 4096) -> DataFrame:
+    """groups, order, `before`: the sum of `value` over smaller `order` in the group.
+
+    `order` is a whole number from 0, unique in its group. Sums are made over stretches of
+    `fan` numbers, then over the stretches, so a window holds rows / fan rows at most.
+    """
+    spans = df.select(*groups, order, value).withColumn("_span", F.floor(F.col(order) / fan))
+    inner = Window.partitionBy(*groups, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*groups).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    totals = (
+        spans.groupBy(*groups, "_span").agg(F.sum(value).alias("_sum"))
+        .withColumn("_ahead", F.coalesce(F.sum("_sum").over(outer), F.lit(0)))
+    )
+    for name in [*groups, "_span"]:
+        totals = totals.withColumnRenamed(name, f"_of_{name}")
+    same = F.lit(True)
+    for name in [*groups, "_span"]:
+        same = same & F.col(name).eqNullSafe(F.col(f"_of_{name}"))
+    return (
+        spans.withColumn("_inner", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+        .join(totals, same)
+        .select(*groups, order, (F.col("_inner") + F.col("_ahead")).alias("before"))
+    )

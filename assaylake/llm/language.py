@@ -76,8 +76,6 @@ def _positions(hashes: np.ndarray, slot_bits: int) -> list[np.ndarray]:
 def build(grams: dict[str, np.ndarray], slot_bits: int) -> Filters:
     """Filters that hold each language's n-gram hashes; at most 64 languages."""
     languages = tuple(sorted(grams))
-    if len(languages) > 64:
-        raise ValueError("a slot has bits for 64 languages")
     slots = np.zeros(1 << slot_bits, np.uint64)
     for bit, language in enumerate(languages):
         for where in _positions(grams[language].astype(np.uint64), slot_bits):
@@ -91,25 +89,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, per_language: int = 4000, min_share: float = 1e-5, slot_bits: int = 18) -> Filters:
-    """Fit the filters on at most `per_language` labelled documents of each language.
+    """Fit the filters on about `per_language` labelled documents of each language at most.
 
-    The sample holds the documents of smallest hash, so it does not depend on partitions.
-    A language's filter holds the n-grams that make up at least `min_share` of its sample,
-    hence at most 1 / min_share of them; only those reach the driver.
+    The sample holds the documents whose hash is below each language's share, so it does
+    not depend on partitions and no language's documents meet in one task. A language's
+    filter holds the n-grams that make up at least `min_share` of its sample, hence at most
+    1 / min_share of them; only those reach the driver.
     """
     labelled = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
     )
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    chosen = store(
-        labelled.select("lang", "doc_id")
-        .withColumn("_place", F.row_number().over(order))
-        .where(F.col("_place") <= per_language)
-        .select("doc_id", "lang")
-    )
-    sample = labelled.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    numbers = labelled.groupBy("lang").count().limit(65).collect()
+    if len(numbers) > 64:
+        raise ValueError("a slot has bits for 64 languages")
+    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
+    chosen = F.lit(False)
+    for row in numbers:
+        chosen = chosen | ((F.col("lang") == row.lang) & (draw < per_language / row["count"]))
+    sample = labelled.where(chosen).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, store
+from .common import n_words, running_sums, store
 
 EXACT = "decimal(38,18)"
 LEVELS = 4  # halvings that one pass over the source totals makes
@@ -133,7 +133,7 @@ def realise(docs: DataFrame, shares: DataFrame, block_tokens: int = 1_000_000, c
     own; copies are taken while the tokens before them are below the source's quota, and go
     to the block at the same fraction of all blocks as of the quota. `place` orders a block
     at random. Running sums are made over cells of about `cell_docs` documents of hash
-    neighbours, then over groups of 4,096 cells, so no window holds a whole source.
+    neighbours, then over the cells, so no window holds a whole source.
     """
     budget = shares.agg(F.sum("quota")).first()[0] or 0
     blocks = max(1, -(-budget // block_tokens))
@@ -151,26 +151,9 @@ def realise(docs: DataFrame, shares: DataFrame, block_tokens: int = 1_000_000, c
         .select("doc_id", "source", "epoch", "n_tokens", "tokens", "quota", "order", "cell")
     )
     copies = store(copies)
-    group = Window.partitionBy("source", "epoch", "super").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy("source", "epoch").orderBy("super").rowsBetween(Window.unboundedPreceding, -1)
-    sums = (
-        copies.groupBy("source", "epoch", "cell").agg(F.sum("n_tokens").alias("n"))
-        .withColumn("super", F.shiftright("cell", 12))
-    )
-    supers = (
-        sums.groupBy("source", "epoch", "super").agg(F.sum("n").alias("n"))
-        .select("source", "epoch", "super", F.coalesce(F.sum("n").over(outer), F.lit(0)).alias("ahead"))
-    )
-    before = (
-        sums.withColumn("inner", F.coalesce(F.sum("n").over(group), F.lit(0))).alias("a")
-        .join(
-            supers.alias("b"),
-            F.expr("a.source <=> b.source and a.epoch = b.epoch and a.super = b.super"),
-        )
-        .select(
-            F.col("a.source").alias("_source"), F.col("a.epoch").alias("_epoch"),
-            F.col("a.cell").alias("_cell"), (F.col("inner") + F.col("ahead")).alias("before"),
-        )
+    sums = copies.groupBy("source", "epoch", "cell").agg(F.sum("n_tokens").alias("n"))
+    before = running_sums(sums, ["source", "epoch"], "cell", "n").select(
+        F.col("source").alias("_source"), F.col("epoch").alias("_epoch"), F.col("cell").alias("_cell"), "before"
     )
     cell = Window.partitionBy("source", "epoch", "cell").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     start = (

@@ -8,7 +8,7 @@ import public_tokenizers as TOKENIZERS
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, linededup, mixing, pieces, simhash
+from . import language, linededup, mixing, neighbours, pieces, pii, quality, simhash, tokenfile
 from .common import prepare, table
 
 MIN_LANGUAGE_SCORE = 0.3
@@ -16,11 +16,23 @@ REPETITION = 1.25
 N_BEST = 4
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return pii.report(docs, pii.learn(docs))
+
+
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "source", "text")
     return mixing.mix(docs, repetition=REPETITION)
 
 
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.clean(table(spark, folder, "documents", "doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_bad_lines", F.length("clean_text").cast("bigint").alias("clean_chars"),
+    )
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
     return linededup.dedup_lines(docs).select(
@@ -28,6 +40,15 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return tokenfile.write_and_read(docs, TOKENIZERS.path("word_bpe_49k.json"))
+
+
+def op7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
 def op8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
     return pieces.encode(docs, TOKENIZERS.path("piece_bpe_32k.model"), N_BEST)
@@ -101,8 +122,12 @@ STAGES = [
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
+    "op3_quality": op3_quality,
     "op4_line_dedup": op4_line_dedup,
+    "op5_token_files": op5_token_files,
+    "op7_neighbours": op7_neighbours,
     "op8_pieces": op8_pieces,
     "op9_simhash": op9_simhash,
     "op10_language": op10_language,
