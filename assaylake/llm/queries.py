@@ -8,7 +8,7 @@ import public_tokenizers as TOKENIZERS
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, linededup, mixing, neighbours, pieces, pii, quality, simhash, tokenfile
+from . import language, licenses, linededup, mixing, neighbours, pieces, pii, quality, simhash, tokenfile
 from .common import prepare, table
 
 MIN_LANGUAGE_SCORE = 0.3
@@ -45,6 +45,10 @@ def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.write_and_read(docs, TOKENIZERS.path("word_bpe_49k.json"))
 
 
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.report(table(spark, folder, "documents", "doc_id", "text"))
+
+
 def op7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings", "vec_id", "embedding"))
 
@@ -127,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_files": op5_token_files,
+    "op6_licenses": op6_licenses,
     "op7_neighbours": op7_neighbours,
     "op8_pieces": op8_pieces,
     "op9_simhash": op9_simhash,
