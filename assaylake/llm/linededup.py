@@ -146,7 +146,8 @@ def deletions(docs: DataFrame, min_words: int = SHINGLE) -> DataFrame:
 
     layout = f"doc_id {kind}, line bigint, places array<int>, numbers array<int>, words int"
     lines = store(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(split, layout))
-    shared = (
+    # Stored, so that the join below can split the rows of a common line over tasks.
+    shared = store(
         lines.groupBy("line")
         .agg(F.min(F.struct("doc_id", "places")).alias("first"), F.max("doc_id").alias("last"))
         .where("last > first.doc_id")
