@@ -132,8 +132,8 @@ def learn(docs: DataFrame, per_language: int = 4000, min_share: float = 1e-5, sl
     return build({k: np.array(v, np.int64).view(np.uint64) for k, v in grams.items()}, slot_bits)
 
 
-def identify(docs: DataFrame, filters: Filters) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row.
+def identify(docs: DataFrame, filters: Filters, carry: str | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row, and the column `carry` if named.
 
     `score` is the share of the text's n-grams in the language's filter after the
     correction. Texts that are null or have no letter get `und` and 0, as all texts do
@@ -163,10 +163,12 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
             names = [languages[b] if k else UNKNOWN for b, k in zip(best, known)]
             top = np.where(known, scores[np.arange(len(best)), best], 0.0)
             yield record(
-                ["doc_id", "held_out", "lang_pred", "score"],
-                [batch.column(0), batch.column(1), pa.array(names, pa.string()), top],
+                ["doc_id", "held_out", "lang_pred", "score", *more],
+                [batch.column(0), batch.column(1), pa.array(names, pa.string()), top, *batch.columns[3:]],
             )
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(
-        predict, f"doc_id {type_of(docs, 'doc_id')}, held_out boolean, lang_pred string, score double"
-    )
+    more = [carry] if carry else []
+    layout = [f"doc_id {type_of(docs, 'doc_id')}, held_out boolean, lang_pred string, score double"]
+    layout += [f"`{c}` {type_of(docs, c)}" for c in more]
+    picked = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", *more)
+    return picked.mapInArrow(predict, ", ".join(layout))

@@ -73,11 +73,10 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 def stage_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose language is recognised; those without letters or language go."""
     prepare(spark)
-    found = language.identify(docs, language.learn(docs))
-    rejected = found.where(
-        (F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < MIN_LANGUAGE_SCORE)
-    ).select("doc_id")
-    return docs.join(rejected, docs.doc_id.eqNullSafe(rejected.doc_id), "left_anti")
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    found = language.identify(whole, language.learn(docs), "row")
+    known = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
+    return found.where(known).select("row.*")
 
 
 def stage_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
