@@ -7,6 +7,7 @@ bigrams lies within the bounds that the least coefficient allows.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -94,7 +95,9 @@ def compiled(templates: list[tuple[str, str]], least: float) -> list[Template]:
         words = re.sub(r"[\W_]+", " ", text.lower()).split()
         pairs = tuple(sorted({f"{a} {b}" for a, b in zip(words, words[1:])}))
         n = len(pairs)
-        out.append(Template(name, pairs, -int(-n * least // (2 - least)), int(n * (2 - least) / least)))
+        low = math.ceil(n * least / (2 - least) - 1e-9)
+        high = math.floor(n * (2 - least) / least + 1e-9)
+        out.append(Template(name, pairs, low, high))
     return out
 
 

@@ -278,6 +278,8 @@ def write_and_read(docs: DataFrame, path: str, end: int = 2) -> DataFrame:
     kind = np.uint16 if size <= 1 << 16 else np.uint32
     tokens = store(encoded(docs, path, end))
     order, total = frequency_order(tokens, max(size, end + 1), kind)
+    if not total:  # not even an end id: no documents
+        return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
     folder = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
     shards = store(write(tokens, folder, order, total, kind))
     offsets = running_sums(shards, [], "shard", "n_tokens")

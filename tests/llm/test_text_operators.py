@@ -1,0 +1,478 @@
+"""Operators on small tables against brute force, and their edge cases."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+from itertools import product
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+
+from assaylake.llm import (
+    components, language, licenses, linededup, mixing, neighbours, pieces, pii, quality, queries, simhash, tokenfile,
+)
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+
+
+def run(df):
+    return [r.asDict() for r in df.collect()]
+
+
+# --- language ---------------------------------------------------------------------------
+
+
+def test_language_held_out_accuracy(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    found = queries.op10_language(spark, data).join(docs.select("doc_id", "lang"), "doc_id")
+    rows = [r for r in found.collect() if r.held_out]
+    assert rows and sum(r.lang == r.lang_pred for r in rows) >= 0.98 * len(rows)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_edges(docs, odd):
+    found = run(language.identify(odd, language.learn(odd)))
+    assert sorted(r["doc_id"] for r in found) == [1, 2, 3, 4, 5, 5, 6]
+    assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in found if r["doc_id"] < 4)
+    empty = docs((1, "x", "en")).limit(0)
+    assert run(language.identify(empty, language.learn(empty))) == []
+    assert run(language.identify(odd, language.learn(empty)))[0]["lang_pred"] == "und"
+
+
+# --- simhash ------------------------------------------------------------------------------
+
+
+def brute_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text))
+    grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) > 2 else [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams] if words else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_equals_brute_force(spark, data):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    prints = {d: brute_fingerprint(t) for d, t in texts.items()}
+    least = {d: d for d in prints}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in product(prints, prints):
+            if least[b] < least[a] and (prints[a] ^ prints[b]).bit_count() <= 3:
+                least[a], changed = least[b], True
+    for row in queries.op9_simhash(spark, data).collect():
+        assert (row.fingerprint, row.component_id) == (f"{prints[row.doc_id]:016x}", least[row.doc_id])
+
+
+@pytest.mark.parametrize("size,block", [(300, 1024), (300, 16)])
+def test_links_find_every_pair(spark, docs, size, block):
+    docs((1, ""))
+    random = np.random.default_rng(3)
+    fps = {0}
+    for _ in range(size):
+        value = int(random.choice(sorted(fps), 1)[0]) if random.random() < 0.8 else int(random.integers(0, 1 << 62))
+        for bit in random.integers(0, 64, int(random.integers(0, 5))):
+            value ^= 1 << int(bit)
+        fps.add(value & (2**63 - 1))
+    table = spark.createDataFrame([(f,) for f in fps], "fp bigint")
+    found = simhash.links(table, 3, block=block).collect()
+    assert all(r.u < r.v for r in found)
+    parent = {f: f for f in fps}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def joined(pairs):
+        for f in fps:
+            parent[f] = f
+        for a, b in pairs:
+            parent[root(a)] = root(b)
+        return {frozenset(f for f in fps if root(f) == r) for r in {root(f) for f in fps}}
+
+    true = joined([(a, b) for a in fps for b in fps if (a ^ b).bit_count() <= 3])
+    assert joined([(r.u, r.v) for r in found]) == true
+
+
+def test_thresholds_add_up():
+    cost, chosen = simhash.allocate([[0, 5, 9, 20, 99], [0, 1, 2, 3, 4]], 4)
+    assert (cost, chosen) == (4, [-1, 3])
+    sample = np.arange(500, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for total in (500, 10**6, 10**9):
+        assert sum(t + 1 for _, t in simhash.plan(sample, total, 3)) == 4
+
+
+def test_simhash_edges(docs, odd):
+    found = {r["doc_id"]: r for r in run(simhash.near_duplicates(odd))}
+    assert [found[i]["component_id"] for i in (1, 2, 3, 4, 5, 6)] == [1, 1, 1, 4, 5, 4]
+    assert found[1]["fingerprint"] == "0" * 16
+    assert simhash.near_duplicates(odd).count() == 7
+    assert run(simhash.near_duplicates(odd.limit(0))) == []
+
+
+def test_components_of_a_chain(spark, docs):
+    docs((1, ""))
+    edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "u bigint, v bigint")
+    found = {r["node"]: r["component"] for r in run(components.components(edges))}
+    assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+# --- line dedup -----------------------------------------------------------------------------
+
+
+def test_patience_keeps_order():
+    assert linededup.patience([1, 2, 3, 4], [9, 2, 3, 8, 4]) == [(1, 1), (2, 2), (3, 4)]
+    crossed = linededup.patience([1, 2, 3], [3, 1, 2])
+    assert crossed == sorted(crossed) and len(crossed) == 2
+    assert linededup.patience([5, 5], [5]) == [(0, 0)]
+
+
+def test_line_dedup_deletes_from_the_later(docs):
+    shared = "one two three four five six seven"
+    block = "alpha beta gamma\ndelta epsilon zeta"
+    rows = docs(
+        (1, f"intro of the first\n{shared}\n{block}\nend"), (2, f"{shared}\nown line of the second document"),
+        (3, f"head\n{block}\ntail"), (4, shared), (5, "end\nanother"),
+    )
+    found = {r["doc_id"]: (r["text"], r["n_removed"]) for r in run(linededup.dedup_lines(rows))}
+    assert found[1][1] == 0
+    assert found[2] == ("own line of the second document", 1)
+    assert found[3] == ("head\ntail", 2)  # the lines are short, the block is not
+    assert found[4][0] == ""
+    assert found[5] == ("end\nanother", 0)  # a block of one word stays
+
+
+def test_line_dedup_matches_brute_force(spark, data):
+    """A line of enough words with an earlier holder goes if it occurs once on both sides."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    first = {}
+    for doc_id in sorted(texts):
+        for line in set(texts[doc_id].split("\n")):
+            first.setdefault(" ".join(line.split()), doc_id)
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    for row in run(linededup.dedup_lines(docs)):
+        old, new = Counter(texts[row["doc_id"]].split("\n")), Counter(row["text"].split("\n"))
+        gone = old - new
+        assert all(first[" ".join(x.split())] < row["doc_id"] for x in gone if x.split())
+        own = [" ".join(x.split()) for x in texts[row["doc_id"]].split("\n")]
+        holders = {}
+        for x in own:
+            if len(x.split()) >= 5 and own.count(x) == 1 and first[x] < row["doc_id"]:
+                theirs = [" ".join(y.split()) for y in texts[first[x]].split("\n")]
+                if theirs.count(x) == 1:
+                    holders.setdefault(first[x], []).append(x)
+        for lines in holders.values():
+            if len(lines) == 1:
+                assert lines[0] not in [" ".join(y.split()) for y in row["text"].split("\n")]
+
+
+def test_line_dedup_edges(docs, odd):
+    found = run(linededup.dedup_lines(odd))
+    assert sorted((r["doc_id"], r["n_removed"]) for r in found) == [(1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (5, 0), (6, 1)]
+    assert [r["text"] for r in found if r["doc_id"] == 1] == [None]
+    assert run(linededup.dedup_lines(odd.limit(0))) == []
+    assert set(found[0]) == {*odd.columns, "n_removed"}
+
+
+# --- mixing ------------------------------------------------------------------------------------
+
+
+def test_mixture_fills_the_budget(docs):
+    rows = docs(*[(i, "w " * (1 + i % 7), None, "big" if i % 10 else ("small" if i % 20 else None)) for i in range(600)])
+    taken = run(mixing.mix(rows, repetition=1.5, block_tokens=200))
+    tokens = Counter()
+    total = Counter()
+    for r in run(mixing.counted(rows)):
+        total[r["source"]] += r["n_tokens"]
+    for r in taken:
+        tokens[r["source"]] += r["n_tokens"]
+    budget = sum(total.values())
+    assert abs(sum(tokens.values()) - budget) <= 7 * len(total)
+    for source in total:
+        assert tokens[source] <= 1.5 * total[source] + 7
+    assert max(tokens[s] / total[s] for s in total) > 1.4  # levelled as far as allowed
+    copies = Counter((r["doc_id"], r["epoch"]) for r in taken)
+    assert set(copies.values()) == {1}
+    blocks = Counter(r["block"] for r in taken)
+    assert sorted(blocks) == list(range(len(blocks)))
+    for b in blocks:
+        assert sorted(r["place"] for r in taken if r["block"] == b) == list(range(1, blocks[b] + 1))
+
+
+def test_exponent_meets_the_entropy(docs):
+    rows = mixing.counted(docs(*[(i, "w " * 5, None, "abc"[min(2, i // 40)]) for i in range(100)]))
+    totals = mixing.source_totals(rows)
+    wide = mixing.solve(totals, entropy=1.08, repetition=None)
+    assert wide.entropy == pytest.approx(1.08, abs=1e-5) and 0 < wide.alpha < 1
+    assert mixing.solve(totals, entropy=9.0).alpha == pytest.approx(0, abs=1e-6)
+    assert mixing.solve(totals, entropy=0.0).alpha == 1.0
+    assert mixing.solve(totals, repetition=1.0).repetition <= 1.0
+    assert math.isclose(sum(r["weight"] for r in run(mixing.weights(totals, wide))), 1, abs_tol=1e-8)
+
+
+def test_mixing_edges(odd):
+    taken = run(mixing.mix(odd))
+    assert {r["doc_id"] for r in taken} <= {4, 5, 6}
+    assert run(mixing.mix(odd.limit(0))) == []
+
+
+# --- pieces ----------------------------------------------------------------------------------------
+
+
+def every_segmentation(model, text):
+    out = []
+
+    def go(at, score, ids):
+        if at == len(text):
+            out.append((score, tuple(ids)))
+            return
+        single = False
+        for end in range(at + 1, len(text) + 1):
+            edge = model.edges.get(text[at:end])
+            if edge:
+                single = single or end == at + 1
+                go(end, score + edge[1], [*ids, edge[0]])
+        if not single:
+            go(at + 1, score + model.unknown_score, ids + [model.byte_ids[b] for b in text[at].encode()])
+
+    go(0, 0.0, [])
+    return sorted(out, key=lambda x: -x[0])
+
+
+def test_nbest_equals_every_segmentation():
+    model = pieces.load(PIECES)
+    for text in ["", "a", "the an", "on  in", "né 漢\nre", "thentha", "▁x", "  "]:
+        marked = pieces.MARK + text.replace(" ", pieces.MARK) if text else ""
+        true = every_segmentation(model, marked)
+        found = pieces.nbest(model, text, 5)
+        assert [s for s, _ in found] == [s for s, _ in true[:5]]
+        assert {(s, tuple(i)) for s, i in found} <= set(true)
+        assert len({tuple(i) for _, i in found}) == len(found)
+        assert all(pieces.decode(model, i) == text.replace(pieces.MARK, " ") for _, i in found)
+
+
+def test_pieces_edges(odd, docs):
+    found = run(pieces.encode(odd, PIECES))
+    assert len(found) == 7 and all(r["decoded"] for r in found)
+    assert [r["pieces"] for r in found if r["doc_id"] in (1, 2)] == [[], []]
+    assert run(pieces.encode(odd.limit(0), PIECES)) == []
+    ranks = run(pieces.segment(docs((1, "the cat"), (2, None)), PIECES, 3))
+    assert [(r["doc_id"], r["rank"]) for r in ranks] == [(1, 1), (1, 2), (1, 3), (2, 1)]
+
+
+# --- quality -----------------------------------------------------------------------------------------
+
+
+def test_quality_counts(spark, data):
+    rows = {r.doc_id: r for r in queries.op3_quality(spark, data).collect()}
+    for doc in spark.read.parquet(f"{data}/documents.parquet").collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", doc.text)
+        times = Counter(zip(words, words[1:], words[2:]))
+        marked = {i + k for i in range(len(words) - 2) if times[tuple(words[i : i + 3])] > 1 for k in range(3)}
+        seen, again = set(), 0
+        for line in doc.text.split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                again += line in seen
+                seen.add(line)
+        r = rows[doc.doc_id]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (
+            len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", doc.text)), again, len(marked),
+        )
+        assert r.base_failed == (len(words) < 50 or 100 * len(marked) > 50 * len(words))
+
+
+def test_bad_lines_go(docs):
+    prose = "\n".join(" ".join(f"word{n * k}x{n}" for k in range(9)) + "." for n in range(8))
+    menu = "Home | News | About | Contact"
+    rows = docs((1, prose), (2, f"{menu}\n{prose}\nAll rights reserved."), (3, "\n".join([menu] * 40) + "\n" + prose))
+    found = {r["doc_id"]: r for r in run(quality.clean(rows))}
+    assert (found[1]["kept"], found[1]["clean_text"]) == (True, prose)
+    assert (found[2]["kept"], found[2]["clean_text"], found[2]["n_bad_lines"]) == (True, prose, 2)
+    assert not found[3]["kept"]
+
+
+def test_quality_edges(odd):
+    found = run(quality.clean(odd))
+    assert len(found) == 7 and not any(r["kept"] for r in found if r["doc_id"] < 4)
+    assert run(quality.clean(odd.limit(0))) == []
+
+
+# --- token files ----------------------------------------------------------------------------------------
+
+
+def test_control_bytes_round_trip():
+    values = np.array([0, 1, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1, 7], np.uint32)
+    for n in range(len(values) + 1):
+        control, data = tokenfile.pack(values[:n])
+        assert len(control) == -(-n // 4)
+        assert (tokenfile.unpack(control, data, n) == values[:n]).all()
+
+
+def test_token_files(spark, data, docs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(WORDS)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    rows = {r.doc_id: r for r in queries.op5_token_files(spark, data).collect()}
+    start = 0
+    for doc_id in sorted(texts):
+        ids = [*tokenizer.encode(texts[doc_id], add_special_tokens=False).ids, 2]
+        r = rows[doc_id]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_encoder_equals_the_library():
+    encode = tokenfile.Encoder(WORDS)
+    odd_texts = ["It's <|endoftext|>x, ÉTÉ's 4²x!'s", "İx Σας\x1fa  b", "é x́", "", "a\nb\tc 'll!'re"]
+    for text, ids in zip(odd_texts, encode(odd_texts)):
+        true = encode.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, encode.kind).tolist() == true
+
+
+def test_token_file_edges(odd):
+    found = sorted((r["doc_id"], r["n_tokens"]) for r in run(tokenfile.write_and_read(odd, WORDS)))
+    assert [n for _, n in found[:2]] == [1, 1] and len(found) == 7
+    assert run(tokenfile.write_and_read(odd.limit(0), WORDS)) == []
+
+
+# --- licenses ---------------------------------------------------------------------------------------------
+
+
+def test_licenses(docs, odd):
+    mit = dict(licenses.TEMPLATES)["MIT"]
+    wrapped = re.sub(r"(.{60}\S*) ", r"\1\n", mit)
+    rows = docs(
+        (1, "Text.\nReleased under the MIT License.\nMore."), (2, f"Title\n\n{wrapped}\n\nEnd of it."),
+        (3, "Nothing of the kind."), (4, mit.replace("SOFTWARE", "PROGRAM").upper()),
+    )
+    found = {r["doc_id"]: r for r in run(licenses.report(rows))}
+    assert (found[1]["license"], found[1]["score"], found[1]["matches"]) == ("MIT", 1.0, "line:1:MIT")
+    assert (found[2]["license"], found[2]["matches"]) == ("MIT", "paragraph:1:MIT,text:0:MIT")
+    assert (found[3]["license"], found[3]["n_matches"], found[3]["matches"]) == (None, 0, "")
+    assert found[4]["license"] == "MIT" and found[4]["score"] < 1
+    assert all(r["license"] is None for r in run(licenses.report(odd)))
+    assert run(licenses.report(odd.limit(0))) == []
+
+
+def test_license_bounds():
+    for t in licenses.compiled(licenses.TEMPLATES, 0.8):
+        n = len(t.bigrams)
+        assert all((2 * min(size, n) / (size + n) >= 0.8 - 1e-12) == (t.low <= size <= t.high) for size in range(1, 3 * n))
+
+
+# --- neighbours ---------------------------------------------------------------------------------------------
+
+
+def brute_nearest(vectors, k=20, every=20):
+    ids = sorted(vectors)
+    matrix = np.array([vectors[i] for i in ids])
+    out = {}
+    for i in ids:
+        if i % every == 0:
+            score = np.einsum("ij,j->i", matrix, np.array(vectors[i]))
+            ranked = sorted((-s, j) for j, s in zip(ids, score) if j != i)[:k]
+            out[i] = [j for _, j in ranked]
+    return out
+
+
+def test_exact_at_factor_one_and_recall(spark, data):
+    table = spark.read.parquet(f"{data}/embeddings.parquet")
+    vectors = {r.vec_id: [float(x) for x in r.embedding] for r in table.collect()}
+    true = brute_nearest(vectors)
+    for factor, least in ((1.0, 1.0), (0.7, 0.9)):
+        found = {}
+        for r in neighbours.nearest(table, factor=factor, shard_rows=150, query_rows=10).orderBy("query_id", "rank").collect():
+            found.setdefault(r.query_id, []).append(r.vec_id)
+        hits = sum(len(set(true[q]) & set(found[q])) for q in true)
+        assert hits >= least * sum(map(len, true.values()))
+
+
+def test_neighbour_edges(spark, docs):
+    docs((1, ""))
+    rows = [
+        (0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [2.0, 0.0]), (5, [2.0, 0.0]),
+        (5, [2.0, 0.0]), (6, [None, 1.0]), (7, [0.0, 5.0]), (None, [1.0, 1.0]), (20, [float("inf"), 0.0]),
+    ]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    found = run(neighbours.nearest(table).orderBy("query_id", "rank"))
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found] == [
+        (0, 1, 4, 2.0), (0, 2, 5, 2.0), (0, 3, 7, 0.0),
+    ]
+    assert run(neighbours.nearest(table.limit(0))) == []
+
+
+# --- personal data --------------------------------------------------------------------------------------------
+
+
+def base_spans(text):
+    found = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        found.append(("email", m))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m.group().split(".")):
+            found.append(("ip", m))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        number = re.sub("[^0-9]", "", m.group())
+        doubled = sum(int(c) if i % 2 == 0 else 2 * int(c) - 9 * (c > "4") for i, c in enumerate(number[::-1]))
+        if 13 <= len(number) <= 19 and doubled % 10 == 0:
+            found.append(("card", m))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15:
+            found.append(("phone", m))
+    return [f"{k}:{m.start()}:{m.end()}" for k, m in found]
+
+
+HARD = [
+    "a@b.c_d@e.f g@h i@j.k", "é x@y.com 漢 1.2.3.4.5.6.7.8 1.2.3.400 0001.2.3.4", "4111 1111 1111 1111 4111111111111111",
+    "4111-1111-1111-1111 5 6 7", "+1 (743) 555-3824 4111111111111111", "+1(2", "+49 30 1234567. +4930123456789012345",
+    "9" * 3000, "a." * 2000 + "@", "@".join(["x.y"] * 50), "1." * 3000, "", None,
+]
+
+
+def test_base_spans_equal_plain_patterns(docs):
+    rows = docs(*enumerate(HARD))
+    for r in run(pii.report(rows, pii.Scorer())):
+        true = base_spans(HARD[r["doc_id"]] or "")
+        assert r["spans"] == ",".join(true)
+        assert r["base_sha256"] == hashlib.sha256(",".join(true).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x.startswith(k) for x in true) for k in pii.KINDS]
+
+
+def test_trees_add_hidden_spans(spark, data, docs, odd):
+    table = spark.read.parquet(f"{data}/documents.parquet").unionByName(
+        spark.read.parquet(f"{data.replace('0.001', '0.01')}/documents.parquet")
+    )
+    scorer = pii.learn(table)
+    rows = docs((1, "Pay with 4111111111111111 4111111111111111 now."), (2, "clean text, 12 words of 1999, no. 7."))
+    found = {r["doc_id"]: r for r in run(pii.report(rows, scorer))}
+    assert found[1]["n_card"] == 0 and found[1]["spans"] == "card:9:25,card:26:42"
+    assert found[2]["spans"] == ""
+    masked = {r["doc_id"]: r["text"] for r in run(pii.redact(rows, scorer))}
+    assert masked[1] == "Pay with [card] [card] now."
+    assert all(r["spans"] == "" for r in run(pii.report(odd, scorer)))
+    assert run(pii.report(odd.limit(0), scorer)) == []
+    assert pii.learn(odd).thresholds == {}
+
+
+# --- pipeline ---------------------------------------------------------------------------------------------------
+
+
+def test_pipeline(spark, data):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    result = corpus_pipeline.run(spark, data).collect()
+    assert result and all(r.decoded for r in result)
+    at = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, at, data)
+        assert after.columns == docs.columns
+        assert run(stage(spark, at.limit(0), data)) == []
+        at = after
