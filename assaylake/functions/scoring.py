@@ -24,7 +24,9 @@ def wilson_low(successes: Column, trials: Column, z: float = Z95) -> Column:
     z2 = z * z
     centre = share + F.lit(z2) / (n * 2.0)
     spread = F.sqrt(share * (F.lit(1.0) - share) / n + F.lit(z2) / (n * n * 4.0)) * z
-    return F.when(trials > 0, (centre - spread) / (F.lit(1.0) + F.lit(z2) / n)).otherwise(0.0)
+    low = (centre - spread) / (F.lit(1.0) + F.lit(z2) / n)
+    # Without successes the difference may fall a hair below zero.
+    return F.when((trials > 0) & (successes > 0), low).otherwise(0.0)
 
 
 def mean(total: Column, n: Column) -> Column:

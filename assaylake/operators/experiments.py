@@ -24,9 +24,9 @@ def create_experiments(requests: DataFrame, last_number: int = 0) -> DataFrame:
 
 
 def list_experiments(experiments: DataFrame, users: DataFrame) -> DataFrame:
-    """Experiments with the name of their user; experiments without one stay out."""
+    """All experiments, with the name of their user or NULL where there is none."""
     owners = users.select(F.col("id").alias("user_id"), "username")
-    return experiments.join(owners, "user_id").select(*experiments.columns, "username")
+    return experiments.join(owners, "user_id", "left").select(*experiments.columns, "username")
 
 
 def to_long(wide: DataFrame, names: list[str], keys: list[str]) -> DataFrame:

@@ -6,26 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def versions(changes: DataFrame, key: str, seq: str, hours: int = 24) -> DataFrame:
+def versions(changes: DataFrame, key: str, seq: str, seconds: int = 3600) -> DataFrame:
     """Changes (key, valid_from, seq, ...) with `valid_to` and `is_current`.
 
     A version ends where the next one of its key starts. The next start is looked up
-    inside time slices of `hours` and, for the last version of a slice, from the first
+    inside time slices of `seconds` and, for the last version of a slice, from the first
     start of the key's next slice; one key with very many changes is therefore sorted
-    slice by slice in many tasks.
+    slice by slice in many tasks. NULL keys are a key, and changes without `valid_from`
+    come before all others of their key.
     """
-    slice_of = F.floor(F.unix_seconds("valid_from") / (3600 * hours))
+    slice_of = F.floor(F.unix_seconds("valid_from") / seconds)
     sliced = changes.withColumn("_slice", slice_of)
     within = Window.partitionBy(key, "_slice").orderBy("valid_from", seq)
     firsts = sliced.groupBy(key, "_slice").agg(F.min("valid_from").alias("_first"))
     following = firsts.select(
-        key,
-        "_slice",
+        F.col(key).alias("_key"),
+        F.col("_slice").alias("_at"),
         F.lead("_first").over(Window.partitionBy(key).orderBy("_slice")).alias("_following"),
     )
     return (
         sliced.withColumn("_next", F.lead("valid_from").over(within))
-        .join(following, [key, "_slice"])
+        .join(following, F.col(key).eqNullSafe(F.col("_key")) & F.col("_slice").eqNullSafe(F.col("_at")))
         .withColumn("valid_to", F.coalesce("_next", "_following"))
         .withColumn("is_current", F.col("valid_to").isNull())
         .select(*changes.columns, "valid_to", "is_current")

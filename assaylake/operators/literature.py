@@ -138,8 +138,15 @@ def copy_groups(documents: DataFrame) -> DataFrame:
 
 
 def drop_copies(documents: DataFrame) -> DataFrame:
-    """The document of lowest id of every group of equal texts."""
-    return documents.join(copy_groups(documents), "doc_id")
+    """The document of lowest id of every group of equal texts.
+
+    Documents without text are copies of nothing and all stay, with no key and one copy.
+    """
+    texts = documents.filter(F.col("text").isNotNull())
+    alone = documents.filter(F.col("text").isNull()).select(
+        "*", F.lit(None).cast("string").alias("key"), F.lit(1).cast("long").alias("copies")
+    )
+    return texts.join(copy_groups(texts), "doc_id").unionByName(alone)
 
 
 def classify(

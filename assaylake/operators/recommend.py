@@ -62,30 +62,29 @@ def match(queries: DataFrame, summed: DataFrame, width: float = 5.0) -> DataFram
     """Settings inside the bounds of each query, both ends included.
 
     A range join: settings fall in temperature buckets of `width`, a query is copied
-    to the buckets its range covers, clipped to the range its type was ever observed
-    in, and both meet by equality on type and bucket. Exact bounds are tested on the
-    rows that met. The settings are stored once: the observations behind them are read
-    for their extent and for the join together.
+    to those occupied buckets of its type that its range touches, and both meet by
+    equality on type and bucket. Far outliers so add one bucket each. Exact bounds are
+    tested on the rows that met. Settings without temperature have a bucket of their
+    own, which only queries without temperature bounds reach. The settings are stored
+    once: their buckets and the join read them together.
     """
     summed = cut(summed)
-    low = F.col("temperature").cast("double")
-    extent = summed.groupBy("experiment_type").agg(
-        F.min(low).alias("_low"), F.max(low).alias("_high")
-    )
-    placed = queries.join(small_side(extent), "experiment_type")
-    first = F.greatest(F.coalesce("temperature_min", "_low"), F.col("_low"))
-    last = F.least(F.coalesce("temperature_max", "_high"), F.col("_high"))
-    covered = F.sequence(F.floor(first / width), F.floor(last / width))
-    placed = (
-        placed.filter(first <= last)
-        .withColumn("_bucket", F.explode(covered))
-        .drop("_low", "_high")
+    bucket = F.floor(F.col("temperature").cast("double") / width)
+    occupied = summed.select(F.col("experiment_type"), bucket.alias("_bucket")).distinct()
+    low, high = F.col("temperature_min"), F.col("temperature_max")
+    placed = queries.join(small_side(occupied), "experiment_type").filter(
+        F.when(F.col("_bucket").isNull(), low.isNull() & high.isNull()).otherwise(
+            (low.isNull() | (F.col("_bucket") >= F.floor(low / width)))
+            & (high.isNull() | (F.col("_bucket") <= F.floor(high / width)))
+        )
     )
-    bucketed = summed.withColumn("_bucket", F.floor(low / width))
+    bucketed = summed.select("*", bucket.alias("_own"), F.col("experiment_type").alias("_type"))
+    bucketed = bucketed.drop("experiment_type")
     inside = [
         within(F.col(p).cast("double"), F.col(f"{p}_min"), F.col(f"{p}_max")) for p in PARAMS
     ]
-    met = placed.join(bucketed, ["experiment_type", "_bucket"]).filter(inside[0] & inside[1])
+    same = (F.col("experiment_type") == F.col("_type")) & F.col("_bucket").eqNullSafe(F.col("_own"))
+    met = placed.join(bucketed, same).filter(inside[0] & inside[1])
     return met.select("query_id", *summed.columns)
 
 

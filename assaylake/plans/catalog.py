@@ -544,16 +544,16 @@ def stream_usage(spark, folder):
     work = _work(spark)
     attempts = roles.attempts_of(_stream_of(spark, folder, "events"))
     decided = logins.decide_logins(attempts, roles.users(spark, folder))
-    jobs.append_to_table(jobs.usage_stream(decided), work).awaitTermination()
-    return spark.read.parquet(f"{work}/table")
+    jobs.usage_stream(decided, work).awaitTermination()
+    return jobs.summed(spark, work, jobs.USAGE_KEYS)
 
 
 @query
 def stream_dashboard(spark, folder):
     work = _work(spark)
     results = roles.results_of(_stream_of(spark, folder, "events"))
-    jobs.append_to_table(jobs.dashboard_stream(results), work).awaitTermination()
-    return spark.read.parquet(f"{work}/table")
+    jobs.dashboard_stream(results, work).awaitTermination()
+    return jobs.summed(spark, work, jobs.DASHBOARD_KEYS)
 
 
 @query

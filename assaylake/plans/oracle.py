@@ -113,8 +113,9 @@ CTES = {
         LEFT JOIN winners w ON w.user_id = k.user_id AND w.username = k.username""",
     "deletions": """
         SELECT o_orderkey AS seq,
-               CASE WHEN o_orderstatus = 'P' THEN -1 - o_orderkey ELSE o_custkey END AS user_id
-        FROM orders WHERE o_totalprice > 450000""",
+               CASE WHEN o_orderstatus = 'P' OR o_totalprice <= 450000
+                    THEN -1 - o_orderkey ELSE o_custkey END AS user_id
+        FROM orders""",
     "remaining": """
         SELECT * FROM users WHERE id NOT IN (SELECT user_id FROM deletions)""",
     # --- experiments
@@ -185,11 +186,12 @@ CTES = {
                CASE WHEN n > 1 THEN
                    round(sqrt(greatest(s - t * t / n, 0) / (n - 1)::DOUBLE), 4) END
                    AS score_spread,
+               CASE WHEN successes = 0 THEN 0::DOUBLE ELSE
                round((successes / n::DOUBLE + 1.96::DOUBLE * 1.96::DOUBLE / (n::DOUBLE * 2)
                       - sqrt(successes / n::DOUBLE * (1 - successes / n::DOUBLE) / n::DOUBLE
                              + 1.96::DOUBLE * 1.96::DOUBLE / (n::DOUBLE * n::DOUBLE * 4))
                         * 1.96::DOUBLE)
-                     / (1 + 1.96::DOUBLE * 1.96::DOUBLE / n::DOUBLE), 6) AS confidence
+                     / (1 + 1.96::DOUBLE * 1.96::DOUBLE / n::DOUBLE), 6) END AS confidence
         FROM bins""",
     "ranked": f"""
         SELECT * FROM (
@@ -433,7 +435,7 @@ SQL = {
         """SELECT experiment_id, o_custkey AS user_id, p_type AS experiment_type,
                   l_shipdate AS created_at, u.username
            FROM lines JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey
-           JOIN users u ON u.id = o_custkey""",
+           LEFT JOIN users u ON u.id = o_custkey""",
     ),
     "experiment_params": _with(
         "lines observations long_all long_given",
@@ -662,25 +664,20 @@ SQL = {
     ),
     "stream_login": _with(f"{_LOGIN} audit", "SELECT * FROM audit"),
     "stream_dashboard": """
-        SELECT * FROM (
-            SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, user_id,
-                   count(*) AS experiments,
-                   count(*) FILTER (WHERE event_type = 'purchase') AS successes
-            FROM events GROUP BY ALL) w
-        WHERE window_start + INTERVAL 1 HOUR
-              <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+        SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, user_id,
+               count(*) AS experiments,
+               count(*) FILTER (WHERE event_type = 'purchase') AS successes
+        FROM events GROUP BY ALL""",
     "stream_feedback": """
         SELECT json_extract(props, '$.k')::BIGINT AS prediction_id, user_id,
                value::DECIMAL(18, 4)::DOUBLE AS rating, event_type = 'purchase' AS success
         FROM events WHERE event_type <> 'error'""",
     "stream_usage": _with(
         _LOGIN,
-        """SELECT * FROM (
-               SELECT date_trunc('hour', created_at)::TIMESTAMP AS window_start,
-                      date_trunc('hour', created_at)::TIMESTAMP + INTERVAL 1 HOUR AS window_end,
-                      username, count(*) AS attempts,
-                      count(*) FILTER (WHERE NOT ok) AS failures
-               FROM decided GROUP BY ALL) w
-           WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+        """SELECT date_trunc('hour', created_at)::TIMESTAMP AS window_start,
+                  date_trunc('hour', created_at)::TIMESTAMP + INTERVAL 1 HOUR AS window_end,
+                  username, count(*) AS attempts,
+                  count(*) FILTER (WHERE NOT ok) AS failures
+           FROM decided GROUP BY ALL""",
     ),
 }

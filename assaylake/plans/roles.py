@@ -140,11 +140,11 @@ def patches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def deletions(spark: SparkSession, folder: str) -> DataFrame:
-    """Large finished orders close their account; some name an unknown one."""
-    orders = table(spark, folder, "orders").filter(c("o_totalprice") > 450000)
-    return orders.select(
+    """Every order is a request: large ones close their account, others name none."""
+    unknown = (c("o_orderstatus") == "P") | (c("o_totalprice") <= 450000)
+    return table(spark, folder, "orders").select(
         c("o_orderkey").alias("seq"),
-        F.when(c("o_orderstatus") == "P", -1 - c("o_orderkey"))
+        F.when(unknown, -1 - c("o_orderkey"))
         .otherwise(c("o_custkey"))
         .alias("user_id"),
     )

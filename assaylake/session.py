@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,11 +30,18 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is set (tests) a local one."""
+    """The cluster's shared folder, spark.checkpoint.dir.
+
+    Where none is set, a local master gets a folder of its own machine; on a cluster,
+    whose executors share none, that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("assaylake.folder", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all of {master} share")
         folder = tempfile.mkdtemp(prefix="assaylake-")
         spark.conf.set("assaylake.folder", folder)
     return folder

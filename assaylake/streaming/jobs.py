@@ -18,25 +18,18 @@ from ..operators.logins import (
 )
 
 
-def usage_stream(audit: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Usage per window; a window appears once, when `delay` has passed its end.
-
-    Rows of windows that an earlier micro-batch closed are not counted.
-    """
-    return usage(audit.withWatermark("created_at", delay), width)
+USAGE_KEYS = ["window_start", "window_end", "username"]
+DASHBOARD_KEYS = ["window_start", "user_id"]
 
 
-def dashboard_stream(
-    results: DataFrame, width: str = "1 hour", delay: str = "10 minutes"
-) -> DataFrame:
+def dashboard_counts(results: DataFrame, width: str = "1 hour") -> DataFrame:
     """Experiments and successes per window and user.
 
     results: user_id, success, created_at. The windows of a user add up to the
     `counts` that operators.experiments.dashboard takes.
     """
     return (
-        results.withWatermark("created_at", delay)
-        .groupBy(F.window("created_at", width).alias("w"), "user_id")
+        results.groupBy(F.window("created_at", width).alias("w"), "user_id")
         .agg(F.count("*").alias("experiments"), F.count_if("success").alias("successes"))
         .select(
             F.col("w.start").alias("window_start"), "user_id", "experiments", "successes"
@@ -44,25 +37,50 @@ def dashboard_stream(
     )
 
 
-def append_to_table(stream: DataFrame, folder: str) -> StreamingQuery:
-    """Append the stream to Parquet files below `folder`, until the input is read."""
-    return (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", f"{folder}/table")
-        .option("checkpointLocation", f"{folder}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
+def usage_stream(
+    audit: DataFrame, folder: str, width: str = "1 hour", trigger: dict | None = None
+) -> StreamingQuery:
+    """Partial usage counts of every micro-batch below `folder`; read with `summed`."""
+    return _count_stream(audit, folder, lambda batch: usage(batch, width), trigger)
+
+
+def dashboard_stream(
+    results: DataFrame, folder: str, width: str = "1 hour", trigger: dict | None = None
+) -> StreamingQuery:
+    """Partial dashboard counts of every micro-batch; read with `summed`."""
+    return _count_stream(results, folder, lambda batch: dashboard_counts(batch, width), trigger)
+
+
+def _count_stream(
+    stream: DataFrame, folder: str, count: Callable[[DataFrame], DataFrame], trigger: dict | None
+) -> StreamingQuery:
+    """A batch that is repeated replaces its own counts, so nothing counts twice; no state
+    is kept and no row is ever too late."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        count(batch).write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
+
+    return _each_batch(stream, folder, write, trigger)
+
+
+def summed(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    """The counts of all micro-batches so far, added up per key."""
+    parts = spark.read.parquet(f"{folder}/counts").drop("batch")
+    counts = [c for c in parts.columns if c not in keys]
+    return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts])
 
 
 def _each_batch(
-    stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None]
+    stream: DataFrame,
+    folder: str,
+    write: Callable[[DataFrame, int], None],
+    trigger: dict | None = None,
 ) -> StreamingQuery:
+    """`trigger` as for writeStream.trigger, by default until the input is read."""
     return (
         stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", f"{folder}/state")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 

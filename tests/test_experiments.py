@@ -1,5 +1,7 @@
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from assaylake import schemas
 from assaylake.operators import experiments, feedback, history
 from test_accounts import make_users
@@ -70,7 +72,7 @@ def test_lists_and_joins(spark, rows):
     table = spark.createDataFrame(
         [("e1", 1, "reaction", None), ("e2", 9, "reaction", None)], schemas.EXPERIMENT
     )
-    assert rows(experiments.list_experiments(table, users), "experiment_id", "username") == [("e1", "bob")]
+    assert rows(experiments.list_experiments(table, users), "experiment_id", "username") == [("e1", "bob"), ("e2", None)]
     params = spark.createDataFrame([("e1", "t", Decimal(1)), ("e1", "p", Decimal(2))], schemas.PARAMETER)
     results = spark.createDataFrame([("e1", Decimal(5), True)], schemas.RESULT)
     joined = experiments.with_parameters(table, params, results)
@@ -130,8 +132,8 @@ def test_history_over_slices(spark, rows):
          (1, 4, "2024-01-09 00:00"), (2, 5, "2024-01-02 00:00")],
         "user_id long, seq long, t string",
     ).selectExpr("user_id", "seq", "cast(t as timestamp) as valid_from")
-    for hours in (1, 24, 24 * 365):
-        out = history.versions(changes, "user_id", "seq", hours)
+    for seconds in (60, 3600, 86400 * 365):
+        out = history.versions(changes, "user_id", "seq", seconds)
         got = [
             (s, str(v) if v else None, c) for s, v, c in rows(out, "seq", "valid_to", "is_current")
         ]
@@ -139,3 +141,14 @@ def test_history_over_slices(spark, rows):
             (1, "2024-01-01 10:00:00", False), (2, "2024-01-01 23:59:00", False),
             (3, "2024-01-09 00:00:00", False), (4, None, True), (5, None, True),
         ]
+
+
+def test_versions_keep_null_rows(spark):
+    changes = spark.createDataFrame(
+        [(1, None, 1), (1, "2020-01-02", 2), (1, "2020-01-03", 3), (None, "2020-01-01", 4), (2, None, 5)],
+        "user_id long, valid_from string, seq long",
+    ).withColumn("valid_from", F.col("valid_from").cast("timestamp"))
+    out = {r.seq: (str(r.valid_to)[:10], r.is_current) for r in history.versions(changes, "user_id", "seq").collect()}
+    assert out == {
+        1: ("2020-01-02", False), 2: ("2020-01-03", False), 3: ("None", True), 4: ("None", True), 5: ("None", True),
+    }

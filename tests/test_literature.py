@@ -93,3 +93,9 @@ def test_types(spark, rows):
     assert rows(mined) == [
         (0, "solubility", "temperature", 25.0, "°C"), (1, "other", "pressure", 5.0, "atm")
     ]
+
+
+def test_documents_without_text_are_no_copies(spark):
+    docs = spark.createDataFrame([(1, None), (2, None), (3, "a b"), (4, "A  b")], "doc_id long, text string")
+    found = sorted((r.doc_id, r.copies) for r in literature.drop_copies(docs).collect())
+    assert found == [(1, 1), (2, 1), (3, 2)]

@@ -179,3 +179,23 @@ def test_normalise(spark):
     assert t == [(1.0, -0.707107, 0.0), (2.0, 0.0, 0.5), (3.0, 0.707107, 1.0)]
     p = [r for r in got if r["name"] == "p"][0]
     assert p["filled"] == 2.0 and p["z_score"] is None and p["unit_scale"] is None
+
+
+def test_null_temperatures_and_outliers_are_matched(spark, queries):
+    rows = [
+        ("a", "reaction", None, Decimal("2"), Decimal("1"), True),
+        ("b", "reaction", Decimal("90000000000000"), Decimal("2"), Decimal("1"), True),
+        ("c", "reaction", Decimal("20.1234"), Decimal("2"), Decimal("1"), False),
+        ("d", "reaction", Decimal("21"), None, Decimal("1"), False),
+    ]
+    observed = spark.createDataFrame(
+        rows,
+        "experiment_id string, experiment_type string, temperature decimal(18,4), "
+        "pressure decimal(18,4), outcome decimal(18,4), success boolean",
+    )
+    met = recommend.match(queries, recommend.settings(observed)).collect()
+    got = sorted((r.query_id, r.temperature is None, r.pressure is None, int(r.temperature or 0)) for r in met)
+    assert got == sorted(
+        [(1, False, False, 20), (7, False, False, 20), (7, False, True, 21), (8, False, False, 90000000000000)]
+        + [(2, True, False, 0), (2, False, False, 90000000000000), (2, False, False, 20), (2, False, True, 21)]
+    )

@@ -133,3 +133,20 @@ def test_bucketed_tables_join_without_exchange(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for name in frames:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from assaylake.session import shared_folder
+
+    class Conf(dict):
+        def set(self, key, value):
+            self[key] = value
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = Conf({k.replace("_", "."): v for k, v in conf.items()})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session(spark_master="yarn"))
+    assert shared_folder(Session(spark_master="yarn", spark_checkpoint_dir="hdfs://x/y")) == "hdfs://x/y"
+    assert shared_folder(Session(spark_master="local[2]"))

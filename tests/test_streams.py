@@ -43,16 +43,19 @@ def test_login_stream_equals_batch(spark, rows, incoming, tmp_path):
     assert spark.read.parquet(f"{out}/audit").count() == 6
 
 
-def test_usage_stream_drops_late_rows(spark, rows, incoming, tmp_path):
-    _, stream = incoming
+def test_usage_stream_counts_late_rows(spark, rows, incoming, tmp_path):
+    folder, stream = incoming
     decided = logins.decide_logins(stream, make_users(spark, PEOPLE))
-    jobs.append_to_table(jobs.usage_stream(decided), str(tmp_path / "use")).awaitTermination()
-    got = rows(spark.read.parquet(str(tmp_path / "use/table")), "window_start", "username", "attempts", "failures")
-    hour = timedelta(hours=1)
-    # Attempt 6 belongs to the first hour but comes when later hours are closed.
-    assert got == [
-        (T0, "bob", 1, 0), (T0, "nobody", 1, 1), (T0 + hour, "BOB", 1, 1), (T0 + hour, "elan", 1, 1)
-    ]
+    out = str(tmp_path / "use")
+    jobs.usage_stream(decided, out).awaitTermination()
+    names = ["window_start", "username", "attempts", "failures"]
+    # Attempt 6 belongs to the first hour but comes after later hours.
+    batch = logins.decide_logins(spark.read.schema(schemas.LOGIN_REQUEST).parquet(folder), make_users(spark, PEOPLE))
+    want = rows(logins.usage(batch), *names)
+    assert sum(r[2] for r in want) == 6
+    assert rows(jobs.summed(spark, out, jobs.USAGE_KEYS), *names) == want
+    jobs.usage_stream(decided, out).awaitTermination()
+    assert rows(jobs.summed(spark, out, jobs.USAGE_KEYS), *names) == want
 
 
 def test_dashboard_stream(spark, rows, tmp_path):
@@ -62,8 +65,13 @@ def test_dashboard_stream(spark, rows, tmp_path):
         "user_id long, success boolean, created_at timestamp",
     ).write.parquet(folder)
     stream = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
-    jobs.append_to_table(jobs.dashboard_stream(stream), str(tmp_path / "d")).awaitTermination()
-    assert rows(spark.read.parquet(str(tmp_path / "d/table"))) == [(T0, 1, 2, 1)]
+    jobs.dashboard_stream(stream, str(tmp_path / "d"), trigger={"processingTime": "1 second"}).processAllAvailable()
+    for query in spark.streams.active:
+        query.stop()
+    found = jobs.summed(spark, str(tmp_path / "d"), jobs.DASHBOARD_KEYS)
+    assert rows(found, "window_start", "user_id", "experiments", "successes") == [
+        (T0, 1, 2, 1), (T0 + timedelta(hours=5), 2, 1, 1)
+    ]
 
 
 def test_feedback_stream(spark, rows, tmp_path):
