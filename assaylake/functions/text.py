@@ -12,6 +12,12 @@ ENTITIES = (
     ("&gt;", ">"),
     ("&quot;", '"'),
     ("&#39;", "'"),
+    ("&deg;", "°"),
+    ("&#176;", "°"),
+    ("&#xB0;", "°"),
+    ("&micro;", "µ"),
+    ("&plusmn;", "±"),
+    ("&ndash;", "–"),
     ("&amp;", "&"),
 )
 

@@ -15,6 +15,10 @@ UNITS = (
     ("K", "temperature", 1.0, -273.15),
     ("atm", "pressure", 1.0, 0.0),
     ("bar", "pressure", 0.986923, 0.0),
+    ("g/L", "concentration", 1.0, 0.0),
+    ("mg/mL", "concentration", 1.0, 0.0),
+    ("mol/L", "molarity", 1.0, 0.0),
+    ("%", "share", 1.0, 0.0),
 )
 
 # Plausible range of a quantity in °C and atm.
@@ -28,7 +32,10 @@ TYPE_WORDS = {
     "material": ("material", "density", "hardness", "melting"),
 }
 
-_VALUE = r"-?[0-9]+(?:[.][0-9]+)?"
+_NUMBER = r"[0-9]+(?:[.][0-9]+)?"
+# One number or a range: a dash after a digit is no sign.
+_RANGE = rf"-?{_NUMBER}(?:[-–]{_NUMBER})*"
+_UNIT = r"[\p{L}°%]+(?:/\p{L}+)?"
 
 
 def search(documents: DataFrame, keywords: list[str], k: int) -> DataFrame:
@@ -63,26 +70,42 @@ def _unit_column(values: int, unit: Column) -> Column:
     return column
 
 
-def extract_values(documents: DataFrame) -> DataFrame:
+def _numbers(match: Column) -> Column:
+    """The numbers of one match as (number, unit); only the first can have a sign."""
+    unit = F.regexp_extract(match, rf"({_UNIT})\z", 1)
+    parts = F.regexp_extract_all(
+        F.regexp_extract(match, rf"^({_RANGE})", 1), F.lit(rf"-?{_NUMBER}"), F.lit(0)
+    )
+    return F.transform(
+        parts,
+        lambda n, i: F.struct(
+            F.when(i == 0, n).otherwise(F.ltrim(n, F.lit("-"))).alias("number"),
+            unit.alias("unit"),
+        ),
+    )
+
+
+def extract_values(documents: DataFrame, *keep: str) -> DataFrame:
     """Every number of a text with its unit, if one of the known units follows.
 
-    `position` counts the numbers of a document from 0. `quantity` and `standard` are
-    NULL for numbers without unit.
+    All numbers of a range such as 20-80 °C have its unit. `position` counts the numbers
+    of a document from 0. `quantity` and `standard` are NULL for numbers without unit.
+    The columns `keep` of the documents stay.
     """
-    pattern = rf"{_VALUE}(?:[ \t\r\n]*[\p{{L}}°]+)?"
+    pattern = rf"{_RANGE}(?:[ \t\r\n]*{_UNIT})?"
+    matches = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
     found = documents.select(
         "doc_id",
-        F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias(
-            "position", "match"
-        ),
+        *keep,
+        F.posexplode(F.flatten(F.transform(matches, _numbers))).alias("position", "match"),
     )
-    follower = F.regexp_extract("match", r"([\p{L}°]+)\z", 1)
-    value = F.regexp_extract("match", rf"^({_VALUE})", 1).try_cast("double")
+    unit = F.col("match.unit")
     read = found.select(
         "doc_id",
+        *keep,
         F.col("position").cast("long").alias("position"),
-        value.alias("value"),
-        F.when(follower.isin(*[row[0] for row in UNITS]), follower).alias("unit"),
+        F.col("match.number").try_cast("double").alias("value"),
+        F.when(unit.isin(*[row[0] for row in UNITS]), unit).alias("unit"),
     )
     standard = F.col("value") * _unit_column(2, F.col("unit")) + _unit_column(3, F.col("unit"))
     return read.select(
@@ -153,20 +176,28 @@ def classify(
     documents: DataFrame, type_words: dict[str, tuple[str, ...]] = TYPE_WORDS
 ) -> DataFrame:
     """doc_id with `data_type`: the first type one of whose words occurs, or other."""
+    return _typed(documents, type_words).select("doc_id", "data_type")
+
+
+def _typed(documents: DataFrame, type_words: dict[str, tuple[str, ...]]) -> DataFrame:
     tokens = F.col("tokens")
     kind = F.lit("other")
     for name, hints in reversed(type_words.items()):
         hit = F.arrays_overlap(tokens, F.array(*[F.lit(h) for h in hints]))
         kind = F.when(hit, F.lit(name)).otherwise(kind)
-    return documents.select("doc_id", words(F.col("text")).alias("tokens")).select(
-        "doc_id", kind.alias("data_type")
+    return documents.select("doc_id", "text", words(F.col("text")).alias("tokens")).select(
+        "doc_id", "text", kind.alias("data_type")
     )
 
 
-def literature_rows(documents: DataFrame) -> DataFrame:
-    """Rows of the literature table: type of the document and its values with unit."""
-    values = extract_values(documents).filter(F.col("unit").isNotNull())
-    typed = classify(documents)
-    return values.join(typed, "doc_id").select(
+def literature_rows(
+    documents: DataFrame, type_words: dict[str, tuple[str, ...]] = TYPE_WORDS
+) -> DataFrame:
+    """Rows of the literature table: type of the document and its values with unit.
+
+    A document is read once and nothing is shuffled.
+    """
+    values = extract_values(_typed(documents, type_words), "data_type")
+    return values.filter(F.col("unit").isNotNull()).select(
         "doc_id", "data_type", F.col("quantity").alias("name"), "value", "unit"
     )

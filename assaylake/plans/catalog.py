@@ -424,6 +424,20 @@ def lit_types(spark, folder):
     return literature.classify(roles.documents(spark, folder), TYPE_WORDS)
 
 
+@query
+def lit_rows(spark, folder):
+    return literature.literature_rows(roles.documents(spark, folder), TYPE_WORDS)
+
+
+@query
+def page_values(spark, folder):
+    pages = literature.read_pages(
+        roles.spread_table(spark, folder, "pages", "page_id", "url", "html")
+    )
+    texts = pages.select(F.col("page_id").alias("doc_id"), "text")
+    return literature.extract_values(texts).withColumnRenamed("doc_id", "page_id")
+
+
 # --- models ------------------------------------------------------------------
 
 

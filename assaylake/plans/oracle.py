@@ -206,25 +206,41 @@ CTES = {
         SELECT doc_id, list_filter(
             string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS t
         FROM documents""",
+    "written": "SELECT doc_id, text FROM documents",
     "numbers": """
-        SELECT doc_id, unnest(m) AS match, generate_subscripts(m, 1) - 1 AS position
-        FROM (SELECT doc_id, regexp_extract_all(
-                  text, '-?[0-9]+(?:[.][0-9]+)?(?:[ \\t\\r\\n]*[\\p{L}°]+)?') AS m
-              FROM documents) d""",
+        SELECT doc_id, unnest(m) AS found, generate_subscripts(m, 1) - 1 AS position
+        FROM (SELECT doc_id, flatten(list_transform(
+                  regexp_extract_all(text, '-?[0-9]+(?:[.][0-9]+)?(?:[-–][0-9]+(?:[.][0-9]+)?)*(?:[ \\t\\r\\n]*[\\p{L}°%]+(?:/\\p{L}+)?)?'),
+                  lambda x: list_transform(
+                      regexp_extract_all(
+                          regexp_extract(x, '^-?[0-9]+(?:[.][0-9]+)?(?:[-–][0-9]+(?:[.][0-9]+)?)*'),
+                          '-?[0-9]+(?:[.][0-9]+)?'),
+                      lambda n, i: {
+                          'number': CASE WHEN i = 1 THEN n ELSE ltrim(n, '-') END,
+                          'unit': regexp_extract(x, '([\\p{L}°%]+(?:/\\p{L}+)?)$', 1)}))) AS m
+              FROM written) d""",
     "measured": """
-        SELECT doc_id, position::BIGINT AS position,
-               regexp_extract(match, '^(-?[0-9]+(?:[.][0-9]+)?)', 1)::DOUBLE AS value,
-               CASE WHEN regexp_extract(match, '([\\p{L}°]+)$', 1) IN ('°C', 'K', 'atm', 'bar')
-                    THEN regexp_extract(match, '([\\p{L}°]+)$', 1) END AS unit
+        SELECT doc_id, position::BIGINT AS position, found.number::DOUBLE AS value,
+               CASE WHEN found.unit IN ('°C', 'K', 'atm', 'bar', 'g/L', 'mg/mL', 'mol/L', '%')
+                    THEN found.unit END AS unit
         FROM numbers""",
     "standardised": """
         SELECT *,
                CASE WHEN unit IN ('°C', 'K') THEN 'temperature'
-                    WHEN unit IN ('atm', 'bar') THEN 'pressure' END AS quantity,
-               round(CASE unit WHEN '°C' THEN value WHEN 'K' THEN value - 273.15::DOUBLE
-                     WHEN 'atm' THEN value WHEN 'bar' THEN value * 0.986923::DOUBLE END, 6)
-                   AS standard
+                    WHEN unit IN ('atm', 'bar') THEN 'pressure'
+                    WHEN unit IN ('g/L', 'mg/mL') THEN 'concentration'
+                    WHEN unit = 'mol/L' THEN 'molarity'
+                    WHEN unit = '%' THEN 'share' END AS quantity,
+               round(CASE WHEN unit = 'K' THEN value - 273.15::DOUBLE
+                     WHEN unit = 'bar' THEN value * 0.986923::DOUBLE
+                     WHEN unit IS NOT NULL THEN value END, 6) AS standard
         FROM measured""",
+    "typed": "SELECT doc_id, CASE "
+    + " ".join(
+        f"WHEN list_has_any(t, {list(hints)!r}) THEN '{kind}'"
+        for kind, hints in TYPE_WORDS.items()
+    )
+    + " ELSE 'other' END AS data_type FROM tokens",
     "item_tokens": """
         SELECT item_id, list_filter(
             string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS t
@@ -294,6 +310,12 @@ def _decoded(text: str) -> str:
         ("&gt;", ">"),
         ("&quot;", '"'),
         ("&#39;", "''"),
+        ("&deg;", "°"),
+        ("&#176;", "°"),
+        ("&#xB0;", "°"),
+        ("&micro;", "µ"),
+        ("&plusmn;", "±"),
+        ("&ndash;", "–"),
         ("&amp;", "&"),
     ):
         text = f"replace({text}, '{reference}', '{character}')"
@@ -624,11 +646,11 @@ SQL = {
                {_decoded(_PAGE_TEXT)} AS text
         FROM pages""",
     "lit_params": _with(
-        "numbers measured standardised",
+        "written numbers measured standardised",
         "SELECT doc_id, position, value, unit, quantity, standard FROM standardised",
     ),
     "lit_validate": _with(
-        "numbers measured standardised",
+        "written numbers measured standardised",
         """SELECT doc_id, position, value, concat_ws(',',
                   CASE WHEN value IS NULL THEN 'unreadable' END,
                   CASE WHEN unit IS NULL THEN 'no_unit' END,
@@ -653,15 +675,18 @@ SQL = {
                  FROM copies) k
            WHERE nth = 1""",
     ),
-    "lit_types": _with(
-        "tokens",
-        "SELECT doc_id, CASE "
-        + " ".join(
-            f"WHEN list_has_any(t, {list(hints)!r}) THEN '{kind}'"
-            for kind, hints in TYPE_WORDS.items()
-        )
-        + " ELSE 'other' END AS data_type FROM tokens",
+    "lit_types": _with("tokens typed", "SELECT doc_id, data_type FROM typed"),
+    "lit_rows": _with(
+        "tokens typed written numbers measured standardised",
+        """SELECT doc_id, data_type, quantity AS name, value, unit
+           FROM standardised JOIN typed USING (doc_id) WHERE unit IS NOT NULL""",
     ),
+    "page_values": f"WITH written AS (SELECT page_id AS doc_id, {_decoded(_PAGE_TEXT)} AS text "
+    + "FROM pages), "
+    + _with(
+        "numbers measured standardised",
+        "SELECT doc_id AS page_id, position, value, unit, quantity, standard FROM standardised",
+    ).removeprefix("WITH "),
     "stream_login": _with(f"{_LOGIN} audit", "SELECT * FROM audit"),
     "stream_dashboard": """
         SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, user_id,

@@ -35,6 +35,18 @@ def test_values(spark, rows):
     ]
 
 
+def test_ranges_and_solubility_units(spark, rows):
+    texts = docs(spark, "20-80 °C", "5 g/L, 40 % or 3%", "-5–10 K on 2020-01-02", "2 mg/mL; 1.5 mol/L")
+    assert rows(literature.extract_values(texts), "doc_id", "position", "value", "unit") == [
+        (0, 0, 20.0, "°C"), (0, 1, 80.0, "°C"),
+        (1, 0, 5.0, "g/L"), (1, 1, 40.0, "%"), (1, 2, 3.0, "%"),
+        (2, 0, -5.0, "K"), (2, 1, 10.0, "K"), (2, 2, 2020.0, None), (2, 3, 1.0, None), (2, 4, 2.0, None),
+        (3, 0, 2.0, "mg/mL"), (3, 1, 1.5, "mol/L"),
+    ]
+    page = spark.createDataFrame([(1, "u", "<p>25 &deg;C, 30&#176;C")], "page_id long, url string, html string")
+    assert literature.read_pages(page).first()["text"] == "25 °C, 30°C"
+
+
 def test_search(spark, rows):
     texts = docs(spark, "heat heat", "Heat, crystal", "nothing", "crystal; heat", None)
     found = literature.search(texts, ["Heat", "crystal"], 2).collect()
