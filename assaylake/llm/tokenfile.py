@@ -91,14 +91,20 @@ class Encoder:
 
     Such a tokenizer never joins characters across a blank or line feed, so a text's ids
     are those of its parts; each part is encoded by the library once while remembered.
-    Words of Latin-1 are cut further, where the tokenizer cuts them itself.
+    Words of Latin-1 are cut further, where the tokenizer cuts them itself; `plain` is the
+    same tokenizer for such parts, which are lower-cased and cut already.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         vocabulary = self.tokenizer.get_vocab()
         size = max(vocabulary.values(), default=0) + 1
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
@@ -108,14 +114,15 @@ class Encoder:
             self.ends[number] = token.endswith("</w>")
 
     def remember(self, words: list[str], joined: int) -> None:
-        """Encode words, `joined` at a time if each is one word to the tokenizer.
+        """Encode words, or, `joined` at a time, parts that are one word to the tokenizer.
 
-        The last token of such a word carries the vocabulary's mark of a word's end.
+        The last token of such a part carries the vocabulary's mark of a word's end.
         """
+        tokenizer = self.plain if joined > 1 else self.tokenizer
         groups = [words[at : at + joined] for at in range(0, len(words), joined)]
         for at in range(0, len(groups), 512):
             some = groups[at : at + 512]
-            made = self.tokenizer.encode_batch([" ".join(g) for g in some], add_special_tokens=False)
+            made = tokenizer.encode_batch_fast([" ".join(g) for g in some], add_special_tokens=False)
             for group, encoding in zip(some, made):
                 ids = np.array(encoding.ids, self.kind)
                 ends = np.flatnonzero(self.ends[ids]) + 1
@@ -134,7 +141,9 @@ class Encoder:
         if len(self.known) > CACHED:
             self.known = {"": b""}
         known = self.known
-        new = {w for p in parts for w in p if w not in known}
+        found = [list(map(known.get, p)) for p in parts]
+        gaps = [[i for i, ids in enumerate(f) if ids is None] for f in found]
+        new = {p[i] for p, gap in zip(parts, gaps) for i in gap}
         cut = {
             w: LATIN_PARTS.findall(w.lower())
             for w in new if w.isprintable() and (w.isascii() or max(w) < "\u0100") and "<|" not in w
@@ -142,8 +151,11 @@ class Encoder:
         self.remember([w for w in new if w not in cut], 1)
         self.remember(list({p for c in cut.values() for p in c if p not in known}), JOINED)
         for word, c in cut.items():
-            known[word] = b"".join(map(known.__getitem__, c))
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+            known[word] = known[c[0]] if len(c) == 1 else b"".join(map(known.__getitem__, c))
+        for p, f, gap in zip(parts, found, gaps):
+            for i in gap:
+                f[i] = known[p[i]]
+        return list(map(b"".join, found))
 
 
 @lru_cache(maxsize=2)
