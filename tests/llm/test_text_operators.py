@@ -257,6 +257,16 @@ def test_nbest_equals_every_segmentation():
         assert all(pieces.decode(model, i) == text.replace(pieces.MARK, " ") for _, i in found)
 
 
+def test_batched_pass_equals_the_single_one():
+    model = pieces.load(PIECES)
+    chunks = [" the", "the", "  ", "\n", " thentha", " né", " x漢y", " \U0001f600", " " + "ab" * 23, "\x00", " 4²x!'s"]
+    assert pieces.chunks_best(model, chunks) == [
+        pieces.chunk_best(model, c.replace(" ", pieces.MARK)) for c in chunks
+    ]
+    long = "na" * 2000 + " na"
+    assert pieces.decode(model, pieces.nbest(model, long, 3)[1][1]) == long
+
+
 def test_pieces_edges(odd, docs):
     found = run(pieces.encode(odd, PIECES))
     assert len(found) == 7 and all(r["decoded"] for r in found)
@@ -336,6 +346,13 @@ def test_encoder_equals_the_library():
         assert np.frombuffer(ids, encode.kind).tolist() == true
 
 
+def test_cut_parts_equal_the_library():
+    encode = tokenfile.Encoder(WORDS)
+    texts = [f"{a}{c} {c}{a}b {c}" for c in map(chr, range(33, 256)) for a in "aZ'9"]
+    made = [np.frombuffer(ids, encode.kind).tolist() for ids in encode(texts)]
+    assert made == [e.ids for e in encode.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_file_edges(odd):
     found = sorted((r["doc_id"], r["n_tokens"]) for r in run(tokenfile.write_and_read(odd, WORDS)))
     assert [n for _, n in found[:2]] == [1, 1] and len(found) == 7
