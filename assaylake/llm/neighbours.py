@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import grouped, record, store
 
 LEAF = 64
+FIRST = 2  # leaves that each query visits before it goes through the rest with the others
 
 
 def usable(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -97,33 +98,49 @@ def search_tree(
     ranked = np.argsort(bounds, axis=1, kind="stable")
     best = np.full((len(queries), k), -np.inf)
     found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in queries]
-    active = np.arange(len(queries))
     visits = 0
-    for turn in range(len(starts)):
-        leaf = ranked[active, turn]
-        reach = np.sqrt(np.maximum(lengths[active] + top - 2 * best[active, 0], 0))
-        reach[~np.isfinite(best[active, 0])] = np.inf
-        # Later leaves of a query have larger bounds, so it is done at the first miss.
-        active = active[bounds[active, leaf] <= factor * reach + 1e-9]
-        if not len(active):
-            break
-        leaf = ranked[active, turn]
+
+    def within_reach(rows: np.ndarray, leaf: np.ndarray | int) -> np.ndarray:
+        reach = np.sqrt(np.maximum(lengths[rows] + top - 2 * best[rows, 0], 0))
+        reach[~np.isfinite(best[rows, 0])] = np.inf
+        return rows[bounds[rows, leaf] <= factor * reach + 1e-9]
+
+    def visit(rows: np.ndarray, leaf: int) -> None:
+        block = slice(starts[leaf], ends[leaf])
+        scores = queries[rows] @ vectors[block].T
+        scores[query_ids[rows, None] == own_ids[None, block]] = -np.inf
+        # Most leaves hold nothing for a query whose k best are found already.
+        least = best[rows, 0] - 1e-9 * (1 + np.abs(best[rows, 0]))
+        some = np.flatnonzero(scores.max(axis=1) >= np.where(np.isfinite(best[rows, 0]), least, -np.inf))
+        if not len(some):
+            return
+        rows, scores = rows[some], scores[some]
+        merged = np.concatenate([best[rows], scores], axis=1)
+        best[rows] = np.sort(np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:], axis=1)
+        slack = 1e-9 * (1 + np.abs(best[rows, 0]))
+        near = scores >= np.where(np.isfinite(best[rows, 0]), best[rows, 0] - slack, -1e300)[:, None]
+        hits, values = np.nonzero(near)[1] + starts[leaf], scores[near]
+        edges = np.concatenate([[0], np.cumsum(near.sum(axis=1))]).tolist()
+        for row, begin, end in zip(rows.tolist(), edges, edges[1:]):
+            if end > begin:
+                found[row].append((hits[begin:end], values[begin:end]))
+
+    everyone = np.arange(len(queries))
+    # The leaves of smallest bound first, query by query, then leaf by leaf for all queries.
+    for turn in range(min(FIRST, len(starts))):
+        rows = within_reach(everyone, ranked[:, turn])
+        leaf = ranked[rows, turn]
         order = np.argsort(leaf, kind="stable")
         cuts = np.flatnonzero(np.diff(leaf[order])) + 1
-        for rows in np.split(active[order], cuts):
-            at = ranked[rows[0], turn]
+        for group in np.split(rows[order], cuts) if len(rows) else []:
+            visits += len(group)
+            visit(group, int(ranked[group[0], turn]))
+    turns = np.argsort(ranked, axis=1)
+    for leaf in range(len(starts)):
+        rows = within_reach(np.flatnonzero(turns[:, leaf] >= FIRST), leaf)
+        if len(rows):
             visits += len(rows)
-            block = slice(starts[at], ends[at])
-            scores = queries[rows] @ vectors[block].T
-            scores[query_ids[rows, None] == own_ids[None, block]] = -np.inf
-            merged = np.concatenate([best[rows], scores], axis=1)
-            best[rows] = np.sort(np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:], axis=1)
-            slack = 1e-9 * (1 + np.abs(best[rows, 0]))
-            near = scores >= np.where(np.isfinite(best[rows, 0]), best[rows, 0] - slack, -1e300)[:, None]
-            for row, mask in zip(rows.tolist(), near):
-                if mask.any():
-                    hit = np.flatnonzero(mask) + starts[at]
-                    found[row].append((hit, scores[row == rows][0, mask]))
+            visit(rows, leaf)
     out = []
     for row, parts in enumerate(found):
         if not parts:
