@@ -8,7 +8,7 @@ import public_tokenizers as TOKENIZERS
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, linededup, mixing, neighbours, pieces, pii, quality, simhash, tokenfile
+from . import language, licenses, linededup, mixing, neighbours, pieces, pii, quality, resemblance, simhash, tokenfile
 from .common import prepare, table
 
 MIN_LANGUAGE_SCORE = 0.3
@@ -91,9 +91,9 @@ def stage_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates."""
+    """The document of smallest id of each group of near duplicates (5-word shingles, Jaccard 0.8)."""
     prepare(spark)
-    groups = simhash.near_duplicates(docs)
+    groups = resemblance.near_copies(docs)
     gone = groups.where("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

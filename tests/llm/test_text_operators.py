@@ -13,7 +13,8 @@ import pytest
 import xxhash
 
 from assaylake.llm import (
-    components, language, licenses, linededup, mixing, neighbours, pieces, pii, quality, queries, simhash, tokenfile,
+    components, language, licenses, linededup, mixing, neighbours, pieces, pii, quality, queries, resemblance,
+    simhash, tokenfile,
 )
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -123,6 +124,44 @@ def test_components_of_a_chain(spark, docs):
     assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def brute_kept(texts):
+    """doc_ids left when of documents linked at Jaccard >= 0.8 over 5-word shingles the least stays."""
+    sets = {}
+    for d, text in texts.items():
+        words = re.sub("[A-Z]", lambda m: m.group().lower(), text).split()
+        sets[d] = {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+    least = {d: d for d in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in product(sets, sets):
+            if least[a] < least[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                least[b], changed = least[a], True
+    return sorted(d for d in least if least[d] == d)
+
+
+@pytest.mark.parametrize("hot", [64, 3])
+def test_near_duplicate_stage_equals_brute_force(spark, docs, hot, monkeypatch):
+    random = np.random.default_rng(8)
+    texts = {}
+    for family in range(6):
+        base = [f"f{family}w{i}" for i in range(120)]
+        for _ in range(8):  # one to eight changed words: similarities on both sides of 0.8
+            words = list(base)
+            for at in random.choice(120, int(random.integers(1, 5)), replace=False):
+                words[at] = f"x{random.integers(1 << 40)}"
+            texts[len(texts)] = " ".join(words)
+    texts[len(texts)] = texts[3].upper()
+    texts[len(texts)] = "only three words"
+    texts[len(texts)] = "Only three words"
+    whole = resemblance.similar_sets
+    monkeypatch.setattr(resemblance, "similar_sets", lambda d, s: whole(d, s, hot=hot))
+    left = queries.stage_near_duplicates(spark, docs(*texts.items()), "")
+    true = brute_kept(texts)
+    assert 6 < len(true) < 40
+    assert sorted(r.doc_id for r in left.collect()) == true
+
+
 # --- line dedup -----------------------------------------------------------------------------
 
 
