@@ -1,10 +1,12 @@
 """Line dedup by pairwise alignment: patience diff of documents that share lines.
 
-The partner of a shared line is its first holder, the document of smallest id that has it.
-That keeps the work linear in the lines, however common a line is: nobody meets all holders
-of a common line, and no line is left out. Within a pair the lines that both documents
-hold exactly once are the rare anchors; patience diff aligns along them, and the common
-blocks are deleted from the later document.
+The first partner of a shared line is its first holder, the document of smallest id that
+has it; nobody meets all holders of a common line for lines that go there. Within a pair the
+lines that both documents hold exactly once are the anchors; patience diff aligns along
+them, and the common blocks are deleted from the later document. Patience keeps one rising
+order, so passages in another order than in the first holder stay at first: their lines
+meet the further earlier holders in rounds, until they align or no holder is left. Of
+holders with the same shared lines in the same order one is met.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import grouped, record, store, texts, type_of
@@ -154,40 +156,96 @@ def deletions(docs: DataFrame, min_words: int = SHINGLE) -> DataFrame:
         .select("line", F.col("first.doc_id").alias("holder"), F.col("first.places").alias("theirs"))
     )
     met = lines.join(shared, "line").where("doc_id > holder")
+    own = ["doc_id", "line", "places", "numbers", "words"]
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a document; those without holder are all its lines that others hold earlier."""
         for rows in grouped(batches, ["doc_id"]):
             pairs: dict = {}
             words: dict[int, int] = {}
             number_of: dict[int, tuple[int, int]] = {}
+            once: dict[int, int] = {}
+            aligned: set[int] = set()
             for r in rows.to_pylist():
-                mine, theirs = pairs.setdefault(r["holder"], ([], {}))
+                aligned.update(r["aligned"] or ())
                 for place, number in zip(r["places"], r["numbers"]):
-                    mine.append((place, r["line"]))
                     words[place] = r["words"]
                     number_of[place] = (number, r["line"])
+                if len(r["places"]) == 1:
+                    once[r["places"][0]] = r["line"]
+                if r["theirs"] is None:
+                    continue
+                mine, theirs = pairs.setdefault(r["holder"], (set(), {}))
+                mine.update((place, r["line"]) for place in r["places"])
                 for place in r["theirs"]:
                     theirs[place] = r["line"]
-            aligned: set[int] = set()
-            for mine, theirs in pairs.values():
-                mine.sort()
+            for held, theirs in pairs.values():
+                mine = sorted(held)
                 other = [theirs[p] for p in sorted(theirs)]
                 aligned.update(mine[j][0] for _, j in patience(other, [h for _, h in mine]))
-            gone = [number_of[p] for p in blocks_to_delete(words, aligned, min_words)]
-            if gone:
+            gone = blocks_to_delete(words, aligned, min_words)
+            # Lines that could still go: in a run of shared lines with words enough.
+            open_places = set(blocks_to_delete(words, set(words), min_words)) - set(gone)
+            left = sorted({once[p] for p in open_places if p in once})
+            if gone or left:
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column("doc_id").combine_chunks().slice(0, 1),
-                        pa.array([[{"number": n, "hash": h} for n, h in gone]], REMOVED),
+                        pa.array([[{"number": n, "hash": h} for n, h in map(number_of.get, gone)]], REMOVED),
+                        pa.array([sorted(aligned)], pa.list_(pa.int32())), pa.array([left], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "lines"],
+                    names=["doc_id", "lines", "aligned", "left"],
                 )
 
-    return (
-        met.select("doc_id", "line", "places", "numbers", "words", "holder", "theirs")
-        .repartition("doc_id").sortWithinPartitions("doc_id")
-        .mapInArrow(align, f"doc_id {kind}, lines array<struct<number:int,hash:bigint>>")
+    done_layout = f"doc_id {kind}, lines array<struct<number:int,hash:bigint>>, aligned array<int>, left array<bigint>"
+
+    def aligned_by(rows: DataFrame) -> DataFrame:
+        picked = rows.select(*own, "holder", "theirs", "aligned").repartition("doc_id").sortWithinPartitions("doc_id")
+        return store(picked.mapInArrow(align, done_layout))
+
+    done = aligned_by(met.withColumn("aligned", F.lit(None).cast("array<int>")))
+    rounds = [done]
+    left = store(done.select("doc_id", F.explode("left").alias("line")))
+    if left.isEmpty():
+        return done.where(F.size("lines") > 0).select("doc_id", "lines")
+    # Documents whose shared lines are the same in the same order align alike: of the holders of
+    # a line the least of each such order is met, in growing numbers a round.
+    at = F.transform("places", lambda p: F.struct(p.alias("place"), F.col("line").alias("line")))
+    order = (
+        lines.join(shared.select("line"), "line").groupBy("doc_id")
+        .agg(F.sort_array(F.flatten(F.collect_list(at))).alias("all")).select("doc_id", F.xxhash64("all.line").alias("order"))
     )
+    wanted = left.select("line").distinct()
+    holders = lines.where(F.size("places") == 1).join(wanted, "line").join(shared.select("line", F.col("holder").alias("first")), "line")
+    holders = holders.where("doc_id <> first").select("line", "doc_id").join(order, "doc_id")
+    holders = holders.groupBy("line", "order").agg(F.min("doc_id").alias("holder"))
+    by_line = Window.partitionBy("line").orderBy("holder")
+    holders = store(holders.select("line", "holder", F.row_number().over(by_line).alias("rank")))
+    low, high = 1, 2
+    while True:
+        later = left.join(holders.where(F.col("rank") >= low), "line").where("holder < doc_id")
+        if later.isEmpty():
+            break
+        pairs = store(later.where(F.col("rank") < high).select("doc_id", "holder").distinct())
+        theirs = lines.select(F.col("doc_id").alias("holder"), "line", F.col("places").alias("theirs"))
+        state = rounds[-1].where(F.size("left") > 0).join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+        state = state.select("doc_id", "aligned")
+        base = met.select(*own).join(state, "doc_id").withColumns(
+            {"holder": F.lit(None).cast(kind), "theirs": F.lit(None).cast("array<int>")}
+        )
+        visits = met.select(*own).join(pairs, "doc_id").join(theirs, ["holder", "line"])
+        visits = visits.withColumn("aligned", F.lit(None).cast("array<int>"))
+        rows = base.select(*own, "holder", "theirs", "aligned").unionByName(visits.select(*own, "holder", "theirs", "aligned"))
+        now = aligned_by(rows)
+        # A document without a holder in this round has none in later ones either.
+        rounds.append(now)
+        left = store(now.select("doc_id", F.explode("left").alias("line")))
+        low, high = high, 2 * high
+    every = rounds[0].select("doc_id", "lines", F.lit(0).alias("round"))
+    for number, more in enumerate(rounds[1:], 1):
+        every = every.unionByName(more.select("doc_id", "lines", F.lit(number).alias("round")))
+    last = every.groupBy("doc_id").agg(F.max_by("lines", "round").alias("lines"))
+    return last.where(F.size("lines") > 0)
 
 
 def without(text: str, gone: dict[int, int]) -> str:

@@ -211,6 +211,24 @@ def test_line_dedup_matches_brute_force(spark, data):
                 assert lines[0] not in [" ".join(y.split()) for y in row["text"].split("\n")]
 
 
+def test_swapped_passages_equal_full_pairwise_alignment(docs):
+    x, y, z = (f"{c} shared line of seven words here" for c in "xyz")
+    # (4) has x alone: only it aligns what (5) holds in another order than (1).
+    texts = {
+        1: ["a1", y, "a2", x, "a3"], 2: ["b1", y, "b2", x], 3: ["c1", x, "c2", y], 4: ["d1", x, "d2"],
+        5: ["e1", x, "e2", y, "e3"], 6: ["f1", z, "f2", y, "f3", x], 7: ["g1", x, "g2", z, "g3", y],
+    }
+    true = {}
+    for d, mine in texts.items():
+        gone = set()
+        for e in range(1, d):
+            for _, j in linededup.patience(texts[e], mine):
+                gone.add(j)
+        true[d] = "\n".join(t for j, t in enumerate(mine) if j not in gone)
+    found = {r["doc_id"]: r["text"] for r in run(linededup.dedup_lines(docs(*((d, "\n".join(t)) for d, t in texts.items()))))}
+    assert found == true
+
+
 def test_line_dedup_edges(docs, odd):
     found = run(linededup.dedup_lines(odd))
     assert sorted((r["doc_id"], r["n_removed"]) for r in found) == [(1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (5, 0), (6, 1)]
