@@ -229,22 +229,28 @@ def views(c: Column) -> Column:
 
 
 def learn(docs: DataFrame, sample: int = 4000, trees: int = 12, depth: int = 3, precision: float = 0.95) -> Scorer:
-    """Fit the trees and thresholds on at most `sample` candidates of the whole table.
-
-    Candidates of smallest hash are taken. One that is a checked span of its kind, apart from
-    other characters, is an example, and so is each one that fails its kind's check; copies
-    that were spoilt in their digits, ending or surroundings are examples of what is no
-    span. A fourth of the examples calibrates: a kind's threshold is the least score with
-    the asked precision, and no less than the lowest twentieth of its true spans' scores.
-    Without examples nothing is added to the base.
+    """Fit the trees on a sample of each kind; thresholds come from the whole table.
+
+    About `sample` / kinds candidates of each kind are taken by hash share, all of a rarer
+    kind. One that is a checked span of its kind, apart from other characters, is an example,
+    and so is each one that fails its kind's check; copies that were spoilt in their digits,
+    ending or surroundings are examples of what is no span. Of all candidates of the table a
+    fourth is held out and calibrates: a kind's threshold is the least score with the asked
+    precision, and no less than the lowest twentieth of its true spans' scores, over bins of
+    1/4096. Without examples nothing is added to the base.
     """
     found = with_candidates(with_base(docs.select("doc_id", "text")))
     found = found.where(F.size("_wide") > 0).select("doc_id", "_base", F.explode("_wide").alias("c"))
     base = F.exists("_base", lambda b: (b["kind"] == F.col("c.kind")) & (b["start"] == F.col("c.start")) & (b["end"] == F.col("c.end")))
     key = F.xxhash64(F.col("doc_id").cast("string"), "c.kind", "c.start")
-    picked = store(
-        found.select("c", base.alias("is_base"), key.alias("key")).orderBy("key", "c").limit(sample)
-    )
+    every = store(found.select("c", base.alias("is_base"), key.alias("key")))
+    fold = F.pmod(F.xxhash64("key"), F.lit(4)) == 0
+    # Training uses three of four candidates of a kind.
+    share = F.lit(0)
+    for row in every.where(~fold).groupBy("c.kind").count().collect():
+        part = min(1.0, 0.75 * sample / len(KINDS) / row["count"])
+        share = F.when(F.col("c.kind") == row["kind"], F.lit(int(part * (1 << 30)))).otherwise(share)
+    picked = every.where(~fold & (F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 30)) < share))
     checked = F.lit(False)
     for number, kind in enumerate(KINDS):
         checked = F.when(F.col("c.kind") == number, CHECKS[kind](F.col("c.value"))).otherwise(checked)
@@ -252,39 +258,43 @@ def learn(docs: DataFrame, sample: int = 4000, trees: int = 12, depth: int = 3,
         F.col("c.kind").alias("kind"), F.col("c.value").alias("value"), F.col("c.left").alias("left"),
         F.col("c.right").alias("right"), F.lit(0).alias("label"),
     ))
-    examples = picked.withColumn(
-        "v", F.explode(F.when(F.col("is_base"), views(F.col("c"))).when(~checked, negative))
-    )
-    columns = features(F.col("v"))
-    names = list(columns)
-    rows = store(
-        examples.select(
-            F.col("v.label").cast("double").alias("label"), "key", F.struct(*(v.alias(n) for n, v in columns.items())).alias("f")
-        ).coalesce(1)
-    )
-    fold = F.pmod(F.xxhash64("key"), F.lit(4)) == 0
-    flat = rows.select("label", fold.alias("calibrates"), "f", *(F.col(f"f.{n}").alias(n) for n in names))
-    seen = flat.where("not calibrates").agg(F.count_distinct("label")).first()[0]
-    if seen < 2:
+    def examples(rows: DataFrame) -> DataFrame:
+        shown = rows.withColumn(
+            "v", F.explode(F.when(F.col("is_base"), views(F.col("c"))).when(~checked, negative))
+        )
+        return shown.select(
+            F.col("v.label").cast("double").alias("label"), "key",
+            F.struct(*(v.alias(n) for n, v in features(F.col("v")).items())).alias("f"),
+        )
+
+    rows = store(examples(picked).coalesce(1).sortWithinPartitions("key", "label", "f"))
+    names = rows.schema["f"].dataType.names
+    flat = rows.select("label", "f", *(F.col(f"f.{n}").alias(n) for n in names))
+    if flat.agg(F.count_distinct("label")).first()[0] < 2:
         return Scorer()
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(flat.where("not calibrates"))
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(flat)
     model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=64, seed=5).fit(vectors.select("label", "features"))
     scorer = Scorer(_trees(model, names), list(model.treeWeights), {}, names)
-    scored = flat.where("calibrates").select("label", F.col("f.kind").cast("int").alias("kind"), scorer.margin(F.col("f")).alias("margin"))
-    # At most a fourth of 3 * sample rows.
-    by_kind: dict[int, list[tuple[float, float]]] = {}
-    for row in scored.orderBy("kind", "margin", "label").collect():
-        by_kind.setdefault(row.kind, []).append((row.margin, row.label))
-    for kind, rows_of in by_kind.items():
-        positives = sorted(m for m, label in rows_of if label)
-        if not positives:
-            continue
-        floor = positives[len(positives) // 20]
-        for margin in sorted({m for m, _ in rows_of if m >= floor}):
-            above = [label for m, label in rows_of if m >= margin]
-            if sum(above) >= precision * len(above):
-                scorer.thresholds[kind] = margin
+    scored = examples(every.where(fold)).select(
+        "label", F.col("f.kind").cast("int").alias("kind"), scorer.margin(F.col("f")).alias("margin")
+    )
+    bins = (
+        scored.groupBy("kind", F.floor(F.col("margin") * 4096).alias("bin"))
+        .agg(F.min("margin").alias("margin"), F.count("*").alias("n"), F.sum("label").alias("true"))
+    )
+    by_kind: dict[int, list] = {}
+    for row in bins.orderBy("kind", "bin").collect():
+        by_kind.setdefault(row.kind, []).append(row)
+    for kind, of in by_kind.items():
+        total, true = sum(r.n for r in of), sum(r.true for r in of)
+        lowest, below = true // 20, 0.0
+        for row in of:
+            below += row.true
+            # Not below the lowest twentieth, and precise from here up.
+            if below > lowest and true - (below - row.true) >= precision * total:
+                scorer.thresholds[kind] = row.margin
                 break
+            total -= row.n
     return scorer
 
 

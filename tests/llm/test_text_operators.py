@@ -535,6 +535,12 @@ def test_trees_add_hidden_spans(spark, data, docs, odd):
     assert pii.learn(odd).thresholds == {}
 
 
+def test_rare_kind_is_calibrated_beside_a_frequent_one(docs):
+    frequent = [(i, " ".join(f"from 10.{i % 200}.{j}.{k} to" for j in range(20) for k in (1, 77, 9))) for i in range(100)]
+    rare = [(1000 + i, f"write to user{i}@site{i}.org now") for i in range(60)]
+    assert set(pii.learn(docs(*frequent, *rare), sample=200).thresholds) >= {0, 1}
+
+
 # --- pipeline ---------------------------------------------------------------------------------------------------
 
 
