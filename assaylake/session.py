@@ -57,15 +57,15 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back.
+def cut(df: DataFrame, *by: str) -> DataFrame:
+    """Write `df` to the shared folder, in folders by the columns `by`, and read it back.
 
     The stored table survives the loss of executors, is read column by column, and its
     size is known to the planner.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
