@@ -51,9 +51,12 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return scan.select(*columns) if columns else scan
 
 
-def store(df: DataFrame) -> DataFrame:
-    """Write to the cluster's shared folder and read back; survives lost executors."""
-    return cut(df)
+def store(df: DataFrame, *by: str) -> DataFrame:
+    """Write to the cluster's shared folder and read back; survives lost executors.
+
+    Columns `by` become folders, so a filter on them reads only its own files.
+    """
+    return cut(df, *by)
 
 
 def type_of(df: DataFrame, column: str) -> str:

@@ -8,7 +8,7 @@ import public_tokenizers as TOKENIZERS
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, linededup, mixing, neighbours, pieces, pii, quality, resemblance, simhash, tokenfile
+from . import alignment, codes, language, licenses, linededup, mixing, neighbours, orderhash, pieces, pii, quality, resemblance, simhash, tokenfile
 from .common import prepare, table
 
 MIN_LANGUAGE_SCORE = 0.3
@@ -67,6 +67,20 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs, language.learn(docs))
 
 
+def op11_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codes.report(table(spark, folder, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    names = ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken")
+    return alignment.report(docs, *map(TOKENIZERS.path, names))
+
+
+def op13_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return orderhash.compare_neighbours(table(spark, folder, "documents", "doc_id", "text"))
+
+
 # Pipeline stages: (spark, docs, folder) -> docs for the next stage.
 
 
@@ -135,4 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_simhash": op9_simhash,
     "op10_language": op10_language,
+    "op11_codes": op11_codes,
+    "op12_alignment": op12_alignment,
+    "op13_fingerprints": op13_fingerprints,
 }
