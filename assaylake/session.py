@@ -22,6 +22,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
@@ -61,12 +63,28 @@ def cut(df: DataFrame, *by: str) -> DataFrame:
     """Write `df` to the shared folder, in folders by the columns `by`, and read it back.
 
     The stored table survives the loss of executors, is read column by column, and its
-    size is known to the planner.
+    size is known to the planner. Shuffle files made for it are removed once it is
+    written, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.partitionBy(*by).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.folder = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Remove tables that `cut` stored and that nothing will read any more."""
+    for df in stored:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
