@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, tune
+from ..session import cut, discard, tune
 
 # Rows and bytes of text that a Python task holds at once.
 ARROW = {
@@ -59,6 +59,14 @@ def store(df: DataFrame, *by: str) -> DataFrame:
     return cut(df, *by)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not use yet: `name`, with underscores behind it if need be."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 

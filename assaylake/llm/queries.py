@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import alignment, codes, language, licenses, linededup, mixing, neighbours, orderhash, pieces, pii, quality, resemblance, simhash, tokenfile
-from .common import prepare, table
+from .common import free, prepare, store, table
 
 MIN_LANGUAGE_SCORE = 0.3
 REPETITION = 1.25
@@ -105,20 +105,31 @@ def stage_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates (5-word shingles, Jaccard 0.8)."""
+    """One document of each group of near duplicates (5-word shingles, Jaccard 0.8): that of
+    smallest id, null ids last, and one row of those that repeat both id and text."""
     prepare(spark)
-    groups = resemblance.near_copies(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return resemblance.one_of_each(docs).select(*docs.columns)
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The mixture's copies of documents; a document taken twice has two rows."""
+    """The mixture's copies of documents; a document taken twice has two rows.
+
+    A document is a doc_id, null or not, with its text; rows that repeat both are one
+    document, of which any row stands for all. Documents without words take no part.
+    """
     prepare(spark)
-    taken = mixing.mix(docs, repetition=REPETITION).groupBy("doc_id").agg(F.count("*").cast("int").alias("_copies"))
+    key, copies, copy = (free(docs, name) for name in ("_key", "_copies", "_copy"))
+    own = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.hex(F.xxhash64("text")))
+    keyed = docs.withColumn(key, own)
+    repeated = store(keyed.groupBy(key).count().where("count > 1").select(key))
+    if not repeated.isEmpty():
+        twice = keyed.join(repeated, key, "left_semi").dropDuplicates([key])
+        keyed = keyed.join(repeated, key, "left_anti").unionByName(twice)
+    mixed = mixing.mix(keyed.select(F.col(key).alias("doc_id"), "source", "text"), repetition=REPETITION)
+    taken = mixed.groupBy(F.col("doc_id").alias(key)).agg(F.count("*").cast("int").alias(copies))
     return (
-        docs.join(taken, "doc_id")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        keyed.join(taken, key)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
         .select(*docs.columns)
     )
 

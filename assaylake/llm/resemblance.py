@@ -1,6 +1,8 @@
-"""Near copies by exact Jaccard similarity of word shingles, with prefix filtering.
+"""Near copies: SimHash candidates and prefix filtering, both checked by exact Jaccard similarity.
 
-In one order of all shingles, two sets whose Jaccard similarity is at least `SIMILARITY`
+SimHashes of the shingles within a few bits of each other (`simhash.links`) join most copies
+at once. At the least similarity asked for, two of them differ in about 10 of 64 bits, which
+no plan of parts can look up, so the other pairs come from prefix filtering: in one order of all shingles, two sets whose Jaccard similarity is at least `SIMILARITY`
 share a shingle among the first n - ceil(SIMILARITY * n) + 1 of each. So sets that meet in
 such a prefix are all the candidates there can be, and each is checked by its whole set.
 Any order is right; shingles that are frequent in a sample come last, so that a common
@@ -14,20 +16,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record, store, texts, type_of
+from .common import discard, free, record, store, texts, type_of
 from .components import components
+from .simhash import links
 
 SHINGLE = 5
 SIMILARITY = (4, 5)
 SEED = 42
+BITS = 3  # of the SimHashes that are looked up first
+BLOCK = 512  # texts compared with one other in one group
 
 
-def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted different hashes of the word shingles; a text of fewer words is one shingle."""
-    words = text.encode("utf-8", "replace").lower().split()
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "replace").lower().split()
+
+
+def shingles(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted different hashes of the word shingles; fewer words are one shingle."""
     if not words:
         return np.zeros(0, np.int64)
     if len(words) < shingle:
@@ -38,6 +48,12 @@ def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([digest(g, SEED) for g in grams]), ">i8").astype(np.int64))
 
 
+def simhash(own: np.ndarray) -> int:
+    """Signed 64-bit SimHash of a set of hashes."""
+    ones = np.unpackbits(own.astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(own)).view(">i8")[0])
+
+
 def prefix(own: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The first shingles of a set, those in `common` (sorted) last, by their `ranks`."""
     part, whole = SIMILARITY
@@ -59,7 +75,7 @@ def _frequent(docs: DataFrame, shingle: int, sample: int, most: int) -> tuple[np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, shingle) for t in texts(batch.column(0))]
+            sets = [shingles(words_of(t), shingle) for t in texts(batch.column(0))]
             yield record(["token"], [np.concatenate([np.zeros(0, np.int64), *sets])])
 
     share = int(min(1.0, sample / max(1, docs.count())) * (1 << 30))
@@ -77,98 +93,169 @@ def _fits() -> F.Column:
     return (F.least("n", "other_n") * whole >= F.greatest("n", "other_n") * part)
 
 
-def similar_sets(docs: DataFrame, shingle: int = SHINGLE, sample: int = 10_000, hot: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, set of every row), (node, component of every set that has a near copy).
-
-    `set` is a digest of the text's shingles. Rows of equal sets meet by it and are never
-    paired. In shingles of more than `hot` sets one set is first compared with all others;
-    sets that this joins need no further comparison, and all other pairs are compared then.
-    """
+def read_sets(docs: DataFrame, shingle: int = SHINGLE, sample: int = 10_000) -> DataFrame:
+    """Stored, of every row: doc_id, text_hash, id (of its own), set (digest of its shingles),
+    n (their number), fp (their SimHash), tokens (their prefix), packed (the words, compressed)."""
     common, ranks = _frequent(docs, shingle, sample, 100_000)
 
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, pack = TaskContext.get().partitionId() << 33, zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            sets = [shingles(t, shingle) for t in texts(batch.column(1))]
+            words = [words_of(t) for t in texts(batch.column(1))]
+            sets = [shingles(w, shingle) for w in words]
             yield record(
-                ["doc_id", "set", "n", "text_hash", "tokens"],
+                ["doc_id", "text_hash", "id", "set", "n", "fp", "tokens", "packed"],
                 [
-                    batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    pa.array([len(s) for s in sets], pa.int32()), batch.column(2),
+                    batch.column(0), batch.column(2), np.arange(at, at + len(sets)),
+                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([len(s) for s in sets], pa.int32()), pa.array(map(simhash, sets), pa.int64()),
                     _arrays([prefix(s, common, ranks) for s in sets]),
+                    pa.array([pack.compress(b" ".join(w)) for w in words], pa.binary()),
                 ],
             )
+            at += len(sets)
+
+    layout = (
+        f"doc_id {type_of(docs, 'doc_id')}, text_hash bigint, id bigint, set binary, n int, fp bigint, "
+        "tokens array<bigint>, packed binary"
+    )
+    return store(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, layout))
+
+
+def verified(pairs: DataFrame, made: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """Of the pairs (u, v) of row ids those whose sets are similar enough, stored.
+
+    Texts travel to the rows they are compared with: those of all u of one v meet in groups
+    of about `BLOCK`, each with v's own, so no task holds a hot v's partners.
+    """
+    part, total = SIMILARITY
+    pairs = store(pairs.distinct())
+    sizes = pairs.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")
+    dealt = pairs.join(sizes, "v").select("v", block.alias("block"), "u")
+    own = sizes.select("v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("v").alias("u"))
+    sent = dealt.union(own).join(made.select(F.col("id").alias("u"), "packed"), "u")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, key, other = zstandard.ZstdDecompressor(), None, None
+        for batch in batches:
+            us, vs = [], []
+            for v, block, u, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                mine = shingles(unpack.decompress(packed).split(b" ") if packed else [], shingle)
+                if u == v:
+                    key, other = (v, block), mine
+                elif (v, block) == key:
+                    shared = len(np.intersect1d(mine, other, assume_unique=True))
+                    if shared * (part + total) >= (len(mine) + len(other)) * part:
+                        us.append(u)
+                        vs.append(v)
+            yield record(["u", "v"], [pa.array(us, pa.int64()), pa.array(vs, pa.int64())])
 
-    layout = f"doc_id {type_of(docs, 'doc_id')}, set binary, n int, text_hash bigint, tokens array<bigint>"
-    made = store(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(reduce, layout))
-    distinct = made.groupBy("set").agg(F.min_by(F.struct("n", "text_hash", "tokens"), "text_hash").alias("s"))
-    distinct = store(distinct.select("set", "s.*"))
-    tokens = distinct.select(F.explode("tokens").alias("token"), "set", "n")
+    grouped = (
+        sent.select("v", "block", "u", "packed").repartition("v", "block")
+        .sortWithinPartitions("v", "block", F.col("u") != F.col("v"))
+    )
+    found = store(grouped.mapInArrow(run, "u bigint, v bigint"))
+    discard(pairs)
+    return found
+
+
+def similar_sets(made: DataFrame, shingle: int = SHINGLE, hot: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(set, its leader of every set, the least row id; node, component of every leader that has a near copy).
+
+    Rows of equal sets meet by it and are never paired. Sets of near SimHashes are compared
+    first. In shingles of more than `hot` sets one set is then compared with all others; sets
+    that this joins need no further comparison, and all other pairs are compared then.
+    """
+    leaders = store(made.groupBy("set").agg(F.min("id").alias("id")))
+    rows = made.join(leaders.select("id"), "id", "left_semi")
+    prints = store(rows.where("n > 0").select("id", "fp"))
+    first = store(prints.groupBy("fp").agg(F.min("id").alias("v")))
+    near = links(first.select("fp"), BITS)
+    own = prints.join(first, "fp").where("id <> v").select(F.col("id").alias("u"), "v")
+    across = near.join(first.select(F.col("fp").alias("u"), F.col("v").alias("_u")), "u")
+    across = across.select("_u", F.col("v").alias("fp")).join(first, "fp")
+    across = across.select(F.greatest("_u", "v").alias("u"), F.least("_u", "v").alias("v"))
+    edges = verified(own.union(across), made, shingle)
+    discard(prints, first)
+
+    tokens = rows.select(F.explode("tokens").alias("token"), "id", "n")
     counts = store(tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"))
     tokens = store(tokens.join(counts, "token"))
+    discard(counts)
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t, shingle) for t in texts(batch.column(0))]
-            names = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield record(["set", "all"], [pa.array(names, pa.binary()), _arrays(sets)])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of (u, v) those whose sets are similar enough."""
-        part, total = SIMILARITY
-        pairs = store(pairs.distinct())
-        needed = pairs.select(F.col("u").alias("set")).union(pairs.select("v")).distinct()
-        # Equal texts have one hash; a text of another set with that hash does no harm.
-        read = needed.join(distinct, "set").select(F.col("text_hash").alias("_hash")).distinct()
-        again = docs.select("text", F.xxhash64("text").alias("_hash")).join(read, "_hash", "left_semi")
-        again = again.select("text").distinct().mapInArrow(whole, "set binary, all array<bigint>")
-        full = store(again.dropDuplicates(["set"]))
-        left = full.select(F.col("set").alias("u"), F.col("all").alias("a"))
-        right = full.select(F.col("set").alias("v"), F.col("all").alias("b"))
-        shared = F.size(F.array_intersect("a", "b"))
-        return (
-            pairs.join(left, "u").join(right, "v")
-            .where(shared * (part + total) >= (F.size("a") + F.size("b")) * part).select("u", "v")
+    def still_open(joined: DataFrame) -> DataFrame:
+        """The tokens whose sets are not all joined yet, with the sets' labels."""
+        named = tokens.join(joined, tokens["id"] == joined["node"], "left").select(
+            "token", "id", "n", "sets", F.coalesce("component", "id").alias("label")
         )
+        several = named.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
+        return store(named.join(several.select("token"), "token"))
 
-    edges, joined = None, None
-    open_tokens = tokens
-    for salt in range(3):
+    joined = store(components(edges))
+    open_tokens = still_open(joined)
+    for salt in range(2):
         large = open_tokens.where(F.col("sets") > hot)
+        order = F.xxhash64("id", F.lit(salt)).alias("_o")
         hubs = store(
-            large.groupBy("token").agg(F.min(F.struct(F.xxhash64("set", F.lit(salt)).alias("_o"), "set", "n")).alias("h"))
-            .select("token", F.col("h.set").alias("v"), F.col("h.n").alias("other_n"))
+            large.groupBy("token").agg(F.min(F.struct(order, "id", "n", "label")).alias("h"))
+            .select("token", F.col("h.id").alias("v"), F.col("h.n").alias("other_n"), F.col("h.label").alias("other_label"))
         )
         if hubs.isEmpty():
             break
-        star = large.join(hubs, "token").where(F.col("set") != F.col("v")).where(_fits())
-        star = star.select(F.greatest("set", "v").alias("u"), F.least("set", "v").alias("v"))
-        found = verified(star)
-        edges = store(found if edges is None else edges.union(found))
+        star = large.join(hubs, "token").where("id <> v and label <> other_label").where(_fits())
+        found = verified(star.select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")), made, shingle)
+        before = edges, joined, open_tokens, found, hubs
+        edges = store(edges.union(found))
         joined = store(components(edges))
-        named = tokens.join(joined, tokens["set"] == joined["node"], "left").select(
-            "token", "set", "n", "sets", F.coalesce("component", "set").alias("label")
-        )
-        several = store(named.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token"))
-        open_tokens = store(named.join(several, "token"))
-    if joined is None:
-        open_tokens = open_tokens.withColumn("label", F.col("set"))
-    other = open_tokens.select("token", F.col("set").alias("v"), F.col("n").alias("other_n"), F.col("label").alias("other_label"))
-    rest = open_tokens.join(other, "token").where("set > v and label <> other_label").where(_fits())
-    found = verified(rest.select(F.col("set").alias("u"), "v"))
-    return made.select("doc_id", "set"), components(found if edges is None else edges.union(found))
+        open_tokens = still_open(joined)
+        discard(*before)
+    other = open_tokens.select("token", F.col("id").alias("v"), F.col("n").alias("other_n"), F.col("label").alias("other_label"))
+    rest = open_tokens.join(other, "token").where("id > v and label <> other_label").where(_fits())
+    found = verified(rest.select(F.col("id").alias("u"), "v"), made, shingle)
+    discard(tokens, open_tokens, joined)
+    return leaders, components(edges.union(found))
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, component_id of every row: the smallest doc_id reachable over similar texts.
+    """doc_id, text_hash, component_id, n_equal, kept of every different (doc_id, text).
 
-    Texts without words, null ones too, are similar to each other.
+    `component_id` is the smallest doc_id reachable over similar texts, null ids last, and
+    `kept` marks the one of its group that stays: of the smallest doc_id, and of equal ones
+    of the smallest text_hash. `n_equal` rows have this doc_id and text. Texts without
+    words, null ones too, are similar to each other.
     """
-    made, joined = similar_sets(docs, shingle)
-    sets = made.groupBy("set").agg(F.min("doc_id").alias("first"))
-    leads = sets.join(joined, sets["set"] == joined["node"], "left").select(
-        "set", "first", F.coalesce("component", "set").alias("group")
+    made = read_sets(docs, shingle)
+    leaders, joined = similar_sets(made, shingle)
+    grouped = leaders.join(joined, leaders["id"] == joined["node"], "left").select(
+        "set", F.coalesce("component", "id").alias("group")
     )
-    leads = store(leads)
-    least = leads.groupBy("group").agg(F.min("first").alias("component_id"))
-    of = leads.join(least, "group").select("set", "component_id")
-    return made.join(of, "set", "left").select("doc_id", "component_id")
+    rows = made.groupBy("doc_id", "text_hash", "set").agg(F.count("*").alias("n_equal"))
+    rows = store(rows.join(grouped, "set").select("doc_id", "text_hash", "n_equal", "group"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = rows.groupBy("group").agg(F.min(key).alias("first"))
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    return rows.join(first, "group").select(
+        "doc_id", "text_hash", F.col("first.doc_id").alias("component_id"), "n_equal", same.alias("kept")
+    )
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of `docs` that stay when one row of each group of near copies does.
+
+    All columns stay as they are. Of rows that repeat both doc_id and text any one stays.
+    """
+    groups = store(near_copies(docs, shingle))
+    near_id, near_hash = free(docs, "_near_id"), free(docs, "_near_hash")
+    hashed = F.xxhash64("text")
+
+    def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias(near_id), F.col("text_hash").alias(near_hash))
+        return rows.join(keys, F.col("doc_id").eqNullSafe(F.col(near_id)) & (hashed == F.col(near_hash)), how)
+
+    left = among(docs, groups.where("not kept"), "left_anti")
+    repeated = groups.where("kept and n_equal > 1")
+    if repeated.isEmpty():
+        return left
+    picked = among(left, repeated, "left_semi").withColumn(near_hash, hashed).dropDuplicates(["doc_id", near_hash])
+    return among(left, repeated, "left_anti").unionByName(picked.drop(near_hash))

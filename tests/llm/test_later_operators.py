@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import time
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from assaylake.llm import alignment, codes, orderhash, queries
+from assaylake.llm import alignment, codes, orderhash, pieces, queries
 from assaylake.llm.common import prepare
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -330,3 +331,36 @@ def test_fingerprint_edges(docs, odd):
     assert run(orderhash.compare_neighbours(odd.limit(0))) == []
     plain = run(orderhash.fingerprints(odd.where(F.col("doc_id") == 4)))
     assert plain[0]["fingerprint"] == by[4]["fingerprint"]
+
+
+# --- stages and long texts ------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("chunk", ["-" * 1000, "-" * 20_000, "-=" * 3000, "a" * 5000, "ab" * 2500 + "-" * 2500])
+def test_equal_paths_are_finished_one_by_one(chunk):
+    model = pieces.load(B)
+    start = time.process_time()
+    found = pieces.chunk_nbest(model, chunk, 4)
+    assert time.process_time() - start < 20
+    assert len(found) == 4 and [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
+
+
+def test_stages_with_null_and_repeated_ids(spark, docs):
+    long = " ".join(f"w{i}" for i in range(60))
+    near = long.replace("w30 ", "v30 ")
+    rows = docs(
+        (1, long, "en", "a"), (1, long, "en", "a"), (1, near, "en", "a"), (None, long, "en", "a"), (None, "other words", "en", None),
+        (None, "other words", "en", None), (2, "other words", "en", None), (3, None, "en", "a"), (4, "", "en", "a"),
+    ).withColumns({n: F.lit("mine") for n in ("_key", "_copies", "_copy", "_near_id", "_near_hash")})
+    left = queries.stage_near_duplicates(spark, rows, "")
+    assert left.columns == rows.columns
+    found = sorted(((r.doc_id, r.text) for r in left.collect()), key=repr)
+    assert len(found) == 3 and found[1:] == [(2, "other words"), (3, None)] and found[0][0] == 1
+    alone = queries.stage_near_duplicates(spark, rows.where("doc_id is null"), "").collect()
+    assert sorted((r.doc_id, r.text) for r in alone if r.text) == [(None, "other words"), (None, long)]
+    mixed = queries.stage_mix(spark, rows, "").collect()
+    assert {(r.doc_id, r.text) for r in mixed} <= {(r.doc_id, r.text) for r in rows.collect() if r.text}
+    words = [len(r.text.split()) for r in mixed]
+    assert None in {r.doc_id for r in mixed} and sum(words) <= sum({(1, long): 60, (1, near): 60, (None, long): 60}.values()) + 60 + 4
+    assert queries.stage_mix(spark, rows.limit(0), "").collect() == []
+    assert queries.stage_near_duplicates(spark, rows.limit(0), "").collect() == []
