@@ -313,8 +313,12 @@ def _matches(spark, folder):
     )
 
 
+def _cells(spark, folder):
+    return recommend.build_cells(recommend.settings(roles.observations(spark, folder)), BIN_WIDTHS, TOP)
+
+
 def _ranked(spark, folder):
-    return recommend.best(recommend.score_bins(_matches(spark, folder), BIN_WIDTHS), TOP)
+    return recommend.best_bins(_queries(spark, folder), _cells(spark, folder))
 
 
 @query
@@ -332,6 +336,11 @@ def recommend_topk(spark, folder):
     return _ranked(spark, folder)
 
 
+@query
+def constraint_totals(spark, folder):
+    return recommend.totals(_queries(spark, folder), _cells(spark, folder))
+
+
 @query
 def prediction_envelope(spark, folder):
     answers = recommend.envelopes(_queries(spark, folder), _ranked(spark, folder))

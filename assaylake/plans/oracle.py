@@ -553,6 +553,25 @@ SQL = {
                   count(*) FILTER (WHERE success) AS successes, sum(outcome)::DOUBLE AS total
            FROM met GROUP BY ALL""",
     ),
+    "constraint_totals": _with(
+        _MATCH,
+        """SELECT b.query_id, b.experiment_type, count(m.query_id) AS n,
+                  count(*) FILTER (WHERE m.success) AS successes,
+                  round(sum(outcome)::DOUBLE / count(m.query_id), 4) AS mean_outcome,
+                  CASE WHEN count(*) FILTER (WHERE m.success) = 0 THEN 0::DOUBLE ELSE
+                  round((count(*) FILTER (WHERE m.success) / count(m.query_id)::DOUBLE
+                         + 1.96::DOUBLE * 1.96::DOUBLE / (count(m.query_id)::DOUBLE * 2)
+                         - sqrt(count(*) FILTER (WHERE m.success) / count(m.query_id)::DOUBLE
+                                * (1 - count(*) FILTER (WHERE m.success) / count(m.query_id)::DOUBLE)
+                                / count(m.query_id)::DOUBLE
+                                + 1.96::DOUBLE * 1.96::DOUBLE
+                                / (count(m.query_id)::DOUBLE * count(m.query_id)::DOUBLE * 4))
+                           * 1.96::DOUBLE)
+                        / (1 + 1.96::DOUBLE * 1.96::DOUBLE / count(m.query_id)::DOUBLE), 6) END
+                      AS confidence
+           FROM bounds b LEFT JOIN met m ON m.query_id = b.query_id
+           GROUP BY b.query_id, b.experiment_type""",
+    ),
     "recommend_topk": _with(_RANK, "SELECT * FROM ranked"),
     "prediction_envelope": _with(
         _RANK,

@@ -199,3 +199,90 @@ def test_null_temperatures_and_outliers_are_matched(spark, queries):
         [(1, False, False, 20), (7, False, False, 20), (7, False, True, 21), (8, False, False, 90000000000000)]
         + [(2, True, False, 0), (2, False, False, 90000000000000), (2, False, False, 20), (2, False, True, 21)]
     )
+
+
+# --- answers from cells ------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def scattered(spark):
+    """Continuous values, some missing, and queries with bounds on, off and beyond bins."""
+    chance = random.Random(5)
+    rows = [
+        (
+            chance.choice(["a", "b", None]),
+            None if chance.random() < 0.1 else Decimal(round(chance.gauss(20, 60), 4)).quantize(Decimal("0.0001")),
+            None if chance.random() < 0.1 else Decimal(round(chance.random() * 9, 4)).quantize(Decimal("0.0001")),
+            None if chance.random() < 0.1 else Decimal(chance.randint(0, 9999)) / 100,
+            chance.choice([True, False, None]),
+        )
+        for _ in range(3000)
+    ]
+    rows.append(("a", Decimal("1000000.5"), Decimal("3.5"), Decimal("5"), True))
+
+    def bounds():
+        low, high = sorted(round(chance.gauss(20, 60), chance.choice([0, -1, 2])) for _ in range(2))
+        return (None if chance.random() < 0.3 else float(low)), (None if chance.random() < 0.3 else float(high))
+
+    asked = []
+    for i in range(60):
+        t, p = bounds(), tuple(None if v is None else abs(v) / 10 for v in bounds())
+        asked.append((i, chance.choice(["a", "b", "c"]), *t, *p))
+    asked += [(100, "a", 10.0, 20.0, None, None), (101, "a", 10.0, 10.0, 2.0, 4.0), (102, "b", 30.0, 5.0, None, None)]
+    observed = spark.createDataFrame(
+        rows, "experiment_type string, temperature decimal(18,4), pressure decimal(18,4), outcome decimal(18,4), success boolean"
+    )
+    return spark.createDataFrame(asked, KIND), recommend.settings(observed), rows, asked
+
+
+WIDTHS = {"temperature": 10.0, "pressure": 2.0}
+
+
+def test_bins_from_cells_equal_bins_from_settings(scattered, rows):
+    queries, summed, _, _ = scattered
+    cells = recommend.build_cells(summed, WIDTHS, 4)
+    got = recommend.best_bins(queries, cells)
+    true = recommend.best(recommend.score_bins(recommend.match(queries, summed), WIDTHS), 4)
+    assert rows(got) == rows(true.select(*got.columns)) and got.count() > 100
+
+
+def test_totals_from_cells(scattered, rows):
+    queries, summed, data, asked = scattered
+    found = {r.query_id: r for r in recommend.totals(queries, recommend.build_cells(summed, WIDTHS, 4)).collect()}
+    assert len(found) == len(asked)
+    for number, kind, t0, t1, p0, p1 in asked:
+        def within(v, low, high):
+            return low is None and high is None if v is None else (low is None or v >= low) and (high is None or v <= high)
+
+        met = [r for r in data if r[0] == kind and within(r[1], t0, t1) and within(r[2], p0, p1)]
+        given = [float(r[3]) for r in met if r[3] is not None]
+        assert (found[number].n, found[number].successes) == (len(met), sum(r[4] is True for r in met))
+        if met:
+            assert found[number].mean_outcome == pytest.approx(sum(given) / len(met), abs=1e-3)
+
+
+def test_a_query_meets_few_rows(spark):
+    """64 x 64 occupied bins of 100 settings: all but the bins on the edge come summed up."""
+    summed = spark.range(64 * 64 * 100).selectExpr(
+        "'a' AS experiment_type", "cast(id % 6400 / 10 AS decimal(18,4)) AS temperature",
+        "cast(floor(id / 6400) * 2 + 1 AS decimal(18,4)) AS pressure", "1L AS n", "1L AS successes",
+        "cast(1 AS decimal(18,4)) AS total", "cast(1 AS decimal(38,8)) AS squares",
+    )
+    cells = recommend.build_cells(summed, WIDTHS, 3)
+    queries = spark.createDataFrame([(1, "a", 15.0, 615.0, 3.0, 119.5), (2, "a", None, None, None, None)], KIND)
+    pieces = {r.query_id: r["count"] for r in recommend.covering(queries, cells).groupBy("query_id").count().collect()}
+    assert pieces[1] <= (2 * 6) ** 2 and pieces[2] <= 4
+    edge = recommend.edge_settings(queries, cells)
+    assert edge.filter("query_id = 2").count() == 0
+    n_edge = edge.count()
+    assert 0 < n_edge <= 2 * 64 * 100 + 2 * 64 * 100
+    whole = recommend.totals(queries, cells).filter("query_id = 1").first()
+    assert whole.n == recommend.match(queries, summed).filter("query_id = 1").count() > 10 * n_edge
+    plan = edge._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in plan and "Join Inner" in plan
+
+
+def test_cells_of_nothing(spark, queries, observed):
+    cells = recommend.build_cells(recommend.settings(observed.limit(0)), WIDTHS, 3)
+    assert recommend.best_bins(queries, cells).count() == 0
+    assert {r.n for r in recommend.totals(queries, cells).collect()} == {0}
