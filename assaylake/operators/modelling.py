@@ -6,6 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import (
+    Imputer,
     OneHotEncoder,
     PolynomialExpansion,
     StandardScaler,
@@ -15,16 +16,33 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 SEED = 17
 FOLDS = 5
+# Training folds whose rows are scored by models of the other training folds.
+HALVES = ((1, 2), (3, 4))
+
+
+def fold_of(key: str) -> Column:
+    """Fold of an experiment: 32 bits of md5 of its id, which SQL engines agree on."""
+    number = F.conv(F.substring(F.md5(F.col(key)), 1, 8), 16, 10).cast("bigint")
+    return (number % FOLDS).cast("int")
 
 
 def model_rows(observations: DataFrame, params: list[str]) -> DataFrame:
-    """Doubles for the learners, and a fold that depends on the experiment only."""
-    fold = F.pmod(F.xxhash64("experiment_id"), F.lit(FOLDS)).cast("int")
+    """Doubles for the learners, and a fold that depends on the experiment only.
+
+    Missing parameters stay NULL; the learners fill them with the mean of the rows that
+    they were fitted on.
+    """
+    fold = fold_of("experiment_id")
     return observations.select(
         "experiment_id",
         "experiment_type",
@@ -44,8 +62,10 @@ def holdout(rows: DataFrame) -> DataFrame:
 
 
 def feature_stages(params: list[str], degree: int = 1) -> list:
-    """Type as one-hot columns beside the parameters, expanded to `degree`, scaled."""
+    """Type as one-hot columns beside the filled parameters, expanded to `degree`, scaled."""
+    filled = [f"{p}_filled" for p in params]
     stages = [
+        Imputer(inputCols=params, outputCols=filled, strategy="mean"),
         StringIndexer(
             inputCol="experiment_type",
             outputCol="type_index",
@@ -53,7 +73,7 @@ def feature_stages(params: list[str], degree: int = 1) -> list:
             stringOrderType="alphabetAsc",
         ),
         OneHotEncoder(inputCols=["type_index"], outputCols=["type_vector"]),
-        VectorAssembler(inputCols=params, outputCol="numbers"),
+        VectorAssembler(inputCols=filled, outputCol="numbers"),
     ]
     numbers = "numbers"
     if degree > 1:
@@ -137,12 +157,62 @@ def class_metrics(predicted: DataFrame, column: str = "mlp") -> DataFrame:
     )
 
 
-def ensemble_weights(held_out: DataFrame, columns: list[str]) -> dict[str, float]:
-    """Weights from the inverse squared error on held-out rows; one row per model."""
-    rmse = {r["model"]: r["rmse"] for r in regression_metrics(held_out, columns).collect()}
-    inverse = {c: 1.0 / max(rmse[c] ** 2, 1e-12) for c in columns}
-    total = sum(inverse.values())
-    return {c: w / total for c, w in inverse.items()}
+def out_of_fold(rows: DataFrame, learners: dict[str, Pipeline]) -> DataFrame:
+    """Training rows with a prediction of each learner that never saw their fold.
+
+    Each of `HALVES` is predicted by models of the other one.
+    """
+    parts = []
+    for own in HALVES:
+        others = [f for half in HALVES if half != own for f in half]
+        known = rows.filter(F.col("fold").isin(others)).persist()
+        part = rows.filter(F.col("fold").isin(list(own)))
+        try:
+            for column, pipeline in learners.items():
+                part = add_prediction(pipeline.fit(known), part, column)
+        finally:
+            known.unpersist()
+        parts.append(part)
+    scored = parts[0]
+    for part in parts[1:]:
+        scored = scored.unionByName(part)
+    return scored
+
+
+def stacking_weights(scored: DataFrame, columns: list[str], ridge: float = 1e-6) -> dict[str, float]:
+    """Weights of the predictions that fit the label best, by the normal equations.
+
+    `scored`: rows whose predictions come from models that did not see them. The sums are
+    one row, whatever the number of rows; the driver solves one equation per model. `ridge`
+    (relative to the mean square) keeps models with equal predictions solvable. Without rows
+    all weights are equal.
+    """
+    entries = [
+        F.sum(F.col(a) * F.col(b)).alias(f"p{i}_{j}")
+        for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j
+    ]
+    sums = scored.agg(*entries, *[F.sum(F.col(c) * F.col("label")).alias(f"y{i}") for i, c in enumerate(columns)]).first()
+    size = len(columns)
+    if sums["y0"] is None:
+        return {c: 1.0 / size for c in columns}
+    left = np.array([[sums[f"p{min(i, j)}_{max(i, j)}"] for j in range(size)] for i in range(size)])
+    left += np.eye(size) * ridge * np.trace(left) / size
+    solved = np.linalg.lstsq(left, np.array([sums[f"y{i}"] for i in range(size)]), rcond=None)[0]
+    return {c: float(w) for c, w in zip(columns, solved)}
+
+
+def add_type_means(rows: DataFrame, known: DataFrame, column: str = "type_mean") -> DataFrame:
+    """The baseline: mean label of the row's type in `known`, of all `known` for other types.
+
+    One row per experiment type meets the rows.
+    """
+    sums = cut(known.groupBy("experiment_type").agg(F.sum("label").alias("total"), F.count("label").alias("n")))
+    whole = sums.agg(F.sum("total").alias("total"), F.sum("n").alias("n")).first()
+    overall = whole["total"] / whole["n"] if whole["n"] else None
+    means = sums.select("experiment_type", F.try_divide("total", "n").alias(column))
+    return rows.join(means, "experiment_type", "left").select(
+        *rows.columns, F.coalesce(F.col(column), F.lit(overall).cast("double")).alias(column)
+    )
 
 
 def add_ensemble(predicted: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -181,7 +251,8 @@ def importances(model: PipelineModel, params: list[str], spark: SparkSession) ->
 
 def select_parameters(rows: DataFrame, params: list[str], keep: int) -> list[str]:
     """The `keep` parameters that depend most on the outcome by an F test."""
-    assembled = VectorAssembler(inputCols=params, outputCol="numbers").transform(rows)
+    whole = VectorAssembler(inputCols=params, outputCol="numbers", handleInvalid="skip")
+    assembled = whole.transform(rows)
     selector = UnivariateFeatureSelector(
         featuresCol="numbers", labelCol="label", outputCol="chosen", selectionMode="numTopFeatures"
     )
@@ -209,3 +280,95 @@ def recommend_settings(predicted: DataFrame, params: list[str], score: str, k: i
     """The k settings of highest predicted outcome per experiment type."""
     order = Window.partitionBy("experiment_type").orderBy(F.desc(score), *params)
     return predicted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def radical_inverse(number: int, base: int) -> float:
+    """The digits of `number` mirrored at the point: the Halton sequence in one dimension."""
+    value, unit = 0.0, 1.0
+    while number:
+        unit /= base
+        number, digit = divmod(number, base)
+        value += digit * unit
+    return value
+
+
+# Bases of the Halton sequence, one for each parameter.
+PRIMES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37)
+
+
+def _points(count: int, first: int, params: list[str]) -> Column:
+    """`count` points of the unit cube as an array of structs, from number `first` on."""
+    return F.array(
+        *[
+            F.struct(*[F.lit(radical_inverse(n, base)).alias(p) for p, base in zip(params, PRIMES)])
+            for n in range(first, first + count)
+        ]
+    )
+
+
+def allowed_ranges(queries: DataFrame, observations: DataFrame, params: list[str]) -> DataFrame:
+    """query_id, experiment_type, <param>_low and <param>_high of every query.
+
+    A bound that the query leaves open is the one observed for its type. Queries whose
+    bounds cross, or that leave a bound of an unknown type open, have no setting and drop out.
+    """
+    edges = observations.groupBy("experiment_type").agg(
+        *[F.min(p).cast("double").alias(f"_{p}_low") for p in params],
+        *[F.max(p).cast("double").alias(f"_{p}_high") for p in params],
+    )
+    given = set(queries.columns)
+    joined = queries.join(edges, "experiment_type", "left")
+    ranges = {}
+    for p in params:
+        for end, limit in (("low", "min"), ("high", "max")):
+            own = F.col(f"{p}_{limit}") if f"{p}_{limit}" in given else F.lit(None).cast("double")
+            # An open end never lies beyond the given one.
+            other = F.col(f"{p}_{'max' if limit == 'min' else 'min'}") if f"{p}_max" in given else F.lit(None).cast("double")
+            bounded = F.least if end == "low" else F.greatest
+            ranges[f"{p}_{end}"] = F.coalesce(own, bounded(F.col(f"_{p}_{end}"), other))
+    fits = F.lit(True)
+    for p in params:
+        fits = fits & F.coalesce(F.col(f"{p}_low") <= F.col(f"{p}_high"), F.lit(False))
+    return joined.withColumns(ranges).filter(fits).select("query_id", "experiment_type", *ranges)
+
+
+def predict_settings(
+    ranges: DataFrame, score: Callable[[DataFrame], DataFrame], params: list[str], k: int = 5,
+    count: int = 64, rounds: int = 4, shrink: float = 0.4,
+) -> DataFrame:
+    """The k settings of highest `score` inside each query's ranges (`allowed_ranges`).
+
+    Each round draws `count` Halton points from a box: the whole range first, then a box
+    `shrink` times as wide around the best point so far, cut to the range. So a query costs
+    count * rounds predictions, whatever the number of parameters. `score` adds a column
+    `score` to rows with experiment_type and the parameters.
+    """
+    lows, highs = [f"{p}_low" for p in params], [f"{p}_high" for p in params]
+    order = [F.desc("score"), *params]
+    best = Window.partitionBy("query_id").orderBy(*order)
+    boxes = ranges.withColumns({f"_{p}_{end}": F.col(f"{p}_{end}") for p in params for end in ("low", "high")})
+    found = None
+    for number in range(rounds):
+        drawn = boxes.withColumn("_at", F.explode(_points(count, 1 + number * count, params)))
+        for p in params:
+            drawn = drawn.withColumn(p, F.col(f"_{p}_low") + (F.col(f"_{p}_high") - F.col(f"_{p}_low")) * F.col(f"_at.{p}"))
+        scored = score(drawn.select("query_id", "experiment_type", *lows, *highs, *params))
+        scored = cut(scored.select("query_id", "experiment_type", *lows, *highs, *params, "score"))
+        found = scored if found is None else found.unionByName(scored)
+        # k rows a query are kept, so what a round stores does not grow with the rounds.
+        found = cut(found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("rank"))
+        centre = found.withColumn("rank", F.row_number().over(best)).filter("rank = 1")
+        half = shrink ** (number + 1) / 2
+        boxes = centre.select("query_id", "experiment_type", *lows, *highs, *params)
+        for p in params:
+            reach = (F.col(f"{p}_high") - F.col(f"{p}_low")) * half
+            boxes = boxes.withColumns(
+                {
+                    f"_{p}_low": F.greatest(F.col(f"{p}_low"), F.col(p) - reach),
+                    f"_{p}_high": F.least(F.col(f"{p}_high"), F.col(p) + reach),
+                }
+            )
+        boxes = boxes.drop(*params)
+    return found.withColumn("rank", F.row_number().over(best)).select(
+        "query_id", "experiment_type", "rank", *params, "score"
+    )

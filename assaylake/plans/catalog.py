@@ -22,7 +22,7 @@ from ..operators import (
     recommend,
     screening,
 )
-from ..session import shared_folder, tune
+from ..session import cut, shared_folder, tune
 from ..streaming import jobs
 from . import roles
 
@@ -405,12 +405,12 @@ def page_text(spark, folder):
 
 @query
 def lit_params(spark, folder):
-    return literature.extract_values(roles.documents(spark, folder))
+    return literature.extract_values(roles.literature(spark, folder))
 
 
 @query
 def lit_validate(spark, folder):
-    checked = literature.check_values(literature.extract_values(roles.documents(spark, folder)))
+    checked = literature.check_values(literature.extract_values(roles.literature(spark, folder)))
     return checked.select("doc_id", "position", "value", _joined("errors"))
 
 
@@ -435,7 +435,7 @@ def lit_types(spark, folder):
 
 @query
 def lit_rows(spark, folder):
-    return literature.literature_rows(roles.documents(spark, folder), TYPE_WORDS)
+    return literature.literature_rows(roles.literature(spark, folder), TYPE_WORDS)
 
 
 @query
@@ -451,9 +451,7 @@ def page_values(spark, folder):
 
 
 def _rows(spark, folder):
-    full = roles.observations(spark, folder)
-    filled = full.withColumn("duration", F.coalesce("duration", F.lit(0)))
-    return modelling.model_rows(filled, roles.PARAMS)
+    return modelling.model_rows(roles.observations(spark, folder), roles.PARAMS)
 
 
 def _fit(rows, *pipelines):
@@ -465,17 +463,22 @@ def _fit(rows, *pipelines):
         train.unpersist()
 
 
-def _fit_regressors(spark, folder):
-    rows = _rows(spark, folder)
-    rf, gbt = _fit(rows, modelling.forest(roles.PARAMS), modelling.boosted(roles.PARAMS))
-    return rows, rf, gbt
+def _regressors():
+    return {"rf": modelling.forest(roles.PARAMS), "gbt": modelling.boosted(roles.PARAMS)}
+
+
+def _stacked(spark, folder):
+    """(rows, function that adds rf, gbt and ensemble): weights come from training rows that
+    were scored by models of other folds, so fold 0 is neither fitted nor weighted."""
+    rows = cut(_rows(spark, folder))
+    weights = modelling.stacking_weights(modelling.out_of_fold(rows, _regressors()), list(_regressors()))
+    rf, gbt = _fit(rows, *_regressors().values())
 
+    def add(given):
+        both = modelling.add_prediction(rf, given, "rf")
+        return modelling.add_ensemble(modelling.add_prediction(gbt, both, "gbt"), weights)
 
-def _with_ensemble(rows, rf, gbt):
-    both = modelling.add_prediction(rf, rows, "rf")
-    both = modelling.add_prediction(gbt, both, "gbt")
-    weights = modelling.ensemble_weights(modelling.holdout(both), ["rf", "gbt"])
-    return modelling.add_ensemble(both, weights), weights
+    return rows, add
 
 
 @query
@@ -512,15 +515,32 @@ def mlp_predict(spark, folder):
 
 @query
 def ensemble(spark, folder):
-    predicted, _ = _with_ensemble(*_fit_regressors(spark, folder))
-    return predicted
+    rows, add = _stacked(spark, folder)
+    return add(rows)
 
 
 @query
 def model_eval(spark, folder):
-    predicted, _ = _with_ensemble(*_fit_regressors(spark, folder))
-    held_out = modelling.holdout(predicted)
-    return modelling.regression_metrics(held_out, ["rf", "gbt", "ensemble"])
+    rows, add = _stacked(spark, folder)
+    judged = modelling.add_type_means(add(modelling.holdout(rows)), modelling.training(rows))
+    return modelling.regression_metrics(judged, ["type_mean", "rf", "gbt", "ensemble"])
+
+
+@query
+def baseline_eval(spark, folder):
+    """The mean per type, judged on fold 0."""
+    rows = _rows(spark, folder)
+    judged = modelling.add_type_means(modelling.holdout(rows), modelling.training(rows))
+    metrics = modelling.regression_metrics(judged, ["type_mean"])
+    return metrics.select("model", "n", *[F.round(c, 4).alias(c) for c in ("rmse", "mae", "r2")])
+
+
+@query
+def model_folds(spark, folder):
+    """Rows and mean outcome of every type in every fold."""
+    return _rows(spark, folder).groupBy("experiment_type", "fold").agg(
+        F.count("*").alias("n"), F.round(F.avg("label"), 4).alias("mean_outcome")
+    )
 
 
 @query
@@ -532,22 +552,33 @@ def success_eval(spark, folder):
 
 @query
 def model_recommend(spark, folder):
-    rows, rf, gbt = _fit_regressors(spark, folder)
-    _, weights = _with_ensemble(rows, rf, gbt)
+    rows, add = _stacked(spark, folder)
     grid = modelling.candidate_grid(rows, roles.PARAMS, 10)
-    scored = modelling.add_prediction(rf, grid, "rf")
-    scored = modelling.add_prediction(gbt, scored, "gbt")
-    scored = modelling.add_ensemble(scored, weights)
-    return modelling.recommend_settings(scored, roles.PARAMS, "ensemble", TOP)
+    return modelling.recommend_settings(add(grid), roles.PARAMS, "ensemble", TOP)
+
+
+@query
+def predict_parameters(spark, folder):
+    """The best settings that the models predict inside each constraint query's bounds."""
+    rows, add = _stacked(spark, folder)
+    ranges = modelling.allowed_ranges(_queries(spark, folder), rows, roles.PARAMS)
+
+    def score(given):
+        return add(given).withColumnRenamed("ensemble", "score")
+
+    return modelling.predict_settings(ranges, score, roles.PARAMS, TOP)
 
 
 # --- streams -----------------------------------------------------------------
 
 
 def _stream_of(spark, folder, name):
-    schema = roles.table(spark, folder, name).schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return source.parquet(folder)
+    """A table as a stream; it may be one file or a folder of files."""
+    scan = roles.table(spark, folder, name)
+    source = spark.readStream.schema(scan.schema)
+    if scan.inputFiles()[0].endswith(f"/{name}.parquet"):
+        return source.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return source.parquet(f"{folder}/{name}.parquet")
 
 
 def _work(spark) -> str:
@@ -559,7 +590,17 @@ def stream_login(spark, folder):
     work = _work(spark)
     attempts = roles.attempts_of(_stream_of(spark, folder, "events"))
     jobs.login_stream(attempts, roles.users(spark, folder), work).awaitTermination()
-    return spark.read.parquet(f"{work}/audit").drop("batch")
+    return jobs.stream_audit(spark, work)
+
+
+@query
+def stream_last_login(spark, folder):
+    """Users with the last login that the stream of attempts leaves."""
+    work = _work(spark)
+    users = roles.users(spark, folder)
+    attempts = roles.attempts_of(_stream_of(spark, folder, "events"))
+    jobs.login_stream(attempts, users, work).awaitTermination()
+    return logins.set_last_logins(users, jobs.latest_logins(spark, work)).select("id", "last_login_at")
 
 
 @query

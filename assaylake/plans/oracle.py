@@ -131,6 +131,10 @@ CTES = {
                l_extendedprice::DECIMAL(18, 4) AS outcome,
                l_returnflag = 'N' AS success
         FROM lines JOIN part ON p_partkey = l_partkey""",
+    "folded": """
+        SELECT experiment_type, outcome::DOUBLE AS label,
+               (('0x' || substr(md5(experiment_id), 1, 8))::BIGINT % 5)::INTEGER AS fold
+        FROM observations""",
     "long_all": """
         SELECT experiment_id, experiment_type, 'temperature' AS name, temperature AS value,
                outcome, success FROM observations
@@ -206,7 +210,27 @@ CTES = {
         SELECT doc_id, list_filter(
             string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS t
         FROM documents""",
-    "written": "SELECT doc_id, text FROM documents",
+    "written": """
+        SELECT doc_id, text FROM documents
+        UNION ALL
+        SELECT -p_partkey - 1,
+               CASE p_size % 3 WHEN 0 THEN 'heat was applied: ' WHEN 1 THEN 'sich ' ELSE '' END
+               || p_size || '-' || p_size * 2 || ' °C, ' || p_size * 9 || ' K, ' || p_size * 150
+               || '°C at ' || floor(p_retailprice)::BIGINT || ' atm or -' || p_size || ' bar, '
+               || p_size * 400 || ' bar; ' || p_size * 3 || '.5 mg/mL, ' || p_size * 2 || ' g/L, 0.'
+               || p_size || ' mol/L, ' || p_size || ' %, batch ' || floor(p_retailprice)::BIGINT
+               || '0000000.'
+        FROM part""",
+    "written_tokens": """
+        SELECT doc_id, list_filter(
+            string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS t
+        FROM written""",
+    "written_typed": "SELECT doc_id, CASE "
+    + " ".join(
+        f"WHEN list_has_any(t, {list(hints)!r}) THEN '{kind}'"
+        for kind, hints in TYPE_WORDS.items()
+    )
+    + " ELSE 'other' END AS data_type FROM written_tokens",
     "numbers": """
         SELECT doc_id, unnest(m) AS found, generate_subscripts(m, 1) - 1 AS position
         FROM (SELECT doc_id, flatten(list_transform(
@@ -696,9 +720,9 @@ SQL = {
     ),
     "lit_types": _with("tokens typed", "SELECT doc_id, data_type FROM typed"),
     "lit_rows": _with(
-        "tokens typed written numbers measured standardised",
+        "written written_tokens written_typed numbers measured standardised",
         """SELECT doc_id, data_type, quantity AS name, value, unit
-           FROM standardised JOIN typed USING (doc_id) WHERE unit IS NOT NULL""",
+           FROM standardised JOIN written_typed USING (doc_id) WHERE unit IS NOT NULL""",
     ),
     "page_values": f"WITH written AS (SELECT page_id AS doc_id, {_decoded(_PAGE_TEXT)} AS text "
     + "FROM pages), "
@@ -707,6 +731,29 @@ SQL = {
         "SELECT doc_id AS page_id, position, value, unit, quantity, standard FROM standardised",
     ).removeprefix("WITH "),
     "stream_login": _with(f"{_LOGIN} audit", "SELECT * FROM audit"),
+    "baseline_eval": _with(
+        "lines observations folded",
+        """SELECT 'type_mean' AS model, count(*) AS n, round(sqrt(avg(e * e)), 4) AS rmse,
+                  round(avg(abs(e)), 4) AS mae, round(1 - avg(e * e) / var_pop(label), 4) AS r2
+           FROM (SELECT f.label, coalesce(m.mean, a.mean) - f.label AS e
+                 FROM folded f
+                 LEFT JOIN (SELECT experiment_type, avg(label) AS mean FROM folded WHERE fold <> 0
+                            GROUP BY ALL) m ON m.experiment_type = f.experiment_type
+                 CROSS JOIN (SELECT avg(label) AS mean FROM folded WHERE fold <> 0) a
+                 WHERE f.fold = 0) s""",
+    ),
+    "model_folds": _with(
+        "lines observations folded",
+        """SELECT experiment_type, fold, count(*) AS n, round(avg(label), 4) AS mean_outcome
+           FROM folded GROUP BY ALL""",
+    ),
+    "stream_last_login": _with(
+        _LOGIN,
+        """SELECT u.id, coalesce(l.at, u.last_login_at) AS last_login_at
+           FROM users u LEFT JOIN (SELECT user_id, arg_max(created_at, seq) AS at
+                                   FROM decided WHERE ok GROUP BY user_id) l
+           ON l.user_id = u.id""",
+    ),
     "stream_dashboard": """
         SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, user_id,
                count(*) AS experiments,

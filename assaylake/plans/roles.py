@@ -449,6 +449,30 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spread_table(spark, folder, "documents", "doc_id", "text")
 
 
+def reports(spark: SparkSession, folder: str) -> DataFrame:
+    """Short laboratory reports, one per part, with values in every unit, ranges, values that
+    no measurement has, and numbers without a unit; ids are negative."""
+    size, price = c("p_size"), _whole(c("p_retailprice"))
+
+    def times(factor: int) -> Column:
+        return _text(size * factor)
+
+    text = F.concat(
+        F.when(size % 3 == 0, "heat was applied: ").when(size % 3 == 1, "sich ").otherwise(""),
+        times(1), F.lit("-"), times(2), F.lit(" °C, "), times(9), F.lit(" K, "), times(150), F.lit("°C at "),
+        price, F.lit(" atm or -"), times(1), F.lit(" bar, "), times(400), F.lit(" bar; "), times(3), F.lit(".5 mg/mL, "),
+        times(2), F.lit(" g/L, 0."), times(1), F.lit(" mol/L, "), times(1), F.lit(" %, batch "), price, F.lit("0000000."),
+    )
+    return spread_table(spark, folder, "part", "p_partkey", "p_size", "p_retailprice").select(
+        (-c("p_partkey") - 1).cast("long").alias("doc_id"), text.alias("text")
+    )
+
+
+def literature(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and reports."""
+    return documents(spark, folder).unionByName(reports(spark, folder))
+
+
 def dictionary(spark: SparkSession, folder: str) -> DataFrame:
     """Long words and all word pairs of the benchmark texts, with their first item."""
     tokens = table(spark, folder, "benchmark").select(

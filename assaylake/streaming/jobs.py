@@ -16,6 +16,7 @@ from ..operators.logins import (
     number_attempts,
     usage,
 )
+from ..sources.tables import read_audit
 
 
 USAGE_KEYS = ["window_start", "window_end", "username"]
@@ -92,12 +93,43 @@ def _last_id(spark: SparkSession, folder: str, batch: int) -> int:
     return spark.read.parquet(f"{folder}/last_id/batch={batch - 1}").first()["last_id"]
 
 
+def _merged_logins(spark: SparkSession, folder: str, latest: DataFrame, batch: int) -> None:
+    """The last login of every user after `batch`: that of the snapshot before, or later.
+
+    Snapshot n is made of snapshot n - 1 and batch n alone, so a batch that is repeated
+    after a failure writes the same snapshot again. Two older ones are kept, no more.
+    """
+    path = f"{folder}/last_logins/batch="
+    merged = latest
+    if batch:
+        merged = latest.unionByName(spark.read.schema(latest.schema).parquet(f"{path}{batch - 1}"))
+    newest = F.max_by(F.struct("last_login_at", "seq"), "seq").alias("newest")
+    merged.groupBy("user_id").agg(newest).select("user_id", "newest.*").write.mode("overwrite").parquet(f"{path}{batch}")
+    if batch > 2:
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}{batch - 3}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+
+def latest_logins(spark: SparkSession, folder: str) -> DataFrame:
+    """user_id, last_login_at after the last batch of a `login_stream`; none before the first."""
+    kinds = "user_id long, last_login_at timestamp, seq long, batch int"
+    kept = spark.read.schema(kinds).parquet(f"{folder}/last_logins")
+    last = kept.agg(F.max("batch").alias("batch")).first()["batch"]
+    return kept.filter(F.col("batch") == F.lit(last)).select("user_id", "last_login_at")
+
+
+def stream_audit(spark: SparkSession, folder: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Audit rows of a `login_stream`, of the days first..last only; other days are not read."""
+    return read_audit(spark, f"{folder}/audit", first, last).drop("dt", "batch")
+
+
 def login_stream(attempts: DataFrame, users: DataFrame, folder: str) -> StreamingQuery:
-    """Decide a stream of login attempts; audit rows and answers go to two tables.
+    """Decide a stream of login attempts: audit rows, answers and last logins.
 
-    A micro-batch owns the directory batch=<n> of each table and overwrites it when it
-    is repeated after a failure, so no attempt is recorded twice. Audit rows are
-    written first. Their numbers continue those of earlier batches.
+    Audit rows land by day, in dt=<day>/batch=<n>; a micro-batch that is repeated after a
+    failure replaces what it wrote and nothing else, so no attempt is recorded twice. Audit
+    rows are written first. Their numbers continue those of earlier batches. A user's last
+    login is that of the attempt of largest seq (see `latest_logins`).
     """
 
     def write(batch_rows: DataFrame, batch: int) -> None:
@@ -105,10 +137,14 @@ def login_stream(attempts: DataFrame, users: DataFrame, folder: str) -> Streamin
         last_id = _last_id(spark, folder, batch)
         decided = decide_logins(number_attempts(batch_rows, last_id), users).persist()
         try:
-            audit = audit_rows(decided)
-            audit.write.mode("overwrite").parquet(f"{folder}/audit/batch={batch}")
+            dated = audit_rows(decided).withColumns({"dt": F.to_date("created_at"), "batch": F.lit(batch)})
+            by_day = dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            by_day.partitionBy("dt", "batch").parquet(f"{folder}/audit")
             answers = login_answers(decided)
             answers.write.mode("overwrite").parquet(f"{folder}/answers/batch={batch}")
+            newest = F.max_by(F.struct(F.col("created_at").alias("last_login_at"), "seq"), "seq").alias("newest")
+            granted = decided.filter("ok").groupBy("user_id").agg(newest)
+            _merged_logins(spark, folder, granted.select("user_id", "newest.*"), batch)
             given = spark.createDataFrame([(last_id + decided.count(),)], "last_id long")
             given.coalesce(1).write.mode("overwrite").parquet(f"{folder}/last_id/batch={batch}")
         finally:

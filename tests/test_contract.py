@@ -9,7 +9,7 @@ from assaylake.plans.catalog import QUERIES
 ORACLE = contract.oracle_sql()
 MODELS = {
     "rf_predict", "gbt_predict", "mlp_predict", "ensemble", "model_eval", "success_eval",
-    "model_recommend", "param_importance",
+    "model_recommend", "param_importance", "predict_parameters",
 }
 
 

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
@@ -46,9 +47,51 @@ def test_folds_do_not_depend_on_partitions(rows_of):
     assert len(shares) == modelling.FOLDS and min(r["count"] for r in shares) > 400
 
 
-def test_regressors_beat_the_mean(predicted):
-    weights = modelling.ensemble_weights(predicted, ["rf", "gbt"])
-    assert sum(weights.values()) == pytest.approx(1.0)
+@pytest.fixture(scope="module")
+def scored(rows_of):
+    return modelling.out_of_fold(rows_of, {"rf": modelling.forest(PARAMS), "gbt": modelling.boosted(PARAMS)}).persist()
+
+
+def test_rows_are_scored_by_models_that_never_saw_them(rows_of):
+    """Learners fitted on labels that give the half away predict the other half's label."""
+    halves = rows_of.withColumn("label", F.when(F.col("fold").isin(1, 2), 10.0).otherwise(20.0))
+    found = modelling.out_of_fold(halves, {"rf": modelling.forest(PARAMS, trees=2, depth=1)})
+    values = {(r.fold, round(r.rf, 6)) for r in found.select("fold", "rf").distinct().collect()}
+    assert values == {(1, 20.0), (2, 20.0), (3, 10.0), (4, 10.0)}
+
+
+def test_weights_solve_the_normal_equations(scored):
+    columns = ["rf", "gbt"]
+    weights = modelling.stacking_weights(scored, columns)
+    rows = scored.select(*columns, "label").collect()
+    true = np.linalg.lstsq(np.array([r[:2] for r in rows]), np.array([r[2] for r in rows]), rcond=None)[0]
+    assert [weights[c] for c in columns] == pytest.approx(true.tolist(), abs=1e-2)
+    assert modelling.stacking_weights(scored.limit(0), columns) == {"rf": 0.5, "gbt": 0.5}
+    same = scored.withColumn("gbt", F.col("rf"))
+    assert sum(modelling.stacking_weights(same, columns).values()) == pytest.approx(
+        float(np.sum(np.array([r[0] * r[2] for r in rows])) / np.sum(np.array([r[0] ** 2 for r in rows]))), rel=1e-3
+    )
+
+
+def test_type_means_and_unknown_types(spark, rows_of):
+    known = modelling.training(rows_of)
+    means = {r[0]: r[1] for r in known.groupBy("experiment_type").avg("label").collect()}
+    overall = known.agg(F.avg("label")).first()[0]
+    rows = modelling.holdout(rows_of).unionByName(rows_of.limit(1).withColumn("experiment_type", F.lit("brewing")))
+    for r in modelling.add_type_means(rows, known).collect():
+        assert r.type_mean == pytest.approx(means.get(r.experiment_type, overall))
+
+
+def test_missing_parameters_are_filled_by_the_training_mean(rows_of):
+    gaps = rows_of.withColumn("temperature", F.when(F.col("pressure") != 3, F.col("temperature")))
+    model = modelling.forest(PARAMS).fit(gaps)
+    mean = gaps.agg(F.avg("temperature")).first()[0]
+    assert model.stages[0].surrogateDF.first()["temperature"] == pytest.approx(mean)
+    assert modelling.add_prediction(model, gaps, "rf").filter("rf is null").count() == 0
+
+
+def test_regressors_beat_the_mean(predicted, scored):
+    weights = modelling.stacking_weights(scored, ["rf", "gbt"])
     full = modelling.add_ensemble(predicted, weights)
     got = {r["model"]: r for r in modelling.regression_metrics(full, ["rf", "gbt", "ensemble"]).collect()}
     assert all(r["r2"] > 0.8 for r in got.values())
@@ -116,3 +159,52 @@ def test_recommended_settings(rows_of, fitted):
     best = modelling.recommend_settings(scored, PARAMS, "gbt", 2).collect()
     assert len(best) == 4
     assert all(r["temperature"] > 35 for r in best if r["rank"] == 1)
+
+
+BOUNDS = "query_id long, experiment_type string, temperature_min double, temperature_max double, pressure_min double, pressure_max double"
+
+
+def peak(given):
+    """A smooth score with its best at (31.7, 4.3, 6.1)."""
+    gap = lambda name, at, width: F.pow((F.col(name) - at) / width, 2)
+    score = -gap("temperature", 31.7, 50) - gap("pressure", 4.3, 10) - gap("duration", 6.1, 8)
+    return given.withColumn("score", score)
+
+
+def test_predicted_settings_keep_to_the_bounds(spark, rows_of):
+    params = [*PARAMS, "duration"]
+    observed = rows_of.withColumn("duration", F.pmod(F.xxhash64("experiment_id"), F.lit(9)).cast("double"))
+    queries = spark.createDataFrame(
+        [
+            (1, "reaction", 10.0, 20.0, 2.0, 5.0), (2, "reaction", None, None, None, None), (3, "reaction", 20.0, 10.0, None, None),
+            (4, "brewing", None, 5.0, None, None), (5, "brewing", 1.0, 2.0, 3.0, 3.0), (6, "solubility", None, -5.0, 4.0, 4.0),
+            (7, "reaction", 90.0, None, None, None),
+        ],
+        BOUNDS,
+    )
+    ranges = modelling.allowed_ranges(queries, observed, params)
+    of = {r.query_id: r for r in ranges.collect()}
+    assert sorted(of) == [1, 2, 6, 7]  # crossed bounds and open bounds of unknown types have no setting
+    assert (of[6].temperature_low, of[6].temperature_high, of[7].temperature_high) == (-5.0, -5.0, 90.0)
+    seen = []
+
+    def score(given):
+        seen.append(given.count())
+        return peak(given)
+
+    found = modelling.predict_settings(ranges, score, params, k=3, count=64, rounds=4).collect()
+    assert seen == [4 * 64] * 4  # linear in the queries
+    assert sorted((r.query_id, r["rank"]) for r in found) == [(q, k) for q in (1, 2, 6, 7) for k in (1, 2, 3)]
+    for r in found:
+        assert all(of[r.query_id][f"{p}_low"] - 1e-9 <= r[p] <= of[r.query_id][f"{p}_high"] + 1e-9 for p in params)
+    grid = peak(modelling.candidate_grid(observed, params, 10)).filter("experiment_type = 'reaction'")
+    top = {r.query_id: r.score for r in found if r["rank"] == 1}
+    assert top[2] >= grid.agg(F.max("score")).first()[0]
+    assert modelling.predict_settings(ranges.limit(0), peak, params).count() == 0
+
+
+def test_halton_points_fill_the_cube():
+    points = [[modelling.radical_inverse(n, b) for b in (2, 3)] for n in range(1, 73)]
+    assert points[0] == [0.5, pytest.approx(1 / 3)] and points[1] == [0.25, pytest.approx(2 / 3)]
+    cells = {(int(x * 8 + 1e-9), int(y * 9 + 1e-9)) for x, y in points}
+    assert len(cells) == 72

@@ -38,11 +38,50 @@ def test_login_stream_equals_batch(spark, rows, incoming, tmp_path):
     assert rows(audit, "user_id", "username", "ok") == rows(decided, "user_id", "username", "ok")
     assert rows(audit, "id") == [(i,) for i in range(1, 7)]
     assert rows(spark.read.parquet(f"{out}/answers"), "seq", "status") == rows(decided, "seq", "status")
+    latest = logins.last_logins(decided)
+    assert rows(jobs.latest_logins(spark, out), "user_id", "last_login_at") == rows(latest, "user_id", "last_login_at")
     # Nothing new: a second run adds nothing.
     jobs.login_stream(stream, users, out).awaitTermination()
     assert spark.read.parquet(f"{out}/audit").count() == 6
 
 
+def test_a_repeated_batch_changes_nothing(spark, rows, tmp_path):
+    """A batch that is written again, as after a failure, replaces its own output."""
+    users, out = make_users(spark, PEOPLE), str(tmp_path / "out")
+    batches = [[(1, "bob", True, 0), (2, "elan", True, 5)], [(3, "bob", True, 70), (4, "nobody", True, 75)], [(5, "bob", True, 3000)]]
+    written = []
+
+    def each(stream, folder, write, trigger=None):
+        written.append(write)
+
+    before = jobs._each_batch
+    jobs._each_batch = each
+    try:
+        jobs.login_stream(None, users, out)
+    finally:
+        jobs._each_batch = before
+
+    def state():
+        return (
+            rows(jobs.latest_logins(spark, out), "user_id", "last_login_at"), rows(jobs.stream_audit(spark, out)),
+            rows(spark.read.parquet(f"{out}/audit"), "dt", "batch"),
+        )
+
+    for number, batch in enumerate(batches):
+        written[0](make_attempts(spark, batch), number)
+        once = state()
+        written[0](make_attempts(spark, batch), number)
+        assert state() == once
+    latest = dict(state()[0])
+    assert latest == {1: T0 + timedelta(minutes=3000)}
+    days = {r.dt for r in spark.read.parquet(f"{out}/audit").select("dt").distinct().collect()}
+    assert len(days) == 2
+    first = str(min(days))
+    assert jobs.stream_audit(spark, out, last=first).count() == 4
+    plan = jobs.stream_audit(spark, out, first=first, last=first)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dt" in plan
+
+
 def test_usage_stream_counts_late_rows(spark, rows, incoming, tmp_path):
     folder, stream = incoming
     decided = logins.decide_logins(stream, make_users(spark, PEOPLE))
