@@ -31,8 +31,8 @@ SCALE = 1024
 # Whole components beyond this count as this; doubles hold all whole numbers up to it.
 LIMIT = 10**15
 TOP = 2**63 - 1
-ROWS = 16_384
-RING = 16
+ROWS = 65_536  # vectors of a task that are assigned together
+RING = 16  # neighbours in the first ring that is compared; each further one has twice as many
 
 
 @dataclass(frozen=True)
@@ -99,11 +99,10 @@ def nearest(points: np.ndarray, book: Codebook, before: np.ndarray | None) -> tu
         rows, ring = rows[ring > 0], ring[ring > 0]
         outward = np.argsort(-ring, kind="stable")
         rows, ring = rows[outward], ring[outward]
-        for first in range(0, len(book.near[ball]), RING):
-            reached = np.searchsorted(-ring, -first, side="left")
-            if not reached:
-                break
-            at, some = rows[:reached], book.near[ball][first : first + RING]
+        first, width = 0, RING
+        while reached := int(np.searchsorted(-ring, -first, side="left")):
+            at, some = rows[:reached], book.near[ball][first : first + width]
+            first, width = first + width, 2 * width
             by = np.argsort(some)  # lower entries first, so that argmin keeps to them
             some = some[by]
             apart = distances(points[at], entries[some])
