@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import failed
 from ..functions.text import copy_key, ngrams, page_text, page_title, split_words, words
+from ..session import cut, small_side
 
 # Units of the measured quantities. A value becomes
 # value * factor + offset in the unit of the quantity: unit, name, factor, offset.
@@ -148,6 +149,65 @@ def find_entities(documents: DataFrame, dictionary: DataFrame, longest: int = 2)
     )
 
 
+def longest_mentions(documents: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """doc_id, position, n_words, entity of the leftmost longest mentions, none overlapping.
+
+    A text is read from the left: where entries begin the longest is taken, and reading goes
+    on behind it; `position` counts words from 0. dictionary: entity, lower-case words
+    joined by one blank, of any length; other columns are not used.
+
+    Only runs that begin with the first word of an entry, and have the length of an entry
+    that begins so, are built and meet the dictionary. Of what is found, matches that do not
+    touch are chosen by themselves: a window over a document's matches numbers clusters of
+    overlapping ones, and only inside a cluster are they taken in order.
+    """
+    entries = cut(dictionary.select("entity").dropna().distinct())
+    n_words = F.size(F.split("entity", " "))
+    starts = small_side(
+        entries.groupBy(F.substring_index("entity", " ", 1).alias("first")).agg(
+            F.collect_set(n_words).alias("lengths")
+        )
+    )
+    tokens = documents.select("doc_id", words(F.col("text")).alias("tokens"))
+    runs = (
+        tokens.select("doc_id", "tokens", F.posexplode("tokens").alias("position", "first"))
+        .join(starts, "first")
+        .select("doc_id", "position", "tokens", F.explode("lengths").alias("n_words"))
+        .filter(F.col("position") + F.col("n_words") <= F.size("tokens"))
+        .select("doc_id", "position", "n_words", F.array_join(F.slice("tokens", F.col("position") + 1, F.col("n_words")), " ").alias("entity"))
+    )
+    longest = (
+        runs.join(entries, "entity", "left_semi")
+        .groupBy("doc_id", "position")
+        .agg(F.max(F.struct("n_words", "entity")).alias("m"))
+        .select("doc_id", "position", "m.n_words", "m.entity")
+    )
+    in_order = Window.partitionBy("doc_id").orderBy("position")
+    reached = F.max(F.col("position") + F.col("n_words")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce(F.col("position") >= F.col("reached"), F.lit(True)).cast("int")
+    clusters = (
+        longest.withColumn("reached", reached).withColumn("apart", apart)
+        .withColumn("cluster", F.sum("apart").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("doc_id", "cluster")
+        .agg(F.array_sort(F.collect_list(F.struct("position", "n_words", "entity"))).alias("found"))
+    )
+    kind = clusters.schema["found"].dataType.simpleString()
+
+    def take(taken: Column, match: Column) -> Column:
+        last = F.element_at(taken, -1)
+        return F.when(match["position"] >= last["position"] + last["n_words"], F.concat(taken, F.array(match))).otherwise(taken)
+
+    rest = F.slice("found", F.lit(2), F.size("found"))
+    chosen = F.aggregate(rest, F.slice("found", F.lit(1), F.lit(1)).cast(kind), take)
+    return clusters.select("doc_id", F.explode(chosen).alias("m")).select("doc_id", "m.*")
+
+
+def find_longest(documents: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Dictionary entries named in each document by `longest_mentions`, with their number."""
+    counted = longest_mentions(documents, dictionary).groupBy("doc_id", "entity").agg(F.count("*").alias("mentions"))
+    return counted.join(dictionary, "entity").select("doc_id", *dictionary.columns, "mentions")
+
+
 def copy_groups(documents: DataFrame) -> DataFrame:
     """Per text, up to letter case and blanks: its key, lowest doc_id and `copies`.
 

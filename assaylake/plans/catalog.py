@@ -16,13 +16,16 @@ from ..operators import (
     experiments,
     feedback,
     history,
+    learning,
     literature,
     logins,
     modelling,
     recommend,
+    retrieval,
     screening,
 )
 from ..session import cut, shared_folder, tune
+from ..sources import uploads
 from ..streaming import jobs
 from . import roles
 
@@ -272,6 +275,21 @@ def experiment_validate(spark, folder):
     )
 
 
+@query
+def upload_process(spark, folder):
+    """Rows written as files, taken, and sent again under other names, which adds nothing."""
+    work = _work(spark)
+    rows = cut(roles.uploaded(spark, folder))  # so that both writes give the same bytes
+    for name in ("first", "again"):
+        rows.write.option("header", True).csv(f"{work}/in/{name}")
+        uploads.ingest_uploads(spark, f"{work}/in", f"{work}/out")
+    good = spark.read.parquet(f"{work}/out/rows").withColumn("errors", F.lit(""))
+    bad = spark.read.parquet(f"{work}/out/rejected").withColumn("errors", F.concat_ws(",", "errors"))
+    columns = ["experiment_id", F.coalesce("experiment_type", F.lit("")).alias("experiment_type"), "errors"]
+    numbers = [F.trim(F.col(n).cast("string")).try_cast("double").alias(n) for n in ("temperature", "pressure", "outcome")]
+    return good.select(*columns, *numbers).unionByName(bad.select(*columns, *numbers))
+
+
 @query
 def orphans(spark, folder):
     left = _remaining(spark, folder)
@@ -398,6 +416,13 @@ def lit_search(spark, folder):
     return literature.search(roles.documents(spark, folder), KEYWORDS, 50)
 
 
+@query
+def lit_ranked(spark, folder):
+    index = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    retrieval.index_documents(roles.documents(spark, folder), index)
+    return retrieval.ranked_search(spark, index, KEYWORDS, 50)
+
+
 @query
 def page_text(spark, folder):
     return literature.read_pages(roles.spread_table(spark, folder, "pages", "page_id", "url", "html"))
@@ -421,6 +446,11 @@ def lit_entities(spark, folder):
     )
 
 
+@query
+def lit_longest(spark, folder):
+    return literature.find_longest(roles.documents(spark, folder), roles.phrases(spark, folder))
+
+
 @query
 def lit_dedup(spark, folder):
     return literature.drop_copies(roles.documents(spark, folder)).withColumn(
@@ -626,3 +656,23 @@ def stream_feedback(spark, folder):
     messages = roles.feedback_messages_of(_stream_of(spark, folder, "events"))
     jobs.feedback_stream(messages, work).awaitTermination()
     return spark.read.parquet(f"{work}/feedback").drop("batch", "created_at")
+
+
+RATING_FEATURES = ["amount", "finished"]
+
+
+@query
+def stream_learning(spark, folder):
+    """What the stream of feedback teaches: the rating by amount and state of an order."""
+    work = _work(spark)
+    messages = roles.feedback_messages_of(_stream_of(spark, folder, "events"))
+    predictions = roles.predictions(spark, folder).select(
+        "prediction_id", (F.col("score") / 100000).alias("amount"),
+        F.col("predicted_success").cast("int").alias("finished"),
+    )
+    jobs.learning_stream(messages, predictions, RATING_FEATURES, work).awaitTermination()
+    sums = learning.added(jobs.learned(spark, work))
+    model = learning.solve(sums, RATING_FEATURES)
+    return sums.select(
+        "n", F.col("y").alias("total"), *[F.lit(round(slope, 6)).alias(name) for name, slope in model.items()]
+    )

@@ -278,6 +278,13 @@ CTES = {
                                                   lambda i: t[i] || ' ' || t[i + 1]))
             FROM item_tokens) e
         GROUP BY entity""",
+    "phrases": """
+        SELECT entity, min(item_id) AS item_id
+        FROM (SELECT item_id, unnest(list_transform(
+                  range(0, len(t), 5),
+                  lambda i: array_to_string(t[i + 1 : i + 1 + (i // 5) % 5], ' '))) AS entity
+              FROM item_tokens) e
+        GROUP BY entity""",
     "mentions": """
         SELECT doc_id, unnest(t) AS entity FROM tokens
         UNION ALL
@@ -316,6 +323,37 @@ _LAST = ", ".join(
 )
 _BOUND = "'^\\s*[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?\\s*$'"
 _NUMBER_TEXT = "trim({0}) <> '' AND try_cast(trim({0}) AS DOUBLE) IS NULL"
+_VALIDATED = f"""SELECT experiment_id, experiment_type,
+                try_cast(trim(temperature) AS DOUBLE) AS temperature,
+                try_cast(trim(pressure) AS DOUBLE) AS pressure,
+                try_cast(trim(outcome) AS DOUBLE) AS outcome,
+                concat_ws(',',
+                    CASE WHEN experiment_type = '' THEN 'type_missing' END,
+                    CASE WHEN experiment_type NOT IN ('', 'solubility', 'crystallization',
+                         'reaction', 'extraction') THEN 'type_unknown' END,
+                    CASE WHEN {_NUMBER_TEXT.format('temperature')}
+                         THEN 'temperature_unreadable' END,
+                    CASE WHEN {_NUMBER_TEXT.format('pressure')}
+                         THEN 'pressure_unreadable' END,
+                    CASE WHEN try_cast(pressure AS DOUBLE) < 0
+                         THEN 'pressure_negative' END,
+                    CASE WHEN outcome = '' THEN 'outcome_missing' END,
+                    CASE WHEN {_NUMBER_TEXT.format('outcome')}
+                         THEN 'outcome_unreadable' END) AS errors
+         FROM (SELECT experiment_id,
+                  CASE WHEN l_returnflag = 'A' THEN 'solubility'
+                       WHEN l_returnflag = 'R' THEN 'reaction'
+                       WHEN l_linestatus = 'F' THEN 'crystallization'
+                       WHEN l_linenumber > 5 THEN '' ELSE 'distillation' END
+                      AS experiment_type,
+                  CASE l_linenumber WHEN 7 THEN 'n/a'
+                       WHEN 6 THEN ' ' || floor(l_quantity)::BIGINT || ' '
+                       ELSE floor(l_quantity)::BIGINT::VARCHAR END AS temperature,
+                  CASE WHEN round(l_tax * 100) = 8 THEN '-' ELSE '' END
+                      || floor(round(l_discount * 100))::BIGINT AS pressure,
+                  CASE WHEN round(l_tax * 100) = 7 THEN ''
+                       ELSE floor(l_extendedprice)::BIGINT::VARCHAR END AS outcome
+               FROM lines) t"""
 _PAGE_TEXT = "html"
 for _pattern in (
     "(?is)<script[^>]*>.*?</script>",
@@ -504,40 +542,8 @@ SQL = {
            FROM links JOIN orders ON o_orderkey = prediction_id
            JOIN part ON p_partkey = parameter_id""",
     ),
-    "experiment_validate": _with(
-        "lines",
-        f"""SELECT experiment_id, experiment_type,
-                  try_cast(trim(temperature) AS DOUBLE) AS temperature,
-                  try_cast(trim(pressure) AS DOUBLE) AS pressure,
-                  try_cast(trim(outcome) AS DOUBLE) AS outcome,
-                  concat_ws(',',
-                      CASE WHEN experiment_type = '' THEN 'type_missing' END,
-                      CASE WHEN experiment_type NOT IN ('', 'solubility', 'crystallization',
-                           'reaction', 'extraction') THEN 'type_unknown' END,
-                      CASE WHEN {_NUMBER_TEXT.format('temperature')}
-                           THEN 'temperature_unreadable' END,
-                      CASE WHEN {_NUMBER_TEXT.format('pressure')}
-                           THEN 'pressure_unreadable' END,
-                      CASE WHEN try_cast(pressure AS DOUBLE) < 0
-                           THEN 'pressure_negative' END,
-                      CASE WHEN outcome = '' THEN 'outcome_missing' END,
-                      CASE WHEN {_NUMBER_TEXT.format('outcome')}
-                           THEN 'outcome_unreadable' END) AS errors
-           FROM (SELECT experiment_id,
-                    CASE WHEN l_returnflag = 'A' THEN 'solubility'
-                         WHEN l_returnflag = 'R' THEN 'reaction'
-                         WHEN l_linestatus = 'F' THEN 'crystallization'
-                         WHEN l_linenumber > 5 THEN '' ELSE 'distillation' END
-                        AS experiment_type,
-                    CASE l_linenumber WHEN 7 THEN 'n/a'
-                         WHEN 6 THEN ' ' || floor(l_quantity)::BIGINT || ' '
-                         ELSE floor(l_quantity)::BIGINT::VARCHAR END AS temperature,
-                    CASE WHEN round(l_tax * 100) = 8 THEN '-' ELSE '' END
-                        || floor(round(l_discount * 100))::BIGINT AS pressure,
-                    CASE WHEN round(l_tax * 100) = 7 THEN ''
-                         ELSE floor(l_extendedprice)::BIGINT::VARCHAR END AS outcome
-                 FROM lines) t""",
-    ),
+    "experiment_validate": _with("lines", _VALIDATED),
+    "upload_process": _with("lines", _VALIDATED),
     "orphans": _with(
         "users deletions remaining feedback links",
         """SELECT 'experiment_user' AS relation, o_custkey::VARCHAR AS missing_key,
@@ -683,6 +689,19 @@ SQL = {
            WHERE len(h) > 0
            ORDER BY hits DESC, keywords DESC, doc_id LIMIT 50""",
     ),
+    "lit_ranked": _with(
+        "tokens",
+        f"""SELECT doc_id, count(*) AS keywords,
+                  sum(round(ln(1 + (docs - holders + 0.5::DOUBLE) / (holders + 0.5::DOUBLE)) * n * 2.2::DOUBLE
+                      / (n + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean_length)), 9)::DECIMAL(20, 9))::DOUBLE AS score
+           FROM (SELECT *, count(*) OVER (PARTITION BY term) AS holders
+                 FROM (SELECT doc_id, term, len(t) AS length, count(*) AS n
+                       FROM (SELECT doc_id, t, unnest(t) AS term FROM tokens) u
+                       WHERE term IN ({', '.join(repr(k) for k in KEYWORDS)})
+                       GROUP BY doc_id, term, length) g) h
+           CROSS JOIN (SELECT count(*) AS docs, sum(len(t))::DOUBLE / count(*) AS mean_length FROM tokens) z
+           GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 50""",
+    ),
     "page_text": f"""
         SELECT page_id, url,
                {_decoded("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
@@ -710,6 +729,26 @@ SQL = {
         """SELECT doc_id, entity, item_id, count(*) AS mentions
            FROM mentions JOIN dictionary USING (entity) GROUP BY ALL""",
     ),
+    "lit_longest": _with(
+        "tokens item_tokens phrases",
+        """SELECT doc_id, entity, item_id, count(*) AS mentions
+           FROM (SELECT doc_id, unnest(list_reduce(
+                     list_transform(list(m ORDER BY m.position), lambda x: [x]),
+                     lambda a, x: CASE WHEN x[1].position >= a[-1].position + a[-1].n
+                                       THEN list_concat(a, x) ELSE a END)).entity AS entity
+                 FROM (SELECT d.doc_id, {'position': d.position, 'n': max(d.n),
+                              'entity': arg_max(d.entity, d.n)} AS m
+                       FROM (SELECT doc_id, n, i AS position,
+                                    array_to_string(t[i + 1 : i + n], ' ') AS entity
+                             FROM (SELECT doc_id, t, unnest(range(len(t))) AS i FROM tokens) w
+                             JOIN (SELECT DISTINCT string_split(entity, ' ')[1] AS first,
+                                          len(string_split(entity, ' ')) AS n FROM phrases) f
+                             ON f.first = t[i + 1] AND i + n <= len(t)) d
+                       JOIN phrases p ON p.entity = d.entity
+                       GROUP BY d.doc_id, d.position) g
+                 GROUP BY doc_id) r
+           JOIN phrases USING (entity) GROUP BY ALL""",
+    ),
     "lit_dedup": _with(
         "copies",
         """SELECT doc_id, key, copies, text
@@ -771,4 +810,20 @@ SQL = {
                   count(*) FILTER (WHERE NOT ok) AS failures
            FROM decided GROUP BY ALL""",
     ),
+    "stream_learning": _with(
+        "feedback",
+        """SELECT n, total, round(my - (b1 * m1 + b2 * m2), 6) AS intercept,
+                  round(b1, 6) AS amount, round(b2, 6) AS finished
+           FROM (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1,
+                        (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2
+                 FROM (SELECT count(*) AS n, sum(rating)::DOUBLE AS total, avg(y) AS my,
+                              avg(a) AS m1, avg(d) AS m2, var_pop(a) AS s11, var_pop(d) AS s22,
+                              covar_pop(a, d) AS s12, covar_pop(a, y) AS s1y, covar_pop(d, y) AS s2y
+                       FROM (SELECT rating, rating::DOUBLE AS y,
+                                    (o_totalprice / 100000)::DECIMAL(18, 4)::DOUBLE AS a,
+                                    (o_orderstatus = 'F')::INT::DOUBLE AS d
+                             FROM feedback JOIN orders ON o_orderkey = prediction_id
+                             JOIN events USING (event_id)
+                             WHERE event_type <> 'error') r) s) b""",
+    ),
 }

@@ -484,3 +484,27 @@ def dictionary(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy("entity")
         .agg(F.min("item_id").alias("item_id"))
     )
+
+
+def phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of one to five words of the benchmark texts, cut at every fifth word, whose length
+    follows from their place; each with its first item."""
+    tokens = table(spark, folder, "benchmark").select("item_id", words(c("text")).alias("tokens"))
+    places = F.sequence(F.lit(0), F.size("tokens") - 1, F.lit(5))
+    runs = F.transform(
+        F.when(F.size("tokens") > 0, places),
+        lambda i: F.array_join(F.slice("tokens", i + 1, F.pmod(i.cast("int") / 5, F.lit(5)).cast("int") + 1), " "),
+    )
+    return (
+        tokens.select("item_id", F.explode(runs).alias("entity"))
+        .groupBy("entity")
+        .agg(F.min("item_id").alias("item_id"))
+    )
+
+
+def uploaded(spark: SparkSession, folder: str) -> DataFrame:
+    """Experiment rows as text in the layout of an uploaded file."""
+    return raw_rows(spark, folder).select(
+        "experiment_id", F.lit(None).cast("string").alias("user_id"), "experiment_type",
+        "temperature", "pressure", "outcome", F.lit("true").alias("success"),
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.feedback import read_feedback
+from ..operators.learning import moments
 from ..operators.logins import (
     audit_rows,
     decide_logins,
@@ -162,3 +163,25 @@ def feedback_stream(messages: DataFrame, folder: str) -> StreamingQuery:
         rejected.write.mode("overwrite").parquet(f"{folder}/rejected/batch={batch}")
 
     return _each_batch(messages, folder, write)
+
+
+def learning_stream(
+    messages: DataFrame, predictions: DataFrame, features: list[str], folder: str
+) -> StreamingQuery:
+    """Learn ratings from JSON feedback messages: sums of every micro-batch, one row each.
+
+    A batch that is repeated replaces its own row, so no rating counts twice. The model is
+    solved from the rows when it is asked for (see `learned`).
+    """
+
+    def write(batch_rows: DataFrame, batch: int) -> None:
+        rows, _ = read_feedback(batch_rows)
+        sums = moments(rows, predictions, features)
+        sums.write.mode("overwrite").parquet(f"{folder}/moments/batch={batch}")
+
+    return _each_batch(messages, folder, write)
+
+
+def learned(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of sums of a `learning_stream`, with their `batch`."""
+    return spark.read.parquet(f"{folder}/moments")

@@ -111,3 +111,41 @@ def test_documents_without_text_are_no_copies(spark):
     docs = spark.createDataFrame([(1, None), (2, None), (3, "a b"), (4, "A  b")], "doc_id long, text string")
     found = sorted((r.doc_id, r.copies) for r in literature.drop_copies(docs).collect())
     assert found == [(1, 1), (2, 1), (3, 2)]
+
+
+def test_the_longest_entity_wins(spark, rows):
+    names = spark.createDataFrame(
+        [(e, i) for i, e in enumerate(["sodium", "sodium dodecyl", "dodecyl sulfate", "sodium dodecyl sulfate in cold water",
+                                       "cold", "water bath", "a b", "b c", "c d", "d"])] + [(None, 99)],
+        "entity string, number int",
+    )
+    texts = docs(
+        spark, "Sodium dodecyl sulfate in cold water bath", "sodium dodecyl; sulfate", "a b c d a b", "none", "", None,
+        "sodium sodium dodecyl sulfate in cold",
+    )
+    assert rows(literature.find_longest(texts, names), "doc_id", "entity", "mentions") == [
+        (0, "sodium dodecyl sulfate in cold water", 1), (1, "sodium dodecyl", 1), (2, "a b", 2), (2, "c d", 1),
+        (6, "cold", 1), (6, "sodium dodecyl", 1), (6, "sodium", 1),
+    ]
+    assert rows(literature.longest_mentions(texts, names).filter("doc_id = 2"), "position", "entity") == [
+        (0, "a b"), (2, "c d"), (4, "a b")
+    ]
+    assert literature.find_longest(texts, names.limit(0)).count() == 0
+
+
+def test_longest_entities_like_a_loop(spark, data):
+    texts = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    local = [(r["doc_id"], re.findall(r"[^\W_]+", r["text"].lower())) for r in texts.collect()]
+    wanted = {" ".join(tokens[i : i + 1 + i % 5]) for _, tokens in local[:30] for i in range(0, min(40, len(tokens)), 3)}
+    expected = {}
+    for doc, tokens in local:
+        at = 0
+        while at < len(tokens):
+            n = next((n for n in (5, 4, 3, 2, 1) if at + n <= len(tokens) and " ".join(tokens[at : at + n]) in wanted), 0)
+            if n:
+                key = doc, " ".join(tokens[at : at + n])
+                expected[key] = expected.get(key, 0) + 1
+            at += n or 1
+    names = spark.createDataFrame([(w,) for w in sorted(wanted)], "entity string")
+    got = literature.find_longest(texts, names).collect()
+    assert {(r["doc_id"], r["entity"]): r["mentions"] for r in got} == expected

@@ -1,3 +1,4 @@
+import shutil
 from datetime import datetime
 from decimal import Decimal
 
@@ -45,24 +46,54 @@ def test_audit_by_day(spark, rows, tmp_path):
     assert "PartitionFilters: [isnotnull(dt" in some._jdf.queryExecution().toString()
 
 
+HEADER = ",".join(schemas.UPLOAD.names)
+
+
 def test_uploads(spark, rows, tmp_path):
     folder = tmp_path / "up"
     folder.mkdir()
-    header = ",".join(schemas.UPLOAD.names)
     (folder / "a.csv").write_text(
-        f"{header}\ne1,1,reaction,20.5,1,7,true\ne2,1,reaction,hot,1,7,true\ne3,1\n,2,reaction,1,1,1,false\n"
+        f"{HEADER}\ne1,1,reaction,20.5,1,7,true\ne2,1,reaction,hot,1,7,true\ne3,1\n,2,reaction,1,1,1,false\n"
+        "e5,me,reaction,1,-1,,maybe\ne6,1,alchemy,1,1,1,true\n"
     )
-    (folder / "b.CSV").write_text(f"{header}\ne4,2,,1,1,1,true\n")
+    (folder / "b.CSV").write_text(f"{HEADER}\ne4,2,,1,1,1,true\n")
     (folder / "notes.txt").write_text("not an upload")
+    (folder / "sheet.xlsx").write_bytes(b"PK\x03\x04e9,1,reaction,1,1,1,true\n")
     good, bad = uploads.process_uploads(uploads.read_uploads(spark, str(folder)))
     assert rows(good, "experiment_id", "temperature", "success", "file_name") == [
         ("e1", 20.5, True, "a.csv")
     ]
-    assert (good.count(), bad.count()) == (1, 4)
+    assert [f.dataType for f in good.schema][:7] == [f.dataType for f in schemas.UPLOAD]
     assert rows(bad, "file_name", "errors") == [
-        ("a.csv", ["experiment_id_missing"]), ("a.csv", ["line_incomplete"]),
-        ("a.csv", ["temperature_unreadable"]), ("b.CSV", ["experiment_type_missing"]),
+        ("a.csv", ["id_missing"]), ("a.csv", ["line_incomplete"]), ("a.csv", ["temperature_unreadable"]),
+        ("a.csv", ["type_unknown"]),
+        ("a.csv", ["user_id_unreadable", "success_unreadable", "pressure_negative", "outcome_missing"]),
+        ("b.CSV", ["type_missing"]),
+    ]
+    assert rows(bad.filter("experiment_id = 'e2'"), "temperature") == [("hot",)]
+
+
+def test_a_file_counts_once(spark, rows, tmp_path):
+    folder, root = tmp_path / "up", str(tmp_path / "taken")
+    (folder / "deep").mkdir(parents=True)
+    line = "{},1,reaction,20.5,1,7,true\n"
+    (folder / "a.csv").write_text(HEADER + "\n" + line.format("e1"))
+    (folder / "deep" / "copy-of-a.csv").write_text(HEADER + "\n" + line.format("e1"))
+    (folder / "sheet.xlsx").write_bytes(b"PK")
+    assert uploads.ingest_uploads(spark, str(folder), root) == 1
+    assert rows(uploads.ledger(spark, root), "file_name", "status") == [
+        ("a.csv", "new"), ("copy-of-a.csv", "repeated"), ("sheet.xlsx", "not_csv")
     ]
+    (folder / "b.csv").write_text(HEADER + "\n" + line.format("e2"))
+    assert uploads.ingest_uploads(spark, str(folder), root) == 2
+    assert uploads.ingest_uploads(spark, str(folder), root) == 3
+    taken = spark.read.parquet(f"{root}/rows")
+    assert rows(taken, "batch", "experiment_id") == [(1, "e1"), (2, "e2")]
+    # An intake that died before its ledger is done again under its own number.
+    shutil.rmtree(f"{root}/ledger/batch=3")
+    shutil.rmtree(f"{root}/ledger/batch=2")
+    assert uploads.ingest_uploads(spark, str(folder), root) == 2
+    assert rows(spark.read.parquet(f"{root}/rows"), "batch", "experiment_id") == [(1, "e1"), (2, "e2")]
 
 
 def test_template(spark, tmp_path):
