@@ -43,22 +43,62 @@ CONTEXT = 24
 CLUES = r"(?i)(mail|phone|tel|call|mobile|fax|card|visa|credit|ip|addr|host|server|contact)"
 ANTI = r"(?i)(version|token|hash|sha|commit|isbn|key|build|id)\W*$"
 
-SPAN = "array<struct<start:int,end:int,value:string>>"
+SPAN = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
+STRETCH = 256
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value worked out once a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _fold(items: Column, begin: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """What `step(state, item) -> (state, array of results)` gives for all items in turn.
+
+    A growing array is copied with each element, so results are gathered in stretches of
+    256 or the root of the number of items, and the stretches are joined at the end: n items
+    cost about n to the power 1.5 instead of 2.
+    """
+    none = F.array().cast(kind)
+
+    def one(state: Column, item: Column) -> Column:
+        at, out = step(state["at"], item)
+        return F.struct(at.alias("at"), F.concat(state["out"], out).alias("out"))
+
+    def many(state: Column, stretch: Column) -> Column:
+        done = F.aggregate(stretch, F.struct(state["at"].alias("at"), none.alias("out")), one)
+        return _let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(state["out"], F.array(d["out"])).alias("out")))
+
+    def folded(every: Column) -> Column:
+        size = F.greatest(F.lit(STRETCH), F.ceil(F.sqrt(F.size(every))).cast("int"))
+        return _let(size, lambda n: F.flatten(F.aggregate(
+            F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / n).cast("int")), lambda k: F.slice(every, k * n + 1, n)),
+            F.struct(begin.alias("at"), F.array().cast(f"array<{kind}>").alias("out")), many, lambda state: state["out"],
+        )))
+
+    return _let(items, lambda every: F.when(F.size(every) > 0, folded(every)).otherwise(none))
 
 
 def _located(text: str, matches: str, pattern: str) -> Column:
-    """Matches with their places in code points, from the pieces of text between them."""
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
-    steps = F.zip_with(gaps, F.col(matches), lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")))
-
-    def add(state: Column, step: Column) -> Column:
-        start = state["at"] + step["gap"]
-        end = start + F.length(step["value"])
-        span = F.struct(start.alias("start"), end.alias("end"), step["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    located = F.aggregate(steps, begin, add, lambda state: state["out"])
+    """Matches with their places in code points and the characters around them, from the
+    pieces of text between them; the text itself is not looked at once more for each."""
+
+    def steps(pieces: Column) -> Column:
+        return F.transform(matches, lambda m, i: F.struct(
+            F.get(pieces, i).alias("gap"), m.alias("value"),
+            F.left(F.concat(F.get(pieces, i + 1), F.coalesce(F.get(F.col(matches), i + 1), F.lit(""))), F.lit(2)).alias("right"),
+        ))
+
+    def add(at: Column, s: Column) -> tuple[Column, Column]:
+        start = at["end"] + F.length(s["gap"])
+        end = start + F.length(s["value"])
+        left = F.right(F.concat(at["tail"], F.right(s["gap"], F.lit(CONTEXT))), F.lit(CONTEXT))
+        tail = F.right(F.concat(left, s["value"]), F.lit(CONTEXT))
+        span = F.struct(start.alias("start"), end.alias("end"), s["value"].alias("value"), left.alias("left"), s["right"].alias("right"))
+        return F.struct(end.alias("end"), tail.alias("tail")), F.array(span)
+
+    begin = F.struct(F.lit(0).alias("end"), F.lit("").alias("tail"))
+    located = _fold(_let(F.split(text, pattern, -1), steps), begin, SPAN, add)
     return F.when(F.size(matches) > 0, located).otherwise(F.array().cast(SPAN))
 
 
@@ -138,11 +178,9 @@ def with_candidates(df: DataFrame) -> DataFrame:
         df = _find(df, "_text", f"_{kind}", WIDE[kind], at_sign if kind == "email" else F.col("_digits"))
 
         def described(s: Column) -> Column:
-            begin = F.greatest(s["start"] - CONTEXT, F.lit(0))
             return F.struct(
                 F.lit(number).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
-                F.substring(F.col("_text"), begin + 1, s["start"] - begin).alias("left"),
-                F.substring(F.col("_text"), s["end"] + 1, F.lit(2)).alias("right"),
+                s["left"].alias("left"), s["right"].alias("right"),
             )
 
         parts.append(F.transform(f"_{kind}", described))
@@ -267,7 +305,7 @@ def learn(docs: DataFrame, sample: int = 4000, trees: int = 12, depth: int = 3,
             F.struct(*(v.alias(n) for n, v in features(F.col("v")).items())).alias("f"),
         )
 
-    rows = store(examples(picked).coalesce(1).sortWithinPartitions("key", "label", "f"))
+    rows = store(examples(picked).repartition(1).sortWithinPartitions("key", "label", "f"))
     names = rows.schema["f"].dataType.names
     flat = rows.select("label", "f", *(F.col(f"f.{n}").alias(n) for n in names))
     if flat.agg(F.count_distinct("label")).first()[0] < 2:
@@ -304,15 +342,12 @@ ITEM = "struct<start:int,base:boolean,end:int,kind:int>"
 def _sweep(items: Column) -> Column:
     """Of items sorted by start all base ones, and others that nothing taken before overlaps."""
 
-    def step(state: Column, item: Column) -> Column:
-        keep = item["base"] | (item["start"] >= state["end"])
-        return F.struct(
-            F.when(keep, F.greatest(state["end"], item["end"])).otherwise(state["end"]).alias("end"),
-            F.when(keep, F.concat(state["out"], F.array(item))).otherwise(state["out"]).alias("out"),
-        )
+    def step(end: Column, item: Column) -> tuple[Column, Column]:
+        keep = item["base"] | (item["start"] >= end)
+        none = F.array().cast(f"array<{ITEM}>")
+        return F.when(keep, F.greatest(end, item["end"])).otherwise(end), F.when(keep, F.array(item)).otherwise(none)
 
-    begin = F.struct(F.lit(-2147483648).cast("int").alias("end"), F.array().cast(f"array<{ITEM}>").alias("out"))
-    return F.aggregate(items, begin, step, lambda s: s["out"])
+    return _fold(items, F.lit(-2147483648).cast("int"), f"array<{ITEM}>", step)
 
 
 def find(docs: DataFrame, scorer: Scorer) -> DataFrame:
@@ -397,13 +432,13 @@ def redact(docs: DataFrame, scorer: Scorer) -> DataFrame:
     names = F.array(*(F.lit(k) for k in KINDS))
     items = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        mark = F.when(s["start"] >= state["at"], F.concat(gap, F.lit("["), names[s["kind"]], F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], mark).alias("out"))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        gap = F.substring(F.col("text"), at + 1, F.greatest(s["start"] - at, F.lit(0)))
+        mark = F.concat(gap, F.lit("["), names[s["kind"]], F.lit("]"))
+        end = F.greatest(at, s["end"])
+        return end, F.when(s["start"] >= at, F.array(mark)).otherwise(F.array().cast("array<string>"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(
-        items, begin, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text")))
-    )
+    marked = _fold(items, F.lit(0), "array<string>", step)
+    end = F.array_max(F.transform(items, lambda s: s["end"]))
+    done = F.concat(F.array_join(marked, ""), F.substring(F.col("text"), end + 1, F.length("text")))
     return found.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(F.col("text"))).select(*docs.columns)
