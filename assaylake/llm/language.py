@@ -59,14 +59,19 @@ def gram_hashes(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Filters:
-    """Slots with a bit per language; `fills` is each language's share of set slots."""
+    """Slots with a bit per language, in as many words of 64 bits as it takes."""
 
     languages: tuple[str, ...]
     packed: bytes
     slot_bits: int
 
     def slots(self) -> np.ndarray:
-        return np.frombuffer(zlib.decompress(self.packed), np.uint64)
+        return _unpack(self.packed, self.slot_bits)
+
+
+def _unpack(packed: bytes, slot_bits: int) -> np.ndarray:
+    """One row of slots for each 64 languages."""
+    return np.frombuffer(zlib.decompress(packed), np.uint64).reshape(-1, 1 << slot_bits)
 
 
 def _positions(hashes: np.ndarray, slot_bits: int) -> list[np.ndarray]:
@@ -74,12 +79,12 @@ def _positions(hashes: np.ndarray, slot_bits: int) -> list[np.ndarray]:
 
 
 def build(grams: dict[str, np.ndarray], slot_bits: int) -> Filters:
-    """Filters that hold each language's n-gram hashes; at most 64 languages."""
+    """Filters that hold each language's n-gram hashes."""
     languages = tuple(sorted(grams))
-    slots = np.zeros(1 << slot_bits, np.uint64)
-    for bit, language in enumerate(languages):
+    slots = np.zeros((max(1, -(-len(languages) // 64)), 1 << slot_bits), np.uint64)
+    for number, language in enumerate(languages):
         for where in _positions(grams[language].astype(np.uint64), slot_bits):
-            slots[where] |= np.uint64(1 << bit)
+            slots[number // 64, where] |= np.uint64(1 << number % 64)
     return Filters(languages, zlib.compress(slots.tobytes()), slot_bits)
 
 
@@ -99,14 +104,9 @@ def learn(docs: DataFrame, per_language: int = 4000, min_share: float = 1e-5, sl
     labelled = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
     )
-    numbers = labelled.groupBy("lang").count().limit(65).collect()
-    if len(numbers) > 64:
-        raise ValueError("a slot has bits for 64 languages")
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = F.lit(False)
-    for row in numbers:
-        chosen = chosen | ((F.col("lang") == row.lang) & (draw < per_language / row["count"]))
-    sample = labelled.where(chosen).select("lang", "text")
+    shares = labelled.groupBy("lang").agg((per_language / F.count("*")).alias("share"))
+    sample = labelled.select("lang", "text", draw.alias("draw")).join(shares, "lang").where("draw < share").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,17 +144,18 @@ def identify(docs: DataFrame, filters: Filters, carry: str | None = None) -> Dat
     packed = base64.b64encode(filters.packed)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = np.frombuffer(zlib.decompress(base64.b64decode(packed)), np.uint64)
+        slots = _unpack(base64.b64decode(packed), slot_bits)
         narrow = slots.astype(np.uint8) if len(languages) <= 8 else slots
-        fills = [((slots >> np.uint64(b)) & np.uint64(1)).mean() ** len(MIX) for b in range(len(languages))]
+        fills = [((slots[b // 64] >> np.uint64(b % 64)) & np.uint64(1)).mean() ** len(MIX) for b in range(len(languages))]
         for batch in batches:
             hashes, counts = gram_hashes(texts(batch.column(2)))
             first, second = _positions(hashes, slot_bits)
-            masks = narrow[first] & narrow[second]
+            words = [word[first] & word[second] for word in narrow]
             ends = np.concatenate([[0], np.cumsum(counts)])
             scores = np.zeros((len(counts), max(1, len(languages))))
             for bit, fill in enumerate(fills):
-                seen = (masks >> masks.dtype.type(bit)) & masks.dtype.type(1)
+                masks = words[bit // 64]
+                seen = (masks >> masks.dtype.type(bit % 64)) & masks.dtype.type(1)
                 hits = np.diff(np.concatenate([[0], np.cumsum(seen, dtype=np.int64)])[ends])
                 share = hits / np.maximum(counts, 1)
                 scores[:, bit] = np.clip((share - fill) / max(1e-9, 1 - fill), 0, 1)
