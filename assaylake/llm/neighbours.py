@@ -26,8 +26,7 @@ FIRST = 2  # leaves that each query visits before it goes through the rest with
 def usable(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """vec_id, vector (array<double>), norm: without null, zero or non-finite vectors.
 
-    A norm that overflows counts as non-finite; an empty vector as zero. Vectors of one
-    table have one length.
+    A norm that overflows counts as non-finite; an empty vector as zero.
     """
     values = F.transform(vector, lambda x: x.cast("double"))
     square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
@@ -165,10 +164,16 @@ def nearest(
     about `shard_rows`, each with a tree of its own; queries visit every shard in blocks of
     about `query_rows`, and only their k best per shard move on. A query never finds its
     own id; ties go to the smaller vec_id. Null, zero and non-finite vectors take no part,
-    and rows that repeat a vec_id count as one, the smallest vector; an empty table gives
-    no rows.
+    and neither do those of another than the most frequent length (the greater of two equally
+    frequent ones); rows that repeat a vec_id count as one, the smallest vector; an empty table
+    gives no rows.
     """
-    rows = store(usable(vectors).groupBy("vec_id").agg(F.min(F.struct("vector", "norm")).alias("v")).select("vec_id", "v.*"))
+    kept = usable(vectors)
+    size = F.size("vector").alias("size")
+    length = kept.groupBy(size).count().orderBy(F.desc("count"), F.desc("size")).first()
+    if length:
+        kept = kept.where(F.size("vector") == length["size"])
+    rows = store(kept.groupBy("vec_id").agg(F.min(F.struct("vector", "norm")).alias("v")).select("vec_id", "v.*"))
     summary = rows.agg(F.count("*").alias("n"), F.max("norm").alias("m")).first()
     if not summary.n:
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
