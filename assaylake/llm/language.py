@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_side
 from .common import record, store, texts, type_of
 
 GRAM = 4
@@ -106,7 +107,8 @@ def learn(docs: DataFrame, per_language: int = 4000, min_share: float = 1e-5, sl
     )
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
     shares = labelled.groupBy("lang").agg((per_language / F.count("*")).alias("share"))
-    sample = labelled.select("lang", "text", draw.alias("draw")).join(shares, "lang").where("draw < share").select("lang", "text")
+    # Broadcast where it is small, so that no text is moved by its language.
+    sample = labelled.select("lang", "text", draw.alias("draw")).join(small_side(shares), "lang").where("draw < share").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
