@@ -2,7 +2,9 @@
 
 A text's units are its lines, its paragraphs of several lines and the whole. A unit is
 normalised to lower-case words; a template is a candidate only if the unit's number of
-bigrams lies within the bounds that the least coefficient allows.
+bigrams lies within the bounds that the least coefficient allows. Notices inside longer
+lines, or over several paragraphs of a larger text, are met by runs of words that begin and
+end with a bigram of the template.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free
+
 # License notices and texts, by SPDX identifier.
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -76,6 +80,40 @@ TEMPLATES: list[tuple[str, str]] = [
     ),
 ]
 
+BSD_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR '
+    "IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+    "FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+    "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, "
+    "DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER "
+    "IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF"
+    " THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+BSD_THIRD = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse"
+    " or promote products derived from this software without specific prior written permission."
+)
+ISC_DISCLAIMER = (
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS '
+    "SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE "
+    "AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+    "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE"
+    " OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS "
+    "SOFTWARE."
+)
+
+# The longer texts above with what follows them.
+FULL = [
+    (name, " ".join((next(t for n, t in TEMPLATES if n == start and len(t) > 100), *more)))
+    for name, start, more in (
+        ("BSD-2-Clause", "BSD-2-Clause", (BSD_DISCLAIMER,)),
+        ("BSD-3-Clause", "BSD-2-Clause", (BSD_THIRD, BSD_DISCLAIMER)),
+        ("ISC", "ISC", (ISC_DISCLAIMER,)),
+    )
+]
+TEMPLATES += FULL
+
 NO_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -86,6 +124,26 @@ class Template:
     low: int
     high: int
 
+    @property
+    def lengths(self) -> tuple[int, ...]:
+        """Lengths of runs that are compared, in bigrams."""
+        n = len(self.bigrams)
+        return tuple(sorted({self.low, (self.low + n) // 2, n, (n + self.high) // 2, self.high}))
+
+    @property
+    def anchors(self) -> set[str]:
+        """Words of which a unit like this template holds at least one, long ones preferred.
+
+        A unit that reaches the least coefficient shares at least `low` bigrams, so it can't
+        miss all of any `n - low + 1`.
+        """
+        found, met, need = set(), set(), len(self.bigrams) - self.low + 1
+        for word in sorted({w for b in self.bigrams for w in b.split()}, key=lambda w: (-len(w), w)):
+            if len(met) < need:
+                found.add(word)
+                met |= {b for b in self.bigrams if word in b.split()}
+        return found
+
 
 def compiled(templates: list[tuple[str, str]], least: float) -> list[Template]:
     """Templates with the sizes of units that can reach `least`: with c common bigrams of a
@@ -95,6 +153,8 @@ def compiled(templates: list[tuple[str, str]], least: float) -> list[Template]:
         words = re.sub(r"[\W_]+", " ", text.lower()).split()
         pairs = tuple(sorted({f"{a} {b}" for a, b in zip(words, words[1:])}))
         n = len(pairs)
+        if not n:
+            raise ValueError(f"template of {name} has fewer than two words")
         low = math.ceil(n * least / (2 - least) - 1e-9)
         high = math.floor(n * (2 - least) / least + 1e-9)
         out.append(Template(name, pairs, low, high))
@@ -115,12 +175,95 @@ def _units(text: Column) -> Column:
     return F.concat(F.transform(F.split(text, "\n", -1), numbered(0)), several, whole)
 
 
+def _with_runs(docs: DataFrame, keep: list[str], units: str, words: str, known: list[Template], least: float) -> DataFrame:
+    """`keep` and `licenses`: the entries in `units`, and best runs of `words` for other licenses.
+
+    A run begins and ends with a bigram of its template and spans at most one of the
+    template's `lengths`. Only places after which `low` of its bigrams come soon enough
+    begin one, so work is linear in the words and in the length of the templates met.
+    """
+    w, hits = F.col(words), free(docs, "_hits")
+    anchors = sorted(set().union(*(t.anchors for t in known)))
+    met = sorted({b for t in known for b in t.bigrams})
+
+    def pair(i: Column) -> Column:
+        return F.concat_ws(" ", w[i], w[i + 1])
+
+    def placed(first: Column, last: Column) -> Column:
+        return F.transform(F.sequence(first, last), lambda i: F.struct(i.alias("place"), pair(i).alias("pair")))
+
+    any_hit = F.arrays_overlap(w, F.array(*map(F.lit, anchors))) & (F.size(w) > 1)
+    found = F.when(any_hit, F.filter(placed(F.lit(0), F.size(w) - 2), lambda p: p["pair"].isin(met)))
+    docs = docs.withColumn(hits, found)
+    own = [free(docs, f"_hits{k}") for k in range(len(known))]
+    starts = [free(docs, f"_starts{k}") for k in range(len(known))]
+
+    def of(t: Template) -> Column:
+        return F.filter(hits, lambda p: p["pair"].isin(list(t.bigrams)))
+
+    docs = docs.select("*", *[of(t).alias(c) for t, c in zip(known, own)])
+
+    def dense(t: Template, column: str) -> Column:
+        h = F.col(column)
+        near = F.filter(
+            F.sequence(F.lit(0), F.size(h) - t.low), lambda i: h[i + (t.low - 1)]["place"] - h[i]["place"] < t.high
+        )
+        return F.when(F.size(h) >= t.low, near)
+
+    docs = docs.select("*", *[dense(t, c).alias(s) for t, c, s in zip(known, own, starts)])
+
+    def best(t: Template, column: str, start: str) -> Column:
+        h = F.col(column)
+
+        def run(length: int):
+            def at(i: Column) -> Column:
+                first = h[i]["place"]
+                inside = F.filter(F.slice(h, i + 1, F.lit(length)), lambda p: p["place"] < first + length)
+                bounds = F.struct(first.alias("first"), F.element_at(inside, -1)["place"].alias("last"))
+                common = F.size(F.array_distinct(F.transform(inside, lambda p: p["pair"])))
+                return F.struct(bounds.alias("run"), common.alias("common"))
+
+            return at
+
+        def scored(r: Column) -> Column:
+            run = r["run"]
+            size = F.size(F.array_distinct(F.transform(F.sequence(run["first"], run["last"]), pair)))
+            score = F.when(size.between(t.low, t.high), 2.0 * r["common"] / (size + len(t.bigrams)))
+            return F.struct(F.coalesce(score, F.lit(0.0)).alias("score"), (-run["first"]).alias("back"))
+
+        runs = F.array_distinct(F.concat(*[F.transform(start, run(length)) for length in t.lengths]))
+        return F.array_max(F.transform(runs, scored))
+
+    top = {}
+    for t, c, s in zip(known, own, starts):
+        top.setdefault(t.license, []).append(best(t, c, s))
+    none = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"))
+    tops = F.array(
+        *[
+            F.struct(F.lit(name).alias("license"), F.array_max(F.array(none, *found)).alias("best"))
+            for name, found in top.items()
+        ]
+    )
+    shown = F.transform(units, lambda u: u["license"])
+    entries = F.transform(
+        F.filter(tops, lambda b: (b["best"]["score"] >= least) & ~F.array_contains(shown, b["license"])),
+        lambda b: F.struct(
+            F.lit(3).alias("kind"), (-b["best"]["back"]).alias("number"), b["best"]["score"].alias("score"),
+            b["license"].alias("license"),
+        ),
+    )
+    several = F.when(F.col(hits).isNull(), F.col(units)).otherwise(F.concat(F.col(units), F.array_sort(entries)))
+    return docs.select(*keep, several.alias("licenses"))
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = 0.8) -> DataFrame:
     """All columns of `docs` and `licenses`: array of struct(kind, number, score, license).
 
     One entry for each unit whose best template reaches `least`, in the order of units; of
     equal templates the one whose name sorts last counts. `kind` is 0 for a line, 1 for a paragraph, 2 for
-    the whole. Null and empty texts have none; a column `licenses` in `docs` is replaced.
+    the whole. Each license that no unit shows but a run of words does has one more entry, of kind 3, with
+    the place of the best run's first word (the first of equal ones), in the order of places.
+    Null and empty texts have none; a column `licenses` in `docs` is replaced.
     """
     known = compiled(TEMPLATES if templates is None else templates, least)
     keep = [c for c in docs.columns if c.lower() != "licenses"]
@@ -155,7 +298,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least:
 
     units = F.filter(F.transform(_units(F.coalesce(F.col("text"), F.lit(""))), split), may_fit)
     found = F.filter(F.transform(F.transform(units, paired), judged), lambda u: u["score"] >= least)
-    return docs.select(*keep, found.alias("licenses"))
+    words, units_found = free(docs, "_words"), free(docs, "_units")
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col("text"), F.lit(""))), NO_WORD, " "))
+    whole = docs.select(*keep, found.alias(units_found), F.split(plain, " ").alias(words))
+    return _with_runs(whole, keep, units_found, words, known, least)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -166,7 +312,7 @@ def report(docs: DataFrame) -> DataFrame:
     """
     found = scan(docs.select("doc_id", "text"))
     best = F.array_max(F.transform("licenses", lambda u: F.struct(u["score"].alias("score"), u["license"].alias("license"))))
-    names = F.array(F.lit("line"), F.lit("paragraph"), F.lit("text"))
+    names = F.array(F.lit("line"), F.lit("paragraph"), F.lit("text"), F.lit("run"))
     written = F.transform(
         "licenses", lambda u: F.concat_ws(":", names[u["kind"]], u["number"].cast("string"), u["license"])
     )

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -11,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from assaylake.llm import (
     components, language, licenses, linededup, mixing, neighbours, pieces, pii, quality, queries, resemblance,
@@ -436,6 +438,62 @@ def test_licenses(docs, odd):
     assert run(licenses.report(odd.limit(0))) == []
 
 
+def brute_runs(text, least=0.8):
+    """license -> (score, place) of the best run, by trying every place of every template."""
+    words = re.sub(r"[\W_]+", " ", text.lower()).split()
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    best = {}
+    for t in licenses.compiled(licenses.TEMPLATES, least):
+        own, n = set(t.bigrams), len(t.bigrams)
+        for first in (i for i, p in enumerate(pairs) if p in own):
+            for length in t.lengths:
+                last = max(i for i in range(first, min(first + length, len(pairs))) if pairs[i] in own)
+                unit = set(pairs[first : last + 1])
+                if t.low <= len(unit) <= t.high:
+                    score = 2 * len(unit & own) / (len(unit) + n)
+                    if score >= least:
+                        best[t.license] = max(best.get(t.license, (0, 0)), (score, -first))
+    return {name: (score, -back) for name, (score, back) in best.items()}
+
+
+def test_license_runs_equal_brute_force(docs):
+    rng = random.Random(5)
+    filler = "the license of this work is with the authors and in the text under a version of it for any use".split()
+
+    def noise(n):
+        return " ".join(rng.choice(filler) for _ in range(n))
+
+    rows, planted = [], {}
+    for i, (name, text) in enumerate(licenses.TEMPLATES * 3):
+        words = text.split(" ")
+        if len(words) > 30:
+            for _ in range(len(words) // 30):
+                words[rng.randrange(len(words))] = rng.choice(("changed", "", "two words"))
+            cut = len(words) // 3
+            words[cut] += "\n\n"
+        rows.append((i, f"{noise(rng.randrange(40))} {' '.join(words)} {noise(rng.randrange(40))}"))
+        planted[i] = name
+    rows += [(1000, noise(3000)), (1001, "This project is released under the MIT License."),
+             (1002, "Licensed under CC BY 4.0. Text of the authors."), (1003, "word"), (1004, "")]
+    found = {r["doc_id"]: r["licenses"] for r in run(licenses.scan(docs(*rows)))}
+    for key, text in rows:
+        expected = brute_runs(text)
+        runs = {u.license: (round(u.score, 9), u.number) for u in found[key] if u.kind == 3}
+        units = {u.license for u in found[key] if u.kind < 3}
+        assert runs == {n: (round(s, 9), p) for n, (s, p) in expected.items() if n not in units}
+        assert key not in planted or planted[key] in runs.keys() | units
+    assert [u.license for u in found[1001]] == ["MIT"] and [u.license for u in found[1002]] == ["CC-BY-4.0"]
+    assert found[1000] == found[1003] == found[1004] == []
+
+
+def test_license_runs_of_repeated_notices(docs):
+    """A long text of nothing but notices, and clashing column names."""
+    rows = docs((1, "x released under the MIT License y " * 5000)).withColumn("_hits", F.lit(1)).withColumn("_words", F.lit(2))
+    (row,) = licenses.scan(rows).collect()
+    assert (row["_hits"], row["_words"]) == (1, 2)
+    assert [(u.kind, u.number, u.score, u.license) for u in row.licenses] == [(3, 1, 1.0, "MIT")]
+
+
 def test_license_bounds():
     for t in licenses.compiled(licenses.TEMPLATES, 0.8):
         n = len(t.bigrams)
