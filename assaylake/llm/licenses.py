@@ -12,6 +12,8 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,18 +133,20 @@ class Template:
         return tuple(sorted({self.low, (self.low + n) // 2, n, (n + self.high) // 2, self.high}))
 
     @property
-    def anchors(self) -> set[str]:
-        """Words of which a unit like this template holds at least one, long ones preferred.
+    def anchors(self) -> list[list[str]]:
+        """Groups of words, without common ones, of each of which a unit like this holds a word.
 
         A unit that reaches the least coefficient shares at least `low` bigrams, so it can't
-        miss all of any `n - low + 1`.
+        miss all of any `n - low + 1`; each group touches so many. Long words come first.
         """
-        found, met, need = set(), set(), len(self.bigrams) - self.low + 1
+        groups, group, met = [], [], set()
         for word in sorted({w for b in self.bigrams for w in b.split()}, key=lambda w: (-len(w), w)):
-            if len(met) < need:
-                found.add(word)
-                met |= {b for b in self.bigrams if word in b.split()}
-        return found
+            group.append(word)
+            met |= {b for b in self.bigrams if word in b.split()}
+            if len(met) > len(self.bigrams) - self.low:
+                groups.append(group)
+                group, met = [], set()
+        return groups
 
 
 def compiled(templates: list[tuple[str, str]], least: float) -> list[Template]:
@@ -183,18 +187,26 @@ def _with_runs(docs: DataFrame, keep: list[str], units: str, words: str, known:
     begin one, so work is linear in the words and in the length of the templates met.
     """
     w, hits = F.col(words), free(docs, "_hits")
-    anchors = sorted(set().union(*(t.anchors for t in known)))
     met = sorted({b for t in known for b in t.bigrams})
+    begun = sorted({b.split()[0] for b in met})
+    in_any = sorted({w for b in met for w in b.split()})
 
     def pair(i: Column) -> Column:
         return F.concat_ws(" ", w[i], w[i + 1])
 
-    def placed(first: Column, last: Column) -> Column:
-        return F.transform(F.sequence(first, last), lambda i: F.struct(i.alias("place"), pair(i).alias("pair")))
+    vocabulary = free(docs, "_vocabulary")
+    docs = docs.withColumn(vocabulary, F.array_intersect(w, F.array(*map(F.lit, in_any))))
 
-    any_hit = F.arrays_overlap(w, F.array(*map(F.lit, anchors))) & (F.size(w) > 1)
-    found = F.when(any_hit, F.filter(placed(F.lit(0), F.size(w) - 2), lambda p: p["pair"].isin(met)))
-    docs = docs.withColumn(hits, found)
+    def may_hold(t: Template) -> Column:
+        each = [F.arrays_overlap(vocabulary, F.array(*map(F.lit, group))) for group in t.anchors]
+        return reduce(and_, each)
+
+    places = F.filter(
+        F.sequence(F.lit(0), F.size(w) - 2), lambda i: w[i].isin(begun) & pair(i).isin(met)
+    )
+    placed = F.transform(places, lambda i: F.struct(i.alias("place"), pair(i).alias("pair")))
+    fits = (F.size(w) > 1) & reduce(or_, map(may_hold, known))
+    docs = docs.withColumn(hits, F.when(fits, placed))
     own = [free(docs, f"_hits{k}") for k in range(len(known))]
     starts = [free(docs, f"_starts{k}") for k in range(len(known))]
 
@@ -218,9 +230,10 @@ def _with_runs(docs: DataFrame, keep: list[str], units: str, words: str, known:
         def run(length: int):
             def at(i: Column) -> Column:
                 first = h[i]["place"]
-                inside = F.filter(F.slice(h, i + 1, F.lit(length)), lambda p: p["place"] < first + length)
-                bounds = F.struct(first.alias("first"), F.element_at(inside, -1)["place"].alias("last"))
-                common = F.size(F.array_distinct(F.transform(inside, lambda p: p["pair"])))
+                following = F.sequence(i, F.least(i + (length - 1), F.size(h) - 1))
+                inside = F.filter(following, lambda k: h[k]["place"] < first + length)
+                bounds = F.struct(first.alias("first"), h[F.element_at(inside, -1)]["place"].alias("last"))
+                common = F.size(F.array_distinct(F.transform(inside, lambda k: h[k]["pair"])))
                 return F.struct(bounds.alias("run"), common.alias("common"))
 
             return at
@@ -231,7 +244,7 @@ def _with_runs(docs: DataFrame, keep: list[str], units: str, words: str, known:
             score = F.when(size.between(t.low, t.high), 2.0 * r["common"] / (size + len(t.bigrams)))
             return F.struct(F.coalesce(score, F.lit(0.0)).alias("score"), (-run["first"]).alias("back"))
 
-        runs = F.array_distinct(F.concat(*[F.transform(start, run(length)) for length in t.lengths]))
+        runs = F.concat(*[F.transform(start, run(length)) for length in t.lengths])
         return F.array_max(F.transform(runs, scored))
 
     top = {}
