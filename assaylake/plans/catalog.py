@@ -177,6 +177,17 @@ def user_history(spark, folder):
     return history.versions(roles.user_changes(spark, folder), "user_id", "seq")
 
 
+@query
+def history_merge(spark, folder):
+    """The same history, kept up in two batches of which the second brings late changes."""
+    root = f"{_work(spark)}/history"
+    changes = roles.user_changes(spark, folder)
+    late = F.coalesce(F.dayofweek("valid_from") % 2 == 0, F.lit(True))
+    for batch in (changes.where(~late), changes.where(late)):
+        history.merge_changes(batch, root, "user_id", "seq", 16)
+    return history.read_history(spark, root)
+
+
 # --- form values -------------------------------------------------------------
 
 

@@ -384,6 +384,11 @@ def _decoded(text: str) -> str:
     return f"trim(regexp_replace({text}, '[ \\t\\r\\n\\f]+', ' ', 'g'))"
 
 
+_HISTORY = """
+        SELECT user_id, event_id AS seq, event_type AS state, ts AS valid_from,
+               lead(ts) OVER w AS valid_to, lead(ts) OVER w IS NULL AS is_current
+        FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""
+
 SQL = {
     "login_decision": _with(
         _LOGIN,
@@ -468,10 +473,8 @@ SQL = {
                            ELSE user_id END AS user_id, username, ip, ok, created_at
            FROM audit""",
     ),
-    "user_history": """
-        SELECT user_id, event_id AS seq, event_type AS state, ts AS valid_from,
-               lead(ts) OVER w AS valid_to, lead(ts) OVER w IS NULL AS is_current
-        FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
+    "user_history": _HISTORY,
+    "history_merge": _HISTORY,
     "range_parse": _with(
         "lines",
         f"""SELECT experiment_id, range_text, min_text, max_text,

@@ -1,3 +1,4 @@
+import pytest
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -152,3 +153,39 @@ def test_versions_keep_null_rows(spark):
     assert out == {
         1: ("2020-01-02", False), 2: ("2020-01-03", False), 3: ("None", True), 4: ("None", True), 5: ("None", True),
     }
+
+
+def test_merged_changes_equal_the_whole_history(spark, tmp_path, rows):
+    root = str(tmp_path / "history")
+
+    def made(*given):
+        return spark.createDataFrame(given, "user_id long, valid_from string, seq long, state string").withColumn(
+            "valid_from", F.col("valid_from").cast("timestamp")
+        )
+
+    def files():
+        return {str(f.relative_to(root)): f.stat().st_mtime_ns for f in (tmp_path / "history").rglob("*.parquet")}
+
+    first = made(*[(k, f"2024-01-0{d}", 10 * k + d, f"s{d}") for k in range(20) for d in (1, 5)], (None, "2024-01-01", 900, "n"))
+    late = made((3, "2024-01-03", 999, "late"), (3, "2024-01-03", 999, "last"), (3, None, 998, "open"), (None, "2024-01-02", 901, "n"))
+    assert history.merge_changes(first, root, "user_id", "seq", 8) <= 8
+    before = files()
+    assert history.merge_changes(late, root, "user_id", "seq", 8) <= 2
+    after = files()
+    folders = {f.split("/")[0] for f in after if after.get(f) != before.get(f)}
+    assert len(folders) <= 2 and all(after[f] == t for f, t in before.items() if f.split("/")[0] not in folders)
+    columns = ["user_id", "seq", "valid_from", "state", "valid_to", "is_current"]
+    whole = first.unionByName(late.where("state <> 'last'"))
+    expected = rows(history.versions(whole, "user_id", "seq"), *columns)
+    assert rows(history.read_history(spark, root), *columns) == expected
+    history.merge_changes(late, root, "user_id", "seq", 8)
+    history.merge_changes(late.limit(0), root, "user_id", "seq", 8)
+    assert rows(history.read_history(spark, root), *columns) == expected
+    split = {r.seq: str(r.valid_to) for r in history.read_history(spark, root).where("user_id = 3").collect()}
+    assert split == {998: "2024-01-01 00:00:00", 31: "2024-01-03 00:00:00", 999: "2024-01-05 00:00:00", 35: "None"}
+
+
+def test_merge_refuses_clashing_columns(spark, tmp_path):
+    changes = spark.range(1).selectExpr("id", "id as seq", "current_timestamp() as valid_from", "id as VALID_TO")
+    with pytest.raises(ValueError, match="valid_to"):
+        history.merge_changes(changes, str(tmp_path / "h"), "id", "seq")
