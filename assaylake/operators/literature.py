@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -261,3 +263,82 @@ def literature_rows(
     return values.filter(F.col("unit").isNotNull()).select(
         "doc_id", "data_type", F.col("quantity").alias("name"), "value", "unit"
     )
+
+
+@dataclass(frozen=True)
+class TrainedTypes:
+    """weights: term and one column of whole millionths `w0`, `w1`, ... for each of `types`."""
+
+    types: tuple[str, ...]
+    priors: tuple[int, ...]
+    weights: DataFrame
+
+
+def type_terms(labelled: DataFrame, label: str = "data_type") -> DataFrame:
+    """data_type, term, n: how often a word occurs in the documents of a type.
+
+    Documents without type or text take no part. Words are counted before they move.
+    """
+    return (
+        labelled.where(F.col(label).isNotNull())
+        .select(F.col(label).alias("data_type"), F.explode(words(F.col("text"))).alias("term"))
+        .groupBy("data_type", "term").agg(F.count("*").alias("n"))
+    )
+
+
+def train_types(labelled: DataFrame, label: str = "data_type") -> TrainedTypes:
+    """Multinomial naive Bayes with one added to every count, over all labelled documents.
+
+    Only the totals per type reach the driver: as many rows as there are types, each of
+    which is a column of the model. Weights are logarithms in whole millionths, so that
+    sums of them do not depend on the order of rows.
+    """
+    counts = cut(type_terms(labelled, label))
+    words_of = dict(counts.groupBy("data_type").agg(F.sum("n")).collect())
+    docs = dict(labelled.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*")).collect())
+    types = tuple(sorted(docs))
+    size = counts.select("term").distinct().count()
+
+    def millionths(share: Column) -> Column:
+        return F.round(F.log(share) * 1e6).cast("long")
+
+    one = labelled.sparkSession.range(1)
+    shares = [F.lit(docs[t] / sum(docs.values())) for t in types]
+    priors = tuple(one.select(*[millionths(s).alias(f"p{i}") for i, s in enumerate(shares)]).first()) if types else ()
+    weights = counts.groupBy("term").agg(
+        F.count("*").alias("n_types"),
+        *[
+            millionths(
+                (F.sum(F.when(F.col("data_type") == t, F.col("n")).otherwise(0)) + 1) / F.lit(float(words_of.get(t, 0) + size))
+            ).alias(f"w{i}")
+            for i, t in enumerate(types)
+        ],
+    )
+    return TrainedTypes(types, priors, weights)
+
+
+def classify_trained(documents: DataFrame, model: TrainedTypes) -> DataFrame:
+    """doc_id, data_type of highest probability, and `score`, its logarithm (unnormalised).
+
+    Words that no labelled document holds count for nothing; a document without known words
+    gets the most frequent type. Of equal scores the type that sorts first counts. Rows
+    that repeat a doc_id are one document. Without labelled documents the type is null.
+    The weights are broadcast if few; otherwise the words meet them by shuffle, with the words
+    on the side that is split if a word is frequent.
+    """
+    ids = documents.select("doc_id", F.explode_outer(words(F.col("text"))).alias("term"))
+    if not model.types:
+        none = ids.select("doc_id").distinct()
+        return none.select("doc_id", F.lit(None).cast("string").alias("data_type"), F.lit(None).cast("double").alias("score"))
+    columns = [f"w{i}" for i in range(len(model.types))]
+    sums = (
+        ids.join(small_side(model.weights.drop("n_types")), "term", "left")
+        .groupBy("doc_id")
+        .agg(*[(F.coalesce(F.sum(w), F.lit(0)) + F.lit(p)).alias(w) for w, p in zip(columns, model.priors)])
+    )
+    ranked = [
+        F.struct(F.col(w).alias("score"), F.lit(-i).alias("order"), F.lit(t).alias("data_type"))
+        for i, (w, t) in enumerate(zip(columns, model.types))
+    ]
+    best = F.array_max(F.array(*ranked))
+    return sums.select("doc_id", best["data_type"].alias("data_type"), (best["score"] / 1e6).alias("score"))

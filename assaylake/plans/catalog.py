@@ -474,6 +474,18 @@ def lit_types(spark, folder):
     return literature.classify(roles.documents(spark, folder), TYPE_WORDS)
 
 
+@query
+def lit_type_terms(spark, folder):
+    return literature.type_terms(roles.typed_documents(spark, folder))
+
+
+@query
+def lit_trained(spark, folder):
+    """Types of all documents by naive Bayes, learnt from those whose type is known."""
+    docs = roles.typed_documents(spark, folder)
+    return literature.classify_trained(docs, literature.train_types(docs))
+
+
 @query
 def lit_rows(spark, folder):
     return literature.literature_rows(roles.literature(spark, folder), TYPE_WORDS)

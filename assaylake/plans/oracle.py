@@ -259,6 +259,14 @@ CTES = {
                      WHEN unit = 'bar' THEN value * 0.986923::DOUBLE
                      WHEN unit IS NOT NULL THEN value END, 6) AS standard
         FROM measured""",
+    "labelled": """
+        SELECT doc_id, t, CASE WHEN substring(md5(doc_id::VARCHAR), 1, 1) NOT IN ('0', '1', '2', '3')
+                               THEN lang END AS data_type
+        FROM tokens JOIN documents USING (doc_id)""",
+    "type_terms": """
+        SELECT data_type, term, count(*) AS n
+        FROM (SELECT data_type, unnest(t) AS term FROM labelled WHERE data_type IS NOT NULL) s
+        GROUP BY ALL""",
     "typed": "SELECT doc_id, CASE "
     + " ".join(
         f"WHEN list_has_any(t, {list(hints)!r}) THEN '{kind}'"
@@ -761,6 +769,27 @@ SQL = {
            WHERE nth = 1""",
     ),
     "lit_types": _with("tokens typed", "SELECT doc_id, data_type FROM typed"),
+    "lit_type_terms": _with("tokens labelled type_terms", "SELECT * FROM type_terms"),
+    "lit_trained": _with(
+        "tokens labelled type_terms",
+        """SELECT doc_id, data_type, total / 1e6::DOUBLE AS score
+           FROM (SELECT doc_id, p.data_type,
+                        prior + coalesce(sum(CASE WHEN v.term IS NOT NULL THEN w END), 0) AS total
+                 FROM (SELECT doc_id, unnest(CASE WHEN len(t) > 0 THEN t ELSE [''] END) AS term FROM labelled) d
+                 CROSS JOIN (SELECT data_type, round(ln(count(*) / sum(count(*)) OVER ()) * 1e6::DOUBLE)::BIGINT AS prior
+                             FROM labelled WHERE data_type IS NOT NULL GROUP BY ALL) p
+                 LEFT JOIN (SELECT DISTINCT term FROM type_terms) v USING (term)
+                 LEFT JOIN (SELECT a.term, b.data_type,
+                                   round(ln((coalesce(n, 0) + 1) / (total + size)::DOUBLE) * 1e6::DOUBLE)::BIGINT AS w
+                            FROM (SELECT DISTINCT term FROM type_terms) a
+                            CROSS JOIN (SELECT data_type, sum(n) AS total,
+                                               (SELECT count(DISTINCT term) FROM type_terms) AS size
+                                        FROM type_terms GROUP BY ALL) b
+                            LEFT JOIN type_terms c ON c.term = a.term AND c.data_type = b.data_type) m
+                   ON m.term = d.term AND m.data_type = p.data_type
+                 GROUP BY doc_id, p.data_type, prior) s
+           QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY total DESC, data_type) = 1""",
+    ),
     "lit_rows": _with(
         "written written_tokens written_typed numbers measured standardised",
         """SELECT doc_id, data_type, quantity AS name, value, unit

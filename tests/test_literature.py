@@ -1,3 +1,5 @@
+import math
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -149,3 +151,42 @@ def test_longest_entities_like_a_loop(spark, data):
     names = spark.createDataFrame([(w,) for w in sorted(wanted)], "entity string")
     got = literature.find_longest(texts, names).collect()
     assert {(r["doc_id"], r["entity"]): r["mentions"] for r in got} == expected
+
+
+def test_trained_types_equal_hand_count(spark):
+    labelled = spark.createDataFrame(
+        [(1, "melt melt cool", "m"), (2, "cool", "c"), (3, None, "c"), (4, "melt", None)], "doc_id long, text string, data_type string"
+    )
+    model = literature.train_types(labelled)
+    assert model.types == ("c", "m") and model.priors == (round(1e6 * math.log(2 / 3)), round(1e6 * math.log(1 / 3)))
+    weights = {r.term: (r.w0, r.w1) for r in model.weights.collect()}
+    expected = {"melt": (1 / 3, 3 / 5), "cool": (2 / 3, 2 / 5)}
+    assert weights == {t: tuple(round(1e6 * math.log(x)) for x in w) for t, w in expected.items()}
+    asked = spark.createDataFrame(
+        [(1, "MELT, melt!"), (2, "cool"), (3, None), (4, ""), (5, "unknown words"), (None, "melt melt melt")], "doc_id long, text string"
+    )
+    found = {r.doc_id: r.data_type for r in literature.classify_trained(asked, model).collect()}
+    assert found == {1: "m", 2: "c", 3: "c", 4: "c", 5: "c", None: "m"}
+    nothing = literature.train_types(labelled.limit(0))
+    assert {r.data_type for r in literature.classify_trained(asked, nothing).collect()} == {None}
+
+
+def test_trained_types_beat_the_word_list(spark):
+    """Held-out documents of a type rarely name it, but use its words."""
+    rng = random.Random(3)
+    own = {"solubility": "dissolve saturated solvent clear", "crystallization": "seed nucleus crystal grow", "reaction": "yield catalyst reagent product"}
+    common = "the sample was kept at room temperature and then measured twice".split()
+    rows = []
+    for i in range(300):
+        kind = rng.choice(sorted(own))
+        rows.append((i, " ".join(rng.choices(common, k=12) + rng.choices(own[kind].split(), k=3)), kind))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, data_type string")
+    held = docs.where("doc_id % 3 = 0")
+    model = literature.train_types(docs.where("doc_id % 3 <> 0"))
+
+    def accuracy(found):
+        both = held.select("doc_id", F.col("data_type").alias("truth")).join(found, "doc_id")
+        return both.where("truth = data_type").count() / both.count()
+
+    trained = accuracy(literature.classify_trained(held, model))
+    assert trained >= 0.95 and trained > accuracy(literature.classify(held))
