@@ -9,6 +9,7 @@ from pyspark.ml.feature import (
     Imputer,
     OneHotEncoder,
     PolynomialExpansion,
+    QuantileDiscretizer,
     StandardScaler,
     StringIndexer,
     UnivariateFeatureSelector,
@@ -22,12 +23,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, small_side
 
 SEED = 17
 FOLDS = 5
 # Training folds whose rows are scored by models of the other training folds.
 HALVES = ((1, 2), (3, 4))
+# Trees split a parameter between at most this many bins (Spark's maxBins).
+BINS = 32
+# Experiments of equal fold, type and bins are summed in this many groups a fold.
+GROUPS = 8
 
 
 def fold_of(key: str) -> Column:
@@ -61,6 +66,76 @@ def holdout(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("fold") == 0)
 
 
+def binning(params: list[str]) -> Pipeline:
+    """Missing parameters filled by the mean, and the number of each one's quantile bin."""
+    filled = [f"{p}_known" for p in params]
+    return Pipeline(
+        stages=[
+            Imputer(inputCols=params, outputCols=filled, strategy="mean"),
+            QuantileDiscretizer(
+                inputCols=filled, outputCols=binned(params), numBuckets=BINS, relativeError=0.001
+            ),
+        ]
+    )
+
+
+def binned(params: list[str]) -> list[str]:
+    return [f"{p}_bin" for p in params]
+
+
+def cells(rows: DataFrame, bins: PipelineModel, params: list[str]) -> DataFrame:
+    """Sums of all `rows`: experiment_type, fold, <param>_bin, mean `label`, number `weight`.
+
+    Trees see a parameter by its bin only, and the spread of labels inside a cell is the same
+    before and after any split, so they grow from cells with weights as from the rows. A
+    fold's rows of a cell are dealt to GROUPS groups by their id, and a forest draws
+    groups: the mean of so drawn groups varies as that of drawn rows does.
+    """
+    keys = ["fold", "experiment_type", *binned(params)]
+    group = F.pmod(F.xxhash64("experiment_id"), F.lit(GROUPS)).alias("group")
+    summed = (
+        bins.transform(rows).select(*keys, group, "label")
+        .groupBy(*keys, "group")
+        .agg(F.sum("label").alias("total"), F.count("*").alias("n"))
+    )
+    return summed.select(
+        *keys, "group", (F.col("total") / F.col("n")).alias("label"), F.col("n").cast("double").alias("weight")
+    ).sort(*keys, "group")
+
+
+class Trees:
+    """Models fitted on the cells of the training rows.
+
+    `learners`: functions such as `forest`. The rows are read three times, whatever the
+    number of learners, trees and rounds. `known` holds the stored cells of all rows.
+    """
+
+    def __init__(self, rows: DataFrame, params: list[str], learners: dict[str, Callable[..., Pipeline]]):
+        self.params = params
+        self.pipelines = {name: learner(binned(params), weight="weight") for name, learner in learners.items()}
+        self.bins = binning(params).fit(training(rows))
+        self.known = cut(cells(rows, self.bins, params))
+        self.models = {name: line.fit(training(self.known)) for name, line in self.pipelines.items()}
+
+    def out_of_fold(self) -> DataFrame:
+        return out_of_fold(training(self.known), self.pipelines)
+
+    def predict(self, given: DataFrame, among: DataFrame | None = None) -> DataFrame:
+        """`given` with the prediction of each model, which scores every cell once.
+
+        `among`: a stored table with the cells of `given`, such as `known` for the rows that
+        it was made of; without it they are found by one more pass over `given`.
+        """
+        keys = ["experiment_type", *binned(self.params)]
+        placed = self.bins.transform(given).select(*given.columns, *binned(self.params))
+        scored = (placed if among is None else among).select(*keys).distinct()
+        for name, model in self.models.items():
+            scored = add_prediction(model, scored, name)
+        scored = small_side(scored.withColumnsRenamed({k: f"_{k}" for k in keys}))
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        return placed.join(scored, same, "left").select(*given.columns, *self.models)
+
+
 def feature_stages(params: list[str], degree: int = 1) -> list:
     """Type as one-hot columns beside the filled parameters, expanded to `degree`, scaled."""
     filled = [f"{p}_filled" for p in params]
@@ -88,16 +163,16 @@ def feature_stages(params: list[str], degree: int = 1) -> list:
     ]
 
 
-def forest(params: list[str], trees: int = 20, depth: int = 5) -> Pipeline:
+def forest(params: list[str], trees: int = 20, depth: int = 5, weight: str = "") -> Pipeline:
     learner = RandomForestRegressor(
-        labelCol="label", predictionCol="rf", numTrees=trees, maxDepth=depth, seed=SEED
+        labelCol="label", predictionCol="rf", numTrees=trees, maxDepth=depth, seed=SEED, weightCol=weight
     )
     return Pipeline(stages=[*feature_stages(params), learner])
 
 
-def boosted(params: list[str], rounds: int = 10, depth: int = 4) -> Pipeline:
+def boosted(params: list[str], rounds: int = 10, depth: int = 4, weight: str = "") -> Pipeline:
     learner = GBTRegressor(
-        labelCol="label", predictionCol="gbt", maxIter=rounds, maxDepth=depth, seed=SEED
+        labelCol="label", predictionCol="gbt", maxIter=rounds, maxDepth=depth, seed=SEED, weightCol=weight
     )
     return Pipeline(stages=[*feature_stages(params), learner])
 
@@ -179,19 +254,22 @@ def out_of_fold(rows: DataFrame, learners: dict[str, Pipeline]) -> DataFrame:
     return scored
 
 
-def stacking_weights(scored: DataFrame, columns: list[str], ridge: float = 1e-6) -> dict[str, float]:
+def stacking_weights(
+    scored: DataFrame, columns: list[str], ridge: float = 1e-6, weight: str = ""
+) -> dict[str, float]:
     """Weights of the predictions that fit the label best, by the normal equations.
 
     `scored`: rows whose predictions come from models that did not see them. The sums are
     one row, whatever the number of rows; the driver solves one equation per model. `ridge`
     (relative to the mean square) keeps models with equal predictions solvable. Without rows
-    all weights are equal.
+    all weights are equal. Rows that stand for several have their number in `weight`.
     """
+    n = F.col(weight) if weight else F.lit(1.0)
     entries = [
-        F.sum(F.col(a) * F.col(b)).alias(f"p{i}_{j}")
+        F.sum(n * F.col(a) * F.col(b)).alias(f"p{i}_{j}")
         for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j
     ]
-    sums = scored.agg(*entries, *[F.sum(F.col(c) * F.col("label")).alias(f"y{i}") for i, c in enumerate(columns)]).first()
+    sums = scored.agg(*entries, *[F.sum(n * F.col(c) * F.col("label")).alias(f"y{i}") for i, c in enumerate(columns)]).first()
     size = len(columns)
     if sums["y0"] is None:
         return {c: 1.0 / size for c in columns}
@@ -343,13 +421,15 @@ def predict_settings(
     count * rounds predictions, whatever the number of parameters. `score` adds a column
     `score` to rows with experiment_type and the parameters.
     """
+    cores = ranges.sparkSession.sparkContext.defaultParallelism
     lows, highs = [f"{p}_low" for p in params], [f"{p}_high" for p in params]
     order = [F.desc("score"), *params]
     best = Window.partitionBy("query_id").orderBy(*order)
     boxes = ranges.withColumns({f"_{p}_{end}": F.col(f"{p}_{end}") for p in params for end in ("low", "high")})
     found = None
     for number in range(rounds):
-        drawn = boxes.withColumn("_at", F.explode(_points(count, 1 + number * count, params)))
+        # Few bytes of queries become many rows to score, so every core gets a part.
+        drawn = boxes.repartition(cores, "query_id").withColumn("_at", F.explode(_points(count, 1 + number * count, params)))
         for p in params:
             drawn = drawn.withColumn(p, F.col(f"_{p}_low") + (F.col(f"_{p}_high") - F.col(f"_{p}_low")) * F.col(f"_at.{p}"))
         scored = score(drawn.select("query_id", "experiment_type", *lows, *highs, *params))

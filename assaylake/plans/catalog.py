@@ -507,75 +507,60 @@ def _rows(spark, folder):
     return modelling.model_rows(roles.observations(spark, folder), roles.PARAMS)
 
 
-def _fit(rows, *pipelines):
-    """Fit pipelines on the training rows, which are read once and kept meanwhile."""
-    train = modelling.training(rows).persist()
-    try:
-        return [pipeline.fit(train) for pipeline in pipelines]
-    finally:
-        train.unpersist()
-
-
-def _regressors():
-    return {"rf": modelling.forest(roles.PARAMS), "gbt": modelling.boosted(roles.PARAMS)}
-
-
-def _stacked(spark, folder):
-    """(rows, function that adds rf, gbt and ensemble): weights come from training rows that
-    were scored by models of other folds, so fold 0 is neither fitted nor weighted."""
+def _trees(spark, folder, **learners):
+    """(stored rows, models fitted on the training rows)."""
     rows = cut(_rows(spark, folder))
-    weights = modelling.stacking_weights(modelling.out_of_fold(rows, _regressors()), list(_regressors()))
-    rf, gbt = _fit(rows, *_regressors().values())
+    return rows, modelling.Trees(rows, roles.PARAMS, learners)
 
-    def add(given):
-        both = modelling.add_prediction(rf, given, "rf")
-        return modelling.add_ensemble(modelling.add_prediction(gbt, both, "gbt"), weights)
 
-    return rows, add
+def _stacked(spark, folder):
+    """(rows, models, weights of their ensemble): weights come from training rows that were
+    scored by models of other folds, so fold 0 is neither fitted nor weighted."""
+    rows, trees = _trees(spark, folder, rf=modelling.forest, gbt=modelling.boosted)
+    return rows, trees, modelling.stacking_weights(trees.out_of_fold(), ["rf", "gbt"], weight="weight")
 
 
 @query
 def rf_predict(spark, folder):
-    rows = _rows(spark, folder)
-    (model,) = _fit(rows, modelling.forest(roles.PARAMS))
-    return modelling.add_prediction(model, rows, "rf")
+    rows, trees = _trees(spark, folder, rf=modelling.forest)
+    return trees.predict(rows, trees.known)
 
 
 @query
 def param_importance(spark, folder):
-    (model,) = _fit(_rows(spark, folder), modelling.forest(roles.PARAMS))
-    return modelling.importances(model, roles.PARAMS, spark)
+    _, trees = _trees(spark, folder, rf=modelling.forest)
+    return modelling.importances(trees.models["rf"], roles.PARAMS, spark)
 
 
 @query
 def gbt_predict(spark, folder):
-    rows = _rows(spark, folder)
-    (model,) = _fit(rows, modelling.boosted(roles.PARAMS))
-    return modelling.add_prediction(model, rows, "gbt")
+    rows, trees = _trees(spark, folder, gbt=modelling.boosted)
+    return trees.predict(rows, trees.known)
 
 
 def _fit_success(rows):
-    types = modelling.training(rows).select("experiment_type").distinct().count()
-    (model,) = _fit(rows, modelling.perceptron(roles.PARAMS, types))
-    return model
+    train = modelling.training(rows)
+    types = train.select("experiment_type").distinct().count()
+    return modelling.perceptron(roles.PARAMS, types).fit(train)
 
 
 @query
 def mlp_predict(spark, folder):
-    rows = _rows(spark, folder)
+    rows = cut(_rows(spark, folder))
     return modelling.add_prediction(_fit_success(rows), rows, "mlp")
 
 
 @query
 def ensemble(spark, folder):
-    rows, add = _stacked(spark, folder)
-    return add(rows)
+    rows, trees, weights = _stacked(spark, folder)
+    return modelling.add_ensemble(trees.predict(rows, trees.known), weights)
 
 
 @query
 def model_eval(spark, folder):
-    rows, add = _stacked(spark, folder)
-    judged = modelling.add_type_means(add(modelling.holdout(rows)), modelling.training(rows))
+    rows, trees, weights = _stacked(spark, folder)
+    held = modelling.add_ensemble(trees.predict(modelling.holdout(rows), trees.known), weights)
+    judged = modelling.add_type_means(held, modelling.training(rows))
     return modelling.regression_metrics(judged, ["type_mean", "rf", "gbt", "ensemble"])
 
 
@@ -598,26 +583,27 @@ def model_folds(spark, folder):
 
 @query
 def success_eval(spark, folder):
-    rows = _rows(spark, folder)
+    rows = cut(_rows(spark, folder))
     predicted = modelling.add_prediction(_fit_success(rows), modelling.holdout(rows), "mlp")
     return modelling.class_metrics(predicted)
 
 
 @query
 def model_recommend(spark, folder):
-    rows, add = _stacked(spark, folder)
+    rows, trees, weights = _stacked(spark, folder)
     grid = modelling.candidate_grid(rows, roles.PARAMS, 10)
-    return modelling.recommend_settings(add(grid), roles.PARAMS, "ensemble", TOP)
+    predicted = modelling.add_ensemble(trees.predict(grid), weights)
+    return modelling.recommend_settings(predicted, roles.PARAMS, "ensemble", TOP)
 
 
 @query
 def predict_parameters(spark, folder):
     """The best settings that the models predict inside each constraint query's bounds."""
-    rows, add = _stacked(spark, folder)
+    rows, trees, weights = _stacked(spark, folder)
     ranges = modelling.allowed_ranges(_queries(spark, folder), rows, roles.PARAMS)
 
     def score(given):
-        return add(given).withColumnRenamed("ensemble", "score")
+        return modelling.add_ensemble(trees.predict(given), weights).withColumnRenamed("ensemble", "score")
 
     return modelling.predict_settings(ranges, score, roles.PARAMS, TOP)
 

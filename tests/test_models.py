@@ -208,3 +208,48 @@ def test_halton_points_fill_the_cube():
     assert points[0] == [0.5, pytest.approx(1 / 3)] and points[1] == [0.25, pytest.approx(2 / 3)]
     cells = {(int(x * 8 + 1e-9), int(y * 9 + 1e-9)) for x, y in points}
     assert len(cells) == 72
+
+
+TREES = {"rf": modelling.forest, "gbt": modelling.boosted}
+
+
+@pytest.fixture(scope="module")
+def trees(rows_of):
+    return modelling.Trees(rows_of, PARAMS, TREES)
+
+
+def test_cells_hold_every_row_and_do_not_grow_with_copies(rows_of, trees):
+    """What the learners read is bounded by types, bins, folds and groups, not by the rows."""
+    sums = trees.known.groupBy("fold").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("y"))
+    true = {r.fold: r for r in rows_of.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("y")).collect()}
+    got = {r.fold: r for r in sums.collect()}
+    assert {f: r.n for f, r in got.items()} == {f: r.n for f, r in true.items()}
+    assert all(got[f].y == pytest.approx(true[f].y) for f in true)
+    more = rows_of.crossJoin(rows_of.sparkSession.range(20))
+    more = more.withColumn("experiment_id", F.concat("experiment_id", F.lit("-"), "id")).drop("id")
+    cells = modelling.cells(more, trees.bins, PARAMS)
+    most = trees.known.select("fold", "experiment_type", *modelling.binned(PARAMS)).distinct().count()
+    assert cells.count() <= most * modelling.GROUPS < more.count() / 2
+
+
+def test_boosted_trees_of_cells_are_those_of_the_binned_rows(rows_of, trees):
+    """Weighted cells give the trees that one row per experiment gives."""
+    placed = trees.bins.transform(rows_of)
+    plain = modelling.boosted(modelling.binned(PARAMS)).fit(modelling.training(placed))
+    of_rows = {r[0]: r[1] for r in modelling.add_prediction(plain, placed, "gbt").select("experiment_id", "gbt").collect()}
+    of_cells = {r[0]: r[1] for r in trees.predict(rows_of).select("experiment_id", "gbt").collect()}
+    assert of_cells == pytest.approx(of_rows, rel=1e-6)
+
+
+def test_cells_are_scored_for_known_and_other_rows(spark, rows_of, trees):
+    held = modelling.holdout(rows_of).withColumn("experiment_type", F.when(F.col("temperature") != 7, F.col("experiment_type")))
+    strange = held.unionByName(held.limit(3).withColumn("experiment_type", F.lit("brewing")).withColumn("pressure", F.lit(None).cast("double")))
+    found = trees.predict(strange)
+    assert found.columns == [*strange.columns, "rf", "gbt"]
+    assert found.count() == strange.count() and found.filter("rf is null or gbt is null").count() == 0
+    known = trees.predict(modelling.holdout(rows_of), trees.known).collect()
+    other = {r.experiment_id: (r.rf, r.gbt) for r in trees.predict(modelling.holdout(rows_of)).collect()}
+    assert {r.experiment_id: (r.rf, r.gbt) for r in known} == other
+    weights = modelling.stacking_weights(trees.out_of_fold(), list(TREES), weight="weight")
+    full = modelling.add_ensemble(trees.predict(modelling.holdout(rows_of), trees.known), weights)
+    assert all(r["r2"] > 0.8 for r in modelling.regression_metrics(full, [*TREES, "ensemble"]).collect())
