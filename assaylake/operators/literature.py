@@ -159,9 +159,10 @@ def longest_mentions(documents: DataFrame, dictionary: DataFrame) -> DataFrame:
     joined by one blank, of any length; other columns are not used.
 
     Only runs that begin with the first word of an entry, and have the length of an entry
-    that begins so, are built and meet the dictionary. Of what is found, matches that do not
-    touch are chosen by themselves: a window over a document's matches numbers clusters of
-    overlapping ones, and only inside a cluster are they taken in order.
+    that begins so, are built and meet the dictionary. What is found is shuffled and sorted
+    once, by document, position and length; of one position only the longest can be taken.
+    Matches that do not touch are chosen by themselves: a window over a document's matches
+    numbers clusters of overlapping ones, and only inside a cluster are they taken in order.
     """
     entries = cut(dictionary.select("entity").dropna().distinct())
     n_words = F.size(F.split("entity", " "))
@@ -178,18 +179,15 @@ def longest_mentions(documents: DataFrame, dictionary: DataFrame) -> DataFrame:
         .filter(F.col("position") + F.col("n_words") <= F.size("tokens"))
         .select("doc_id", "position", "n_words", F.array_join(F.slice("tokens", F.col("position") + 1, F.col("n_words")), " ").alias("entity"))
     )
-    longest = (
-        runs.join(entries, "entity", "left_semi")
-        .groupBy("doc_id", "position")
-        .agg(F.max(F.struct("n_words", "entity")).alias("m"))
-        .select("doc_id", "position", "m.n_words", "m.entity")
-    )
-    in_order = Window.partitionBy("doc_id").orderBy("position")
+    found = runs.join(entries, "entity", "left_semi")
+    in_order = Window.partitionBy("doc_id").orderBy("position", F.desc("n_words"), F.desc("entity"))
     reached = F.max(F.col("position") + F.col("n_words")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     apart = F.coalesce(F.col("position") >= F.col("reached"), F.lit(True)).cast("int")
+    longest = F.coalesce(F.lag("position").over(in_order) < F.col("position"), F.lit(True))
     clusters = (
-        longest.withColumn("reached", reached).withColumn("apart", apart)
+        found.withColumns({"reached": reached, "longest": longest}).withColumn("apart", apart)
         .withColumn("cluster", F.sum("apart").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+        .filter("longest")
         .groupBy("doc_id", "cluster")
         .agg(F.array_sort(F.collect_list(F.struct("position", "n_words", "entity"))).alias("found"))
     )

@@ -190,3 +190,15 @@ def test_trained_types_beat_the_word_list(spark):
 
     trained = accuracy(literature.classify_trained(held, model))
     assert trained >= 0.95 and trained > accuracy(literature.classify(held))
+
+
+def test_longest_matches_are_sorted_once(spark):
+    """One shuffle and one sort by document; strings are not aggregated by a sort of their own."""
+    texts = spark.createDataFrame([(1, "a b c d"), (1, "a b x"), (2, "b c a b")], "doc_id long, text string")
+    names = spark.createDataFrame([("a",), ("a b",), ("b c d",), ("c",)], "entity string")
+    found = literature.longest_mentions(texts, names)
+    got = sorted((r.doc_id, r.position, r.n_words, r.entity) for r in found.collect())
+    # Rows that repeat a doc_id are one document.
+    assert got == [(1, 0, 2, "a b"), (1, 2, 1, "c"), (2, 1, 1, "c"), (2, 2, 2, "a b")]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "SortAggregate" not in plan and plan.count("Sort [") == 1
