@@ -42,29 +42,40 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("path"))
 
 
-def process_uploads(
-    lines: DataFrame, types: tuple[str, ...] = EXPERIMENT_TYPES
-) -> tuple[DataFrame, DataFrame]:
-    """(typed experiment rows, rejected lines as text with their error codes).
+def check_lines(lines: DataFrame, types: tuple[str, ...] = EXPERIMENT_TYPES) -> DataFrame:
+    """Every line as text in `_line`, with `errors`.
 
     The rules are those of `check_rows`; a line with missing or surplus fields fails as a
     whole. A line that is no experiment at all is not tried field by field.
     """
     whole = F.col(BAD).isNull()
-    typed, extra = {}, {"line_incomplete": ~whole}
+    extra = {"line_incomplete": ~whole}
     for field in schemas.UPLOAD:
-        if not isinstance(field.dataType, T.StringType):
+        if field.name in ("user_id", "success"):
             text = F.trim(f"_line.{field.name}")
-            typed[field.name] = text.try_cast(field.dataType)
-            if field.name in ("user_id", "success"):
-                extra[f"{field.name}_unreadable"] = whole & (text != "") & typed[field.name].isNull()
+            extra[f"{field.name}_unreadable"] = whole & (text != "") & text.try_cast(field.dataType).isNull()
     checked = check_rows(lines.withColumn("_line", F.struct(*lines.columns)), types)
     errors = F.concat(failed(extra), F.when(whole, F.col("errors")).otherwise(F.array().cast("array<string>")))
-    checked = checked.withColumn("errors", errors)
-    good = checked.filter(F.size("errors") == 0).withColumns(typed).drop("errors", BAD, "_line")
+    return checked.select("_line", errors.alias("errors"))
+
+
+def split_lines(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(typed experiment rows, rejected lines as text with their error codes) of `check_lines`."""
+    typed = {
+        field.name: F.trim(field.name).try_cast(field.dataType)
+        for field in schemas.UPLOAD if not isinstance(field.dataType, T.StringType)
+    }
+    good = checked.filter(F.size("errors") == 0).select("_line.*").withColumns(typed).drop(BAD)
     return good, checked.filter(F.size("errors") > 0).select("_line.*", "errors")
 
 
+def process_uploads(
+    lines: DataFrame, types: tuple[str, ...] = EXPERIMENT_TYPES
+) -> tuple[DataFrame, DataFrame]:
+    """(typed experiment rows, rejected lines as text with their error codes)."""
+    return split_lines(check_lines(lines, types))
+
+
 def ledger(spark: SparkSession, root: str) -> DataFrame:
     """Every file of every intake below `root`: batch, digest, path, file_name, status."""
     try:
@@ -108,14 +119,18 @@ def ingest_uploads(
     seen = ledger(spark, root)
     number = 1 + (seen.agg(F.max("batch")).first()[0] or 0)
     files = cut(classify_files(spark, path, seen))
+    stored = [files]
     try:
         new = files.filter(F.col("status") == NEW).select("path")
-        good, bad = process_uploads(read_uploads(spark, path).join(new, "path", "left_semi"), types)
+        # Files are parsed and checked once, not once for either kind of row.
+        checked = cut(check_lines(read_uploads(spark, path).join(new, "path", "left_semi"), types))
+        stored.append(checked)
+        good, bad = split_lines(checked)
         good.write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
         bad.write.mode("overwrite").parquet(f"{root}/rejected/batch={number}")
         files.write.mode("overwrite").parquet(f"{root}/ledger/batch={number}")
     finally:
-        discard(files)
+        discard(*stored)
     return number
 
 
