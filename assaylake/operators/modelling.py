@@ -96,10 +96,12 @@ def cells(rows: DataFrame, bins: PipelineModel, params: list[str]) -> DataFrame:
     summed = (
         bins.transform(rows).select(*keys, group, "label")
         .groupBy(*keys, "group")
-        .agg(F.sum("label").alias("total"), F.count("*").alias("n"))
+        .agg(F.sum("label").alias("total"), F.count("label").alias("known"), F.count("*").alias("n"))
     )
+    # A row without label makes its cell one, which the learners refuse as they refuse the row.
+    total = F.when(F.col("known") == F.col("n"), F.col("total"))
     return summed.select(
-        *keys, "group", (F.col("total") / F.col("n")).alias("label"), F.col("n").cast("double").alias("weight")
+        *keys, "group", (total / F.col("n")).alias("label"), F.col("n").cast("double").alias("weight")
     ).sort(*keys, "group")
 
 

@@ -253,3 +253,14 @@ def test_cells_are_scored_for_known_and_other_rows(spark, rows_of, trees):
     weights = modelling.stacking_weights(trees.out_of_fold(), list(TREES), weight="weight")
     full = modelling.add_ensemble(trees.predict(modelling.holdout(rows_of), trees.known), weights)
     assert all(r["r2"] > 0.8 for r in modelling.regression_metrics(full, [*TREES, "ensemble"]).collect())
+
+
+def test_rows_without_label_are_refused_in_training_only(rows_of):
+    def without(where):
+        return rows_of.filter("experiment_id < 'e2'").withColumn("label", F.when(~where, F.col("label")))
+
+    shallow = {"rf": lambda params, weight: modelling.forest(params, trees=1, depth=1, weight=weight)}
+    judged = modelling.Trees(without(F.col("fold") == 0), PARAMS, shallow)
+    assert judged.known.filter("fold = 0 and label is not null").count() == 0
+    with pytest.raises(Exception, match="Labels MUST NOT be Null"):
+        modelling.Trees(without((F.col("fold") == 1) & (F.col("temperature") == 5)), PARAMS, shallow)
