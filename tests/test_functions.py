@@ -159,3 +159,12 @@ def test_words_and_runs(spark):
     assert one(spark, text.ngrams(tokens, 2), t="a b c") == ["a b", "b c"]
     assert one(spark, text.ngrams(tokens, 2), t="a") == []
     assert one(spark, text.copy_key(F.col("a")) == text.copy_key(F.col("b")), a=" A\n b", b="a B") is True
+
+
+def test_row_checks_are_compiled(spark):
+    from assaylake.functions.checks import failed
+
+    n = F.col("id")
+    df = spark.range(4).select("id", failed({"odd": n % 2 == 1, "none": F.lit(None).cast("boolean"), "big": n > 2}).alias("errors"))
+    assert [r.errors for r in df.orderBy("id").collect()] == [[], ["odd"], [], ["odd", "big"]]
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
