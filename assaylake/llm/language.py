@@ -22,6 +22,7 @@ from ..session import small_side
 from .common import record, store, texts, type_of
 
 GRAM = 4
+SLICE = 1 << 18  # characters of texts that are hashed together
 UNKNOWN = "und"
 
 
@@ -36,26 +37,59 @@ PLACES = np.random.default_rng(11).integers(1, 1 << 62, GRAM, dtype=np.uint64) *
 MIX = np.random.default_rng(12).integers(1, 1 << 62, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def gram_hashes(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the 4-gram around each letter, and the number of letters of each text.
+def gram_slices(batch: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, hashes, counts: the hash of the 4-gram around each letter, SLICE characters at a time.
 
     Texts are lower-cased and everything but letters counts as a blank. The n-gram of a
-    letter starts one place before it, so a text has as many n-grams as letters.
+    letter starts one place before it, so a text has as many n-grams as letters. `rows` are
+    the places in the batch of the texts in the slice, rising, and `counts` their letters
+    there; a text that does not fit goes on in the next slice, so its row comes again.
     """
-    padded = [f" {t.lower()}   " for t in batch]
-    codes = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32)
-    if not len(codes):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    rows: list[int] = []
+    parts: list[str] = []
+    size = 0
+    for row, text in enumerate(batch):
+        # One place before each own letter and three behind the last; lower-cased whole, as that looks around.
+        padded = f" {text.lower()}   "
+        begin, end = 1, len(padded) - 3
+        while begin < end:
+            upto = min(end, begin + SLICE - size)
+            rows.append(row)
+            parts.append(padded[begin - 1 : upto + 3])
+            size += upto - begin
+            begin = upto
+            if size == SLICE:
+                yield _hashed(rows, parts)
+                rows, parts, size = [], [], 0
+    if parts:
+        yield _hashed(rows, parts)
+
+
+def _hashed(rows: list[int], parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A slice: the letters of each part but for its first place and its last three."""
+    codes = np.frombuffer("".join(parts).encode("utf-32-le", "replace"), np.uint32)
     is_letter = _letters()[codes]
-    plain = np.where(is_letter, codes, 32).astype(np.uint64)
+    plain = np.where(is_letter, codes, np.uint32(32))
+    ends = np.cumsum([len(p) for p in parts])
+    is_letter[np.concatenate([[0], ends[:-1]])] = False
+    for place in (1, 2, 3):
+        is_letter[ends - place] = False
     at = np.flatnonzero(is_letter)
     mixed = np.zeros(len(at), np.uint64)
     for place in range(GRAM):
         mixed += plain[at - 1 + place] * PLACES[place]
     mixed ^= mixed >> np.uint64(29)
-    ends = np.cumsum([len(p) for p in padded])
     counts = np.diff(np.searchsorted(at, ends), prepend=0)
-    return mixed, counts
+    return np.array(rows, np.int64), mixed, counts
+
+
+def gram_hashes(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the 4-gram around each letter, and the number of letters of each text."""
+    found, counts = [np.zeros(0, np.uint64)], np.zeros(len(batch), np.int64)
+    for rows, hashes, times in gram_slices(batch):
+        found.append(hashes)
+        counts[rows] += times
+    return np.concatenate(found), counts
 
 
 @dataclass(frozen=True)
@@ -113,14 +147,14 @@ def learn(docs: DataFrame, per_language: int = 4000, min_share: float = 1e-5, sl
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), dtype=object)
-            hashes, counts = gram_hashes(texts(batch.column(1)))
-            of = np.repeat(langs, counts)
-            for lang in sorted(set(langs)):
-                values, times = np.unique(hashes[of == lang], return_counts=True)
-                yield record(
-                    ["lang", "gram", "times"],
-                    [pa.array([lang] * len(values), pa.string()), values.view(np.int64), times],
-                )
+            for rows, hashes, counts in gram_slices(texts(batch.column(1))):
+                of = np.repeat(langs[rows], counts)
+                for lang in sorted(set(langs[rows])):
+                    values, times = np.unique(hashes[of == lang], return_counts=True)
+                    yield record(
+                        ["lang", "gram", "times"],
+                        [pa.array([lang] * len(values), pa.string()), values.view(np.int64), times],
+                    )
 
     counted = store(
         sample.mapInArrow(count, "lang string, gram bigint, times bigint")
@@ -150,16 +184,20 @@ def identify(docs: DataFrame, filters: Filters, carry: str | None = None) -> Dat
         narrow = slots.astype(np.uint8) if len(languages) <= 8 else slots
         fills = [((slots[b // 64] >> np.uint64(b % 64)) & np.uint64(1)).mean() ** len(MIX) for b in range(len(languages))]
         for batch in batches:
-            hashes, counts = gram_hashes(texts(batch.column(2)))
-            first, second = _positions(hashes, slot_bits)
-            words = [word[first] & word[second] for word in narrow]
-            ends = np.concatenate([[0], np.cumsum(counts)])
+            counts = np.zeros(batch.num_rows, np.int64)
+            hits = np.zeros((len(languages), batch.num_rows), np.int64)
+            for rows, hashes, times in gram_slices(texts(batch.column(2))):
+                first, second = _positions(hashes, slot_bits)
+                ends = np.concatenate([[0], np.cumsum(times)])
+                counts[rows] += times
+                for bit in range(len(languages)):
+                    if bit % 64 == 0:
+                        masks = narrow[bit // 64][first] & narrow[bit // 64][second]
+                    seen = (masks >> masks.dtype.type(bit % 64)) & masks.dtype.type(1)
+                    hits[bit, rows] += np.diff(np.concatenate([[0], np.cumsum(seen, dtype=np.int64)])[ends])
             scores = np.zeros((len(counts), max(1, len(languages))))
             for bit, fill in enumerate(fills):
-                masks = words[bit // 64]
-                seen = (masks >> masks.dtype.type(bit % 64)) & masks.dtype.type(1)
-                hits = np.diff(np.concatenate([[0], np.cumsum(seen, dtype=np.int64)])[ends])
-                share = hits / np.maximum(counts, 1)
+                share = hits[bit] / np.maximum(counts, 1)
                 scores[:, bit] = np.clip((share - fill) / max(1e-9, 1 - fill), 0, 1)
             best = scores.argmax(axis=1)
             known = (counts > 0) & bool(languages)
