@@ -4,9 +4,10 @@ SimHashes of the shingles within a few bits of each other (`simhash.links`) join
 at once. At the least similarity asked for, two of them differ in about 10 of 64 bits, which
 no plan of parts can look up, so the other pairs come from prefix filtering: in one order of all shingles, two sets whose Jaccard similarity is at least `SIMILARITY`
 share a shingle among the first n - ceil(SIMILARITY * n) + 1 of each. So sets that meet in
-such a prefix are all the candidates there can be, and each is checked by its whole set.
-Any order is right; shingles that are frequent in a sample come last, so that a common
-passage brings few sets together.
+such a prefix are all the candidates there can be. The places of a shared shingle and bitmaps
+of the sets bound what two sets can have in common; candidates that these bounds leave are
+checked by their whole sets. Any order is right; shingles that are frequent in a sample, a
+fixed part of a large table, come last, so that a common passage brings few sets together.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ SIMILARITY = (4, 5)
 SEED = 42
 BITS = 3  # of the SimHashes that are looked up first
 BLOCK = 512  # texts compared with one other in one group
+SAMPLE = 10_000  # texts, or one in PART where that is more, in which frequent shingles are counted
+PART = 8
+SLOTS = 24  # bits at most of a slot in the table of frequent shingles
 
 
 def words_of(text: str) -> list[bytes]:
@@ -54,15 +58,28 @@ def simhash(own: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(own)).view(">i8")[0])
 
 
-def prefix(own: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, those in `common` (sorted) last, by their `ranks`."""
+def prefix(own: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, in the order of the ranks of their slots."""
     part, whole = SIMILARITY
     size = len(own) - -(-part * len(own) // whole) + 1 if len(own) else 0
-    late = np.zeros(len(own), np.int64)
-    if len(common) and len(own):
-        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        late = np.where(common[at] == own, ranks[at], 0)
-    return own[np.lexsort((own, late))[:size]]
+    return own[np.lexsort((own, ranks[own & (len(ranks) - 1)]))[:size]]
+
+
+def bitmap(own: np.ndarray) -> bytes:
+    """A bit for each slot of a set of hashes, one if an odd number is in it; slots are a power of two, no fewer than hashes."""
+    slots = max(64, 1 << max(0, len(own) - 1).bit_length())
+    odd = np.bincount(own & (slots - 1), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_apart(one: bytes, other: bytes) -> int:
+    """Of two sets with these bitmaps, no fewer hashes than this are in one of them only."""
+    small, large = sorted((one, other), key=len)
+    bits, slots = int.from_bytes(large, "little"), 8 * len(large)
+    while slots > 8 * len(small):
+        slots //= 2
+        bits = (bits >> slots) ^ (bits & ((1 << slots) - 1))
+    return (bits ^ int.from_bytes(small, "little")).bit_count()
 
 
 def _arrays(sets: list[np.ndarray]) -> pa.ListArray:
@@ -70,33 +87,46 @@ def _arrays(sets: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
 
 
-def _frequent(docs: DataFrame, shingle: int, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles found repeatedly in about `sample` texts, with their ranks: steers cost only."""
+def _ranks(docs: DataFrame, shingle: int, sample: int) -> np.ndarray:
+    """Ranks by the low bits of a shingle: those found repeatedly in a sample of the texts come later.
+
+    They steer cost only. The sample grows with the table, so that a shingle outside it is in
+    few texts whatever their number; the ranks have a byte for each of 2 ** `SLOTS` slots at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(words_of(t), shingle) for t in texts(batch.column(0))]
             yield record(["token"], [np.concatenate([np.zeros(0, np.int64), *sets])])
 
-    share = int(min(1.0, sample / max(1, docs.count())) * (1 << 30))
+    total = docs.count()
+    ranks = np.zeros(1 << min(SLOTS, 4 + max(12, total.bit_length())), np.uint8)
+    share = int(min(1.0, max(sample / max(1, total), 1 / PART)) * (1 << 30))
     picked = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share).distinct()
-    rows = (
-        picked.mapInArrow(run, "token bigint").groupBy("token").count().where("count > 1")
-        .orderBy(F.desc("count"), "token").limit(most).collect()
-    )
-    rows.sort(key=lambda r: r["token"])
-    return np.array([r["token"] for r in rows], np.int64), np.array([r["count"] for r in rows], np.int64)
+    counts = picked.mapInArrow(run, "token bigint").groupBy("token").count().where("count > 1")
+    slot = F.col("token").bitwiseAND(F.lit(len(ranks) - 1)).cast("int").alias("slot")
+    late = store(counts.groupBy(slot).agg(F.floor(F.log2(F.max("count")) * 4).cast("int").alias("rank")))
+    found = late.toArrow()
+    ranks[found["slot"].to_numpy()] = found["rank"].to_numpy()
+    discard(late)
+    return ranks
 
 
-def _fits() -> F.Column:
+def _may_be_similar() -> F.Column:
+    """Of two sets that meet in their first shared shingle: what can follow it in both is enough.
+
+    The first shared shingle of similar sets always passes; a later one need not.
+    """
     part, whole = SIMILARITY
-    return (F.least("n", "other_n") * whole >= F.greatest("n", "other_n") * part)
+    most = F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
+    return most * (part + whole) >= (F.col("n") + F.col("other_n")) * part
 
 
-def read_sets(docs: DataFrame, shingle: int = SHINGLE, sample: int = 10_000) -> DataFrame:
+def read_sets(docs: DataFrame, shingle: int = SHINGLE, sample: int = SAMPLE) -> DataFrame:
     """Stored, of every row: doc_id, text_hash, id (of its own), set (digest of its shingles),
-    n (their number), fp (their SimHash), tokens (their prefix), packed (the words, compressed)."""
-    common, ranks = _frequent(docs, shingle, sample, 100_000)
+    n (their number), fp (their SimHash), bits (their bitmap), tokens (their prefix), packed (the
+    words, compressed)."""
+    ranks = _ranks(docs, shingle, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, pack = TaskContext.get().partitionId() << 33, zstandard.ZstdCompressor(level=3)
@@ -104,12 +134,12 @@ def read_sets(docs: DataFrame, shingle: int = SHINGLE, sample: int = 10_000) ->
             words = [words_of(t) for t in texts(batch.column(1))]
             sets = [shingles(w, shingle) for w in words]
             yield record(
-                ["doc_id", "text_hash", "id", "set", "n", "fp", "tokens", "packed"],
+                ["doc_id", "text_hash", "id", "set", "n", "fp", "bits", "tokens", "packed"],
                 [
                     batch.column(0), batch.column(2), np.arange(at, at + len(sets)),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int32()), pa.array(map(simhash, sets), pa.int64()),
-                    _arrays([prefix(s, common, ranks) for s in sets]),
+                    pa.array(map(bitmap, sets), pa.binary()), _arrays([prefix(s, ranks) for s in sets]),
                     pa.array([pack.compress(b" ".join(w)) for w in words], pa.binary()),
                 ],
             )
@@ -117,19 +147,36 @@ def read_sets(docs: DataFrame, shingle: int = SHINGLE, sample: int = 10_000) ->
 
     layout = (
         f"doc_id {type_of(docs, 'doc_id')}, text_hash bigint, id bigint, set binary, n int, fp bigint, "
-        "tokens array<bigint>, packed binary"
+        "bits binary, tokens array<bigint>, packed binary"
     )
     return store(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, layout))
 
 
+def _plausible(pairs: DataFrame, made: DataFrame) -> DataFrame:
+    """The pairs (u, v) of row ids that the bitmaps of their sets do not rule out, once each."""
+    part, total = SIMILARITY
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = [
+                (n + m - least_apart(a, b)) * (part + total) >= 2 * (n + m) * part
+                for n, m, a, b in zip(*(c.to_pylist() for c in batch.columns[2:]))
+            ]
+            yield record(["u", "v"], batch.select(["u", "v"]).filter(pa.array(left, pa.bool_())).columns)
+
+    u, v = (made.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "uv")
+    met = pairs.distinct().join(u, "u").join(v, "v").select("u", "v", "n_u", "n_v", "bits_u", "bits_v")
+    return met.mapInArrow(run, "u bigint, v bigint")
+
+
 def verified(pairs: DataFrame, made: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Of the pairs (u, v) of row ids those whose sets are similar enough, stored.
 
-    Texts travel to the rows they are compared with: those of all u of one v meet in groups
+    Bitmaps, of about an eighth of a byte a shingle, rule out most others first. Texts travel to the rows they are compared with: those of all u of one v meet in groups
     of about `BLOCK`, each with v's own, so no task holds a hot v's partners.
     """
     part, total = SIMILARITY
-    pairs = store(pairs.distinct())
+    pairs = store(_plausible(pairs, made))
     sizes = pairs.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")
     dealt = pairs.join(sizes, "v").select("v", block.alias("block"), "u")
@@ -179,7 +226,7 @@ def similar_sets(made: DataFrame, shingle: int = SHINGLE, hot: int = 64) -> tupl
     edges = verified(own.union(across), made, shingle)
     discard(prints, first)
 
-    tokens = rows.select(F.explode("tokens").alias("token"), "id", "n")
+    tokens = rows.select(F.posexplode("tokens").alias("place", "token"), "id", "n")
     counts = store(tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"))
     tokens = store(tokens.join(counts, "token"))
     discard(counts)
@@ -187,7 +234,7 @@ def similar_sets(made: DataFrame, shingle: int = SHINGLE, hot: int = 64) -> tupl
     def still_open(joined: DataFrame) -> DataFrame:
         """The tokens whose sets are not all joined yet, with the sets' labels."""
         named = tokens.join(joined, tokens["id"] == joined["node"], "left").select(
-            "token", "id", "n", "sets", F.coalesce("component", "id").alias("label")
+            "token", "id", "n", "place", "sets", F.coalesce("component", "id").alias("label")
         )
         several = named.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
         return store(named.join(several.select("token"), "token"))
@@ -198,23 +245,31 @@ def similar_sets(made: DataFrame, shingle: int = SHINGLE, hot: int = 64) -> tupl
         large = open_tokens.where(F.col("sets") > hot)
         order = F.xxhash64("id", F.lit(salt)).alias("_o")
         hubs = store(
-            large.groupBy("token").agg(F.min(F.struct(order, "id", "n", "label")).alias("h"))
-            .select("token", F.col("h.id").alias("v"), F.col("h.n").alias("other_n"), F.col("h.label").alias("other_label"))
+            large.groupBy("token").agg(F.min(F.struct(order, "id", "n", "place", "label")).alias("h"))
+            .select(
+                "token", F.col("h.id").alias("v"), F.col("h.n").alias("other_n"), F.col("h.place").alias("other_place"),
+                F.col("h.label").alias("other_label"),
+            )
         )
         if hubs.isEmpty():
             break
-        star = large.join(hubs, "token").where("id <> v and label <> other_label").where(_fits())
+        star = large.join(hubs, "token").where("id <> v and label <> other_label").where(_may_be_similar())
         found = verified(star.select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")), made, shingle)
         before = edges, joined, open_tokens, found, hubs
         edges = store(edges.union(found))
         joined = store(components(edges))
         open_tokens = still_open(joined)
         discard(*before)
-    other = open_tokens.select("token", F.col("id").alias("v"), F.col("n").alias("other_n"), F.col("label").alias("other_label"))
-    rest = open_tokens.join(other, "token").where("id > v and label <> other_label").where(_fits())
+    other = open_tokens.select(
+        "token", F.col("id").alias("v"), F.col("n").alias("other_n"), F.col("place").alias("other_place"),
+        F.col("label").alias("other_label"),
+    )
+    rest = open_tokens.join(other, "token").where("id > v and label <> other_label").where(_may_be_similar())
     found = verified(rest.select(F.col("id").alias("u"), "v"), made, shingle)
-    discard(tokens, open_tokens, joined)
-    return leaders, components(edges.union(found))
+    discard(tokens, open_tokens)
+    whole = components(edges.union(found))
+    discard(edges, found)
+    return leaders, whole
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -232,6 +287,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     )
     rows = made.groupBy("doc_id", "text_hash", "set").agg(F.count("*").alias("n_equal"))
     rows = store(rows.join(grouped, "set").select("doc_id", "text_hash", "n_equal", "group"))
+    discard(made, leaders)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     first = rows.groupBy("group").agg(F.min(key).alias("first"))
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
